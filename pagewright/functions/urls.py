@@ -193,6 +193,14 @@ def normalize_url(url: Sql, strip_tracking: bool = True, include_fragments: bool
     return let(split_url(url), canonical)
 
 
+def browser_url(url: Sql) -> Sql:
+    """An http(s) address as browsers write it: lower-case host, a path of at least ``/``."""
+    return let(split_url(url), lambda p: (
+        f"if({p}.scheme in ('http', 'https'), "
+        + build_url(f"{p}.scheme", f"lower({p}.netloc)", f"if({p}.path = '', '/', {p}.path)",
+                    f"{p}.params", f"{p}.query", f"{p}.fragment") + f", {url})"))
+
+
 def url_path(url: Sql) -> Sql:
     """Path of an absolute URL without the parameters of its last segment."""
     return (f"regexp_replace(regexp_extract({clean_url(url)}, {regex(_PATH)}, 1), "

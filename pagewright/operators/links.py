@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import nodes as N
-from pagewright.functions.core import SPACE_CLASS, Sql, either, exists, keep, let, regex, strip, struct, transform, truncate
+from pagewright.functions.core import (
+    SPACE_CLASS, Sql, collapse_spaces, either, exists, keep, let, regex, strip, struct, transform, truncate,
+)
 from pagewright.functions.urls import (
-    has_bad_brackets, hostname, is_internal, is_page_href, is_resource, link_type, netloc, normalize_url,
+    browser_url, has_bad_brackets, hostname, is_internal, is_page_href, is_resource, link_type, netloc, normalize_url,
     resolve_parts, resolve_url, split_url, url_path,
 )
 
@@ -58,6 +60,27 @@ def _first_per_url(links: Sql) -> Sql:
         lambda x: struct(pos=f"{x}.pos", url=f"{x}.url", anchor=f"{x}.anchor")) + ")")
 
 
+def with_link_array(parsed: DataFrame, url_col: str = "url", strip_tracking: bool = True,
+                    include_fragments: bool = False) -> DataFrame:
+    """L1-L7 inside the row: adds ``_links``, array<struct<pos, url, anchor>> in document order."""
+    def absolute(base):
+        return transform("_anchors", lambda a: struct(
+            url=f"if({url_col} = '', {a}.href, {resolve_parts(base, a + '.href')})", anchor=a))
+
+    resolved = parsed.selectExpr("*", f"{_anchors('elements', 'texts')} AS _anchors").selectExpr(
+        "*", f"{let(split_url(url_col), absolute)} AS _absolute")
+    # A single unreadable address makes the page's link extraction fail as a whole.
+    bad = exists("_absolute", lambda x: has_bad_brackets(netloc(x + ".url")))
+    normal = keep(transform(f"if({bad}, array(), _absolute)", lambda x: struct(
+        url=normalize_url(x + ".url", strip_tracking, include_fragments),
+        pos=f"{x}.anchor.pos", anchor=f"{x}.anchor")), lambda x: f"{x}.url is not null")
+    return (
+        resolved.selectExpr("*", f"{normal} AS _normal")
+        .selectExpr("*", f"{_first_per_url('_normal')} AS _links")
+        .drop("_anchors", "_absolute", "_normal")
+    )
+
+
 def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: str = "url",
                   strip_tracking: bool = True, include_fragments: bool = False) -> DataFrame:
     """The link table of all pages.
@@ -67,29 +90,13 @@ def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: s
     what is internal; the default is the page's own URL.
     """
     ids = [c for c in ("page_id", "seed") if c in parsed.columns]
-    base_url = base_url_col or url_col
-
-    def absolute(base):
-        return transform("_anchors", lambda a: struct(
-            url=f"if({url_col} = '', {a}.href, {resolve_parts(base, a + '.href')})", anchor=a))
-
-    resolved = parsed.selectExpr(
-        *ids, f"{url_col} AS page_url", f"lower({netloc(base_url)}) AS _base_host",
-        url_col, f"{_anchors('elements', 'texts')} AS _anchors",
-    ).selectExpr(*ids, "page_url", "_base_host", f"{let(split_url(url_col), absolute)} AS _links")
-    # A single unreadable address makes the page's link extraction fail as a whole.
-    bad = exists("_links", lambda x: has_bad_brackets(netloc(x + ".url")))
-    normal = keep(transform(f"if({bad}, array(), _links)", lambda x: struct(
-        url=normalize_url(x + ".url", strip_tracking, include_fragments),
-        pos=f"{x}.anchor.pos", anchor=f"{x}.anchor")), lambda x: f"{x}.url is not null")
     rows = (
-        resolved.selectExpr(*ids, "page_url", "_base_host", f"{normal} AS _links")
-        .selectExpr(*ids, "page_url", "_base_host", f"{_first_per_url('_links')} AS _links")
-        .selectExpr(*ids, "page_url", "_base_host", "inline(_links)")
+        with_link_array(parsed, url_col, strip_tracking, include_fragments)
+        .selectExpr(*ids, f"{url_col} AS page_url", f"lower({netloc(base_url_col or url_col)}) AS _base_host",
+                    "inline(_links)")
         .selectExpr("*", f"lower({netloc('url')}) AS _host", f"lower({url_path('url')}) AS _path")
     )
-    spaces = SPACE_CLASS
-    only_navigation = regex(f"(?U)^{spaces}*({'|'.join(NAVIGATION_TEXTS)}){spaces}*$")
+    only_navigation = regex(f"(?U)^{SPACE_CLASS}*({'|'.join(NAVIGATION_TEXTS)}){SPACE_CLASS}*$")
     return rows.selectExpr(
         *ids, "page_url", "pos", "url", "anchor.text AS text", "anchor.title AS title",
         f"{is_internal('_host', '_base_host')} AS is_internal",
@@ -129,41 +136,49 @@ def public_columns(links: DataFrame) -> DataFrame:
     return links.select(*ids, *PUBLIC_COLUMNS)
 
 
-def same_domain_links(parsed: DataFrame, start_url: Sql = "url", url_col: str = "url") -> DataFrame:
-    """L3: distinct absolute links whose authority equals that of the start URL.
+def with_same_domain_targets(parsed: DataFrame, start_url: Sql = "url", url_col: str = "url") -> DataFrame:
+    """L3 inside the row: adds ``targets``, the distinct links on the start URL's authority.
 
     `start_url` is SQL text: a column, or a quoted literal.  No href is skipped and
     nothing is normalised."""
-    ids = [c for c in ("page_id", "seed") if c in parsed.columns]
-    hrefs = transform(keep("elements", lambda e: f"{e}.tag = 'a' and {N.attr(e, 'href')} is not null"),
-                      lambda a: N.attr(a, "href"))
+    anchors = keep("elements", lambda e: f"{e}.tag = 'a' and {N.attr(e, 'href')} is not null")
     resolved = let(split_url(url_col), lambda b: transform(
         "_hrefs", lambda h: f"case when {h} = '' then {url_col} when {url_col} = '' then {h} "
                             f"else {resolve_parts(b, h)} end"))
     return (
-        parsed.selectExpr(*ids, f"{url_col} AS page_url", url_col, f"{netloc(start_url)} AS _domain",
-                          f"{hrefs} AS _hrefs")
-        .selectExpr(*ids, "page_url", "_domain", f"explode(array_distinct({resolved})) AS url")
-        .filter(f"{netloc('url')} = _domain").drop("_domain")
+        parsed.selectExpr("*", f"{transform(anchors, lambda a: N.attr(a, 'href'))} AS _hrefs",
+                          f"{netloc(start_url)} AS _domain")
+        .selectExpr("*", f"array_distinct({resolved}) AS _urls")
+        .selectExpr("*", f"{keep('_urls', lambda u: netloc(u) + ' = _domain')} AS targets")
+        .drop("_hrefs", "_domain", "_urls")
     )
 
 
+def same_domain_links(parsed: DataFrame, start_url: Sql = "url", url_col: str = "url") -> DataFrame:
+    """L3: one row per distinct link on the start URL's authority."""
+    ids = [c for c in ("page_id", "seed") if c in parsed.columns]
+    return with_same_domain_targets(parsed, start_url, url_col).selectExpr(
+        *ids, f"{url_col} AS page_url", "explode(targets) AS url")
+
+
 def hostname_links(parsed: DataFrame, same_domain: bool = True, url_col: str = "url") -> DataFrame:
     """Links as a browser reports them: internal by host name, distinct by address."""
     ids = [c for c in ("page_id",) if c in parsed.columns]
-    described = transform(
-        keep("elements", lambda e: f"{e}.tag = 'a' and {N.attr(e, 'href')} is not null"),
-        lambda a: struct(href=strip(N.attr(a, "href")), pos=f"{a}.pos", text=truncate(
-            N.join_strings(transform(N.inner("texts", a), lambda t: f"if({t}.box = '', {strip(t + '.raw')}, '')"), " "),
-            MAX_TEXT)))
+
+    def visible_text(a):
+        raw = transform(keep(N.inner("texts", a), lambda t: f"{t}.box = ''"), lambda t: f"{t}.raw")
+        return truncate(strip(collapse_spaces(f"array_join({raw}, '')")), MAX_TEXT)
 
     def absolute(base):
         return transform("_anchors", lambda a: struct(
-            url=f"if({a}.href = '', {url_col}, {resolve_parts(base, a + '.href')})",
+            url=browser_url(f"if({a}.href = '', {url_col}, {resolve_parts(base, a + '.href')})"),
             pos=f"{a}.pos", anchor=a))
 
+    anchors = transform(
+        keep("elements", lambda e: f"{e}.tag = 'a' and {N.attr(e, 'href')} is not null"),
+        lambda a: struct(href=strip(N.attr(a, "href")), pos=f"{a}.pos", text=visible_text(a)))
     rows = (
-        parsed.selectExpr(*ids, f"{url_col} AS page_url", url_col, f"{described} AS _anchors")
+        parsed.selectExpr(*ids, f"{url_col} AS page_url", url_col, f"{anchors} AS _anchors")
         .selectExpr(*ids, "page_url", f"{let(split_url(url_col), absolute)} AS _links")
         .selectExpr(*ids, "page_url", f"{_first_per_url('_links')} AS _links")
         .selectExpr(*ids, "page_url", "inline(_links)")
