@@ -8,6 +8,7 @@ from html import unescape
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.core import Sql, keep, let, regex, transform, truncate
 
@@ -15,7 +16,7 @@ from pagewright.functions.core import Sql, keep, let, regex, transform, truncate
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """decode html entities; the table of names lives in the standard library."""
     return texts.map(unescape, na_action="ignore")
