@@ -50,9 +50,26 @@ def page_anchor(title: Sql, number: Sql) -> Sql:
 
 
 def fixed_decimals(value: Sql, digits: int) -> Sql:
-    """A double with `digits` decimals, rounded half to even on its exact binary value."""
-    # The cast keeps 18 decimals of the double; nothing finer decides a tie at these digits.
-    return f"cast(bround(cast({value} as decimal(38, 18)), {digits}) as string)"
+    """A non-negative double with `digits` decimals, rounded half to even on its exact value.
+
+    Spark's own rounding starts from the shortest decimal text of a double, which turns
+    numbers next to a tie into ties.  The fraction times 2^60 is exact as an integer.
+    """
+    one, scale = 1 << 60, 10 ** digits
+
+    def rounded(x):
+        fraction = f"cast(cast(({x} - floor({x})) * {float(one)!r}D as bigint) as decimal(38, 0))"
+        return let(f"struct({fraction} * {scale} AS n, cast(floor({x}) as decimal(20, 0)) * {scale} AS whole)",
+                   lambda p: let(f"struct({p}.whole + ({p}.n div {one}BD) AS low, {p}.n % {one}BD AS rest)", nearest))
+
+    def nearest(p):
+        up = f"{p}.rest > {one // 2}BD or ({p}.rest = {one // 2}BD and {p}.low % 2 = 1)"
+        return f"cast({p}.low + if({up}, 1, 0) as bigint)"
+
+    def written(n):
+        return f"{n} div {scale}" + (f", '.', lpad({n} % {scale}, {digits}, '0')" if digits else "")
+
+    return let(let(f"cast({value} as double)", rounded), lambda n: f"concat({written(n)})")
 
 
 def duration_text(seconds: Sql) -> Sql:

@@ -211,7 +211,7 @@ ORACLE = {
         SELECT page_id, host, 'same' AS kind, host AS other FROM h UNION ALL SELECT page_id, host, 'www', 'www.' || host FROM h
         UNION ALL SELECT page_id, host, 'sub', 'a.b.' || host FROM h UNION ALL SELECT page_id, host, 'prefix', 'x' || host FROM h
         UNION ALL SELECT page_id, host, 'parent', regexp_replace(host, '^[^.]*[.]', '') FROM h)
-        SELECT page_id, kind, kind IN ('same', 'www', 'sub') OR (starts_with(host, 'www.') AND kind = 'parent') AS is_internal,
+        SELECT page_id, kind, kind IN ('same', 'www', 'sub') OR (starts_with(host, 'www.') AND kind IN ('parent', 'prefix')) AS is_internal,
         kind IN ('same', 'www', 'parent') AS is_internal_back FROM o""",
     "link_types": """SELECT event_id, CASE event_type WHEN 'view' THEN 'social' WHEN 'click' THEN 'download'
         WHEN 'error' THEN 'media' WHEN 'signup' THEN 'navigation' ELSE 'content' END AS link_type,

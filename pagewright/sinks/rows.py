@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions.core import let, non_empty, transform, truncate
+from pagewright.functions.core import let, non_empty, quote, transform, truncate
 from pagewright.functions.text import for_export, join_entries, join_values, page_anchor, percent_text
 from pagewright.operators.ordering import number_rows
 
@@ -21,7 +21,10 @@ CSV_COLUMNS = [
     "content_type", "topics", "status_code", "load_time_ms", "scraped_at",
 ]
 OPTIONAL_COLUMNS = ["raw_html", "llm_analysis"]
-MAP_ROWS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+
+
+def _is_map_list(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.MapType)
 
 
 def _result_columns(results: DataFrame) -> list[str]:
@@ -61,7 +64,7 @@ def json_line(results: DataFrame, kind: str | None = None, indent: bool = False)
 
 def _csv_cell(results: DataFrame, column: str) -> str:
     kind = results.schema[column].dataType
-    if kind == MAP_ROWS:
+    if _is_map_list(kind):
         # At most five entries, by their url.
         return join_values(transform(f"slice({column}, 1, 5)", lambda x: f"coalesce({x}['url'], to_json({x}))"))
     if isinstance(kind, T.ArrayType):
@@ -96,7 +99,7 @@ def discover_columns(results: DataFrame) -> dict[str, list[str]]:
     One aggregate over the rows; what comes back is one flag per list column and the
     distinct keys of the map columns, never rows.
     """
-    lists = [c for c in _result_columns(results) if results.schema[c].dataType == MAP_ROWS]
+    lists = [c for c in _result_columns(results) if _is_map_list(results.schema[c].dataType)]
     maps = [c for c in _result_columns(results) if isinstance(results.schema[c].dataType, T.MapType)]
     flags = [F.max((F.size(c) > 0)).alias(f"{c}|full") for c in lists] + [
         F.max((F.size(c) == 0)).alias(f"{c}|empty") for c in lists] + [
@@ -119,12 +122,12 @@ def flatten(results: DataFrame) -> DataFrame:
     cells = {}
     for c in _result_columns(results):
         kind = results.schema[c].dataType
-        if kind == MAP_ROWS:
-            both = {c: f"''", f"{c}_count": f"if(size({c}) > 0, cast(size({c}) as string), '')"}
+        if _is_map_list(kind):
+            both = {c: "''", f"{c}_count": f"if(size({c}) > 0, cast(size({c}) as string), '')"}
             cells |= {name: both[name] for name in found[c]}
         elif isinstance(kind, T.MapType):
             for key in found[c]:
-                value = f"{c}[{_literal(key)}]"
+                value = f"{c}[{quote(key)}]"
                 text = join_values(value) if isinstance(kind.valueType, T.ArrayType) else f"coalesce({value}, '')"
                 cells[f"{c}_{key}"] = text
         elif isinstance(kind, T.ArrayType):
@@ -135,11 +138,6 @@ def flatten(results: DataFrame) -> DataFrame:
     return results.selectExpr(*[f"{cells[name]} AS `{name}`" for name in sorted(cells)])
 
 
-def _literal(text: str) -> str:
-    from pagewright.functions.core import quote
-    return quote(text)
-
-
 def numbered(results: DataFrame, order: list | None = None) -> DataFrame:
     """Results with their 1-based ``number`` in the report."""
     keys = order or [c for c in ("page_id", "url") if c in results.columns]

@@ -39,7 +39,8 @@ def dedup_stream(pages: DataFrame, watermark: str | None = None, event_time: str
     keyed = pages.withColumn("url_norm", F.expr(f"coalesce({normalize_url('url')}, url)"))
     if watermark is None:
         return keyed.dropDuplicates(["url_norm"])
-    return keyed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["url_norm"])
+    timed = keyed.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["url_norm"])
 
 
 def running_counters(pages: DataFrame, ok: str = "true", by: str | None = None) -> DataFrame:
