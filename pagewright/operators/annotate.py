@@ -194,7 +194,7 @@ def parse_link_scores(responses: DataFrame, body: str = "body", strict: bool = F
     items = responses.selectExpr(*kept, f"from_json({raw}, 'links {_SCORE_ITEM}').links AS _links").selectExpr(
         *kept, f"if({numeric}, _links, null) AS _links")
     follow = f"coalesce(lower(_l.should_follow) not in ('false', '0', ''), {'false' if strict else 'true'})"
-    return items.selectExpr(*kept, "posexplode(_links) AS (place, _l)").selectExpr(
+    return items.selectExpr(*kept, "posexplode_outer(_links) AS (place, _l)").filter("place is not null").selectExpr(
         *kept, "place", "coalesce(_l.url, '') AS url", "coalesce(_l.text, '') AS text",
         "coalesce(try_cast(_l.relevance_score as double), 0D) AS relevance_score",
         "coalesce(try_cast(_l.priority as int), 5) AS priority",

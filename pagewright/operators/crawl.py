@@ -19,13 +19,15 @@ from pagewright.operators.annotate import merge_scores
 from pagewright.operators.content import main_content, with_clean_tree
 from pagewright.operators.links import with_link_array, with_same_domain_targets
 from pagewright.session import scratch_folder
+from pagewright.sources.pages import spread
 from pagewright.sources.parse import parse_pages
 
 MIN_CONTENT_LENGTH = 100
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages.select(*[c for c in ("page_id", "url", "html") if c in pages.columns]))
+    wanted = [c for c in ("page_id", "url", "html") if c in pages.columns]
+    return parse_pages(spread(pages.select(*wanted)))
 
 
 def _first_version(rows: DataFrame) -> DataFrame:
@@ -130,13 +132,16 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     return visited
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the scratch folder: read twice below, computed once."""
+    folder = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _with_outcome(visited: DataFrame, graph: DataFrame) -> DataFrame:
-    spark = visited.sparkSession
-    folder = scratch_folder(spark, "visited")
-    outcome = visited.join(graph.select("url", "ok"), "url", "left").select(
-        "seed", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"))
-    outcome.write.parquet(folder)
-    return spark.read.schema(outcome.schema).parquet(folder)
+    return _written(visited.join(graph.select("url", "ok"), "url", "left").select(
+        "seed", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok")), "visited")
 
 
 def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_depth: int = 5,
@@ -156,7 +161,7 @@ def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_
     while size and depth <= max_depth:
         tried = frontier.join(graph.select("url", "ok"), "url", "left").selectExpr(
             "seed", "url", f"{depth} AS depth", "place", "coalesce(ok, false) AS ok")
-        size = levels.add(_within_budget(tried, levels, max_pages))
+        size = levels.add(_within_budget(_written(tried, "tried"), levels, max_pages))
         depth += 1
         found = (
             levels.last().filter("ok").join(graph.select("url", "targets"), "url")

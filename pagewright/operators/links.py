@@ -2,6 +2,9 @@
 
 Links are resolved and deduplicated inside the row of their page, so the whole link
 table is a map-only job; nothing is shuffled before a caller aggregates or joins.
+
+Arrays become rows with the outer generators: for the others Spark infers a filter on
+the array's size, pushes it below the projections, and so builds every array twice.
 """
 
 from __future__ import annotations
@@ -93,7 +96,8 @@ def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: s
     rows = (
         with_link_array(parsed, url_col, strip_tracking, include_fragments)
         .selectExpr(*ids, f"{url_col} AS page_url", f"lower({netloc(base_url_col or url_col)}) AS _base_host",
-                    "inline(_links)")
+                    "inline_outer(_links)")
+        .filter("pos is not null")
         .selectExpr("*", f"lower({netloc('url')}) AS _host", f"lower({url_path('url')}) AS _path")
     )
     only_navigation = regex(f"(?U)^{SPACE_CLASS}*({'|'.join(NAVIGATION_TEXTS)}){SPACE_CLASS}*$")
@@ -158,7 +162,7 @@ def same_domain_links(parsed: DataFrame, start_url: Sql = "url", url_col: str =
     """L3: one row per distinct link on the start URL's authority."""
     ids = [c for c in ("page_id", "seed") if c in parsed.columns]
     return with_same_domain_targets(parsed, start_url, url_col).selectExpr(
-        *ids, f"{url_col} AS page_url", "explode(targets) AS url")
+        *ids, f"{url_col} AS page_url", "explode_outer(targets) AS url").filter("url is not null")
 
 
 def hostname_links(parsed: DataFrame, same_domain: bool = True, url_col: str = "url") -> DataFrame:
@@ -181,7 +185,8 @@ def hostname_links(parsed: DataFrame, same_domain: bool = True, url_col: str = "
         parsed.selectExpr(*ids, f"{url_col} AS page_url", url_col, f"{anchors} AS _anchors")
         .selectExpr(*ids, "page_url", f"{let(split_url(url_col), absolute)} AS _links")
         .selectExpr(*ids, "page_url", f"{_first_per_url('_links')} AS _links")
-        .selectExpr(*ids, "page_url", "inline(_links)")
+        .selectExpr(*ids, "page_url", "inline_outer(_links)")
+        .filter("pos is not null")
         .selectExpr(*ids, "page_url", "pos", "url AS href", "anchor.text AS text",
                     f"({hostname('url')} = {hostname('page_url')}) AS is_internal")
     )
@@ -200,6 +205,7 @@ def absolute_links(parsed: DataFrame, url_col: str = "url") -> DataFrame:
         keep("elements", lambda e: f"{e}.tag = 'a' and {N.attr(e, 'href')} is not null"),
         lambda a: struct(pos=f"{a}.pos", href=strip(N.attr(a, "href")))), lambda a: is_page_href(a + ".href"))
     return (
-        parsed.selectExpr(*ids, f"{url_col} AS page_url", f"inline({hrefs})")
+        parsed.selectExpr(*ids, f"{url_col} AS page_url", f"inline_outer({hrefs})")
+        .filter("pos is not null")
         .selectExpr(*ids, "page_url", "pos", "href", f"{resolve_url('page_url', 'href')} AS abs_url")
     )

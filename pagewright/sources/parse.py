@@ -13,8 +13,8 @@ after it is a Spark expression:
 
 from __future__ import annotations
 
+import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -57,6 +57,16 @@ BOX_TAGS = ("script", "style", "template", "rt", "rp")
 # Elements that keep whitespace-only strings as they are.
 KEEP_SPACE_TAGS = ("pre", "textarea")
 
+_MARKED_TAGS = frozenset(BOX_TAGS + KEEP_SPACE_TAGS)
+_ASCII_SPACES = " \n\t\f\r"
+_PLAIN = re.compile(
+    r'([^<&]+)'
+    r'|<([a-zA-Z][a-zA-Z0-9]*)((?: +[a-zA-Z][a-zA-Z0-9:_-]*="[^"<>&]*")*)>'
+    r'|</([a-zA-Z][a-zA-Z0-9]*)>'
+    r'|&([a-zA-Z][-.a-zA-Z0-9]*);'
+).match
+_PLAIN_ATTRS = re.compile(r'([a-zA-Z][a-zA-Z0-9:_-]*)="([^"]*)"').findall
+_RAW_END = {tag: re.compile(rf"</{tag}(>)?", re.I).search for tag in ("script", "style")}
 _FLUSH_ELEMENTS = 100_000
 _FLUSH_CHARS = 16 << 20
 
@@ -127,56 +137,59 @@ class _PageReader(HTMLParser):
         self.reset()
         out = self.out
         self.first, self.first_text = len(out.pos), len(out.raw)
-        self.open, self.open_names = [], Counter()
-        self.pending, self.ignored_ends = [], Counter()
+        self.open, self.open_names = [], {}
+        self.boxes, self.keep_space = [], 0
+        self.pending, self.ignored_ends = [], {}
         self.feed(html)
         self.close()
         self._flush()
         while self.open:
             self._pop()
 
-    def _flush(self, box=None):
-        if not self.pending:
-            return
-        raw = "".join(self.pending)
-        self.pending.clear()
-        if not raw.strip(" \n\t\f\r") and not any(self.open_names[t] for t in KEEP_SPACE_TAGS):
-            raw = "\n" if "\n" in raw else " "
-        if box is None:
-            box = ""
-            if any(self.open_names[t] for t in BOX_TAGS):
-                box = next(t for _, t in reversed(self.open) if t in BOX_TAGS)
-        self._string(box, raw)
+    def _flush(self):
+        pending = self.pending
+        if pending:
+            raw = pending[0] if len(pending) == 1 else "".join(pending)
+            pending.clear()
+            if raw[:1] in _ASCII_SPACES and not raw.strip(_ASCII_SPACES) and not self.keep_space:
+                raw = "\n" if "\n" in raw else " "
+            self._string(self.boxes[-1] if self.boxes else "", raw)
 
     def _string(self, box, raw):
+        out = self.out
         if self.open:
-            self.out.kids[self.open[-1][0]] += 1
-        self.out.box.append(box)
-        self.out.raw.append(raw)
-        self.out.chars += len(raw)
+            out.kids[self.open[-1][0]] += 1
+        out.box.append(box)
+        out.raw.append(raw)
+        out.chars += len(raw)
 
     def _pop(self):
+        out = self.out
         index, tag = self.open.pop()
         self.open_names[tag] -= 1
-        self.out.last[index] = len(self.out.pos) - self.first
-        self.out.text_to[index] = len(self.out.raw) - self.first_text + 1
+        if tag in _MARKED_TAGS:
+            if tag in KEEP_SPACE_TAGS:
+                self.keep_space -= 1
+            else:
+                self.boxes.pop()
+        out.last[index] = len(out.pos) - self.first
+        out.text_to[index] = len(out.raw) - self.first_text + 1
 
     def _push(self, tag, attrs):
         self._flush()
-        out = self.out
-        parent = 0
+        out, parent = self.out, 0
+        index = len(out.pos)
         if self.open:
             top = self.open[-1][0]
             out.kids[top] += 1
             parent = top - self.first + 1
-        index = len(out.pos)
         pos = index - self.first + 1
+        start = len(out.raw) - self.first_text + 1
         out.pos.append(pos)
         out.last.append(pos)
         out.parent.append(parent)
         out.kids.append(0)
         out.tag.append(tag)
-        start = len(out.raw) - self.first_text + 1
         out.text_from.append(start)
         out.text_to.append(start)
         if attrs:
@@ -185,29 +198,76 @@ class _PageReader(HTMLParser):
             out.attr_key.extend(named)
             out.attr_value.extend(named.values())
         out.attr_from.append(len(out.attr_key))
+        if tag in VOID_TAGS:
+            return False
         self.open.append((index, tag))
-        self.open_names[tag] += 1
+        self.open_names[tag] = self.open_names.get(tag, 0) + 1
+        if tag in _MARKED_TAGS:
+            if tag in KEEP_SPACE_TAGS:
+                self.keep_space += 1
+            else:
+                self.boxes.append(tag)
+        return True
 
     def _end(self, tag):
         self._flush()
-        if self.open_names[tag]:
+        if self.open_names.get(tag):
             while self.open[-1][1] != tag:
                 self._pop()
             self._pop()
 
+    def goahead(self, end):
+        """Read plain markup with one pattern; hand the rest to the base class.
+
+        Plain are texts, tags with double-quoted attributes, named entities, comments and
+        finished scripts and styles.  At the first token of another kind the tolerant
+        base class takes over for the remainder of the page, so results are the same.
+        """
+        data, i = self.rawdata, 0
+        while not self.cdata_elem:
+            token = _PLAIN(data, i)
+            if token is None:
+                if not data.startswith("<!", i):
+                    break
+                after = self.parse_comment(i) if data.startswith("<!--", i) else self.parse_html_declaration(i)
+                if after < 0:
+                    break
+                i = after
+                continue
+            text, start, attrs, ended, entity = token.groups()
+            i = token.end()
+            if text:
+                self.pending.append(text)
+            elif start:
+                tag = start.lower()
+                self.handle_starttag(tag, [(k.lower(), v) for k, v in _PLAIN_ATTRS(attrs)] if attrs else None)
+                if tag in self.CDATA_CONTENT_ELEMENTS:
+                    closed = _RAW_END[tag](data, i)
+                    if closed is None or not closed.group(1):
+                        self.set_cdata_mode(tag)
+                        break
+                    if closed.start() > i:
+                        self.pending.append(data[i:closed.start()])
+                    self.handle_endtag(tag)
+                    i = closed.end()
+            elif ended:
+                self.handle_endtag(ended.lower())
+            else:
+                self.handle_entityref(entity)
+        self.rawdata = data[i:]
+        super().goahead(end)
+
     # parser events
     def handle_starttag(self, tag, attrs):
-        self._push(tag, attrs)
-        if tag in VOID_TAGS:
-            self._end(tag)
-            self.ignored_ends[tag] += 1
+        if not self._push(tag, attrs):
+            self.ignored_ends[tag] = self.ignored_ends.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        self._push(tag, attrs)
-        self._end(tag)
+        if self._push(tag, attrs):
+            self._end(tag)
 
     def handle_endtag(self, tag):
-        if self.ignored_ends[tag]:
+        if self.ignored_ends.get(tag):
             self.ignored_ends[tag] -= 1
         else:
             self._end(tag)
