@@ -341,16 +341,17 @@ def min_content(records: DataFrame, length: int = 100) -> DataFrame:
     return records.filter(F.length("main_content") >= length)
 
 
-def to_results(records: DataFrame) -> DataFrame:
-    """P25: page records as export rows."""
+def to_results(records: DataFrame, **columns: Sql) -> DataFrame:
+    """P25: page records as export rows.  `columns` fills fields that are empty by default."""
     id_columns = [c for c in ("page_id",) if c in records.columns]
-    return records.selectExpr(
-        *id_columns, "url", "coalesce(title, '') AS title",
-        f"{either(non_empty('main_content'), non_empty('text'), repr(''))} AS content",
-        "meta_description",
-        "cast(map() AS map<string,array<string>>) AS headings",
-        "cast(array() AS array<map<string,string>>) AS links",
-        "cast(array() AS array<map<string,string>>) AS images",
-        "'' AS summary", "cast(array() AS array<string>) AS topics", "'unknown' AS content_type",
-        "'' AS scraped_at", "0D AS load_time_ms", "200 AS status_code",
-    )
+    defaults = {
+        "url": "url", "title": "coalesce(title, '')",
+        "content": either(non_empty("main_content"), non_empty("text"), "''"),
+        "meta_description": "meta_description",
+        "headings": "cast(map() AS map<string,array<string>>)",
+        "links": "cast(array() AS array<map<string,string>>)",
+        "images": "cast(array() AS array<map<string,string>>)",
+        "summary": "''", "topics": "cast(array() AS array<string>)", "content_type": "'unknown'",
+        "scraped_at": "''", "load_time_ms": "0D", "status_code": "200",
+    }
+    return records.selectExpr(*id_columns, *[f"{e} AS {c}" for c, e in (defaults | columns).items()])

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from pagewright.session import scratch_folder
 
 
-def ordered_blocks(rows: DataFrame, order: list) -> DataFrame:
+def ordered_blocks(rows: DataFrame, order: list, costly: bool = False) -> DataFrame:
     """Rows sorted by range, with ``_block`` and ``_row`` (0-based position in the block).
 
     The sorted rows are written to the shared scratch folder, so block bounds stay the
-    same however often the result is read and an executor loss repeats no sort.
+    same however often the result is read and an executor loss repeats no sort.  A range
+    sort reads its input twice (bounds, then rows); `costly` inputs are written first.
     """
     spark = rows.sparkSession
+    if costly:
+        staged = scratch_folder(spark, "staged")
+        rows.write.parquet(staged)
+        rows = spark.read.schema(rows.schema).parquet(staged)
     folder = scratch_folder(spark, "ordered")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(folder)
     blocks = spark.read.schema(rows.schema).parquet(folder)
@@ -28,9 +33,9 @@ def ordered_blocks(rows: DataFrame, order: list) -> DataFrame:
         F.col("_metadata.row_index").alias("_row"))
 
 
-def number_rows(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+def number_rows(rows: DataFrame, order: list, name: str = "number", costly: bool = False) -> DataFrame:
     """1-based numbers over the whole table in the given order."""
-    blocks = ordered_blocks(rows, order)
+    blocks = ordered_blocks(rows, order, costly)
     sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
     # One row per block: the window below sees as many rows as the sort had tasks.
     starts = sizes.selectExpr(

@@ -11,7 +11,7 @@ from pagewright.operators import links as L
 from pagewright.operators import ordering as W
 from pagewright.operators import stats as A
 from pagewright.plans import oracle as O
-from pagewright.plans.link_queries import links
+from pagewright.plans.link_queries import links, shared_links
 from pagewright.plans.page_queries import pages, records, table
 
 
@@ -111,8 +111,12 @@ def first_turns(spark, sf_dir):
 
 
 def scored_links(spark, sf_dir):
-    """Links with a score derived from their text and type."""
-    return links(spark, sf_dir).selectExpr(
+    return _scored(links(spark, sf_dir))
+
+
+def _scored(found):
+    """Links with a score derived from the length of their text."""
+    return found.selectExpr(
         "page_id", "page_url", "pos", "url", "text", "link_type", "follow",
         "(length(text) % 7) / 8D AS relevance_score", "length(text) % 3 AS priority")
 
@@ -137,8 +141,8 @@ def top_links(spark, sf_dir):
 
 def merged_scores(spark, sf_dir):
     """Links whose text is long take the type and the follow flag of their score."""
-    found = links(spark, sf_dir)
-    scores = scored_links(spark, sf_dir).filter("relevance_score > 0.5").selectExpr(
+    found = shared_links(spark, sf_dir)
+    scores = _scored(found).filter("relevance_score > 0.5").selectExpr(
         "page_url", "url", "relevance_score", "'scored' AS link_type", "priority <> 0 AS should_follow")
     return M.merge_scores(found, scores).select("page_id", "url", "link_type", "follow", "relevance_score")
 

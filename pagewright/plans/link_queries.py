@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
@@ -17,6 +18,11 @@ def links(spark, sf_dir):
     return L.extract_links(parsed(spark, sf_dir))
 
 
+def shared_links(spark, sf_dir):
+    """The link table for queries that read it more than once; parsed pages are not kept."""
+    return links(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def rewritten(spark, sf_dir, old, new):
     """The given pages with a piece of markup replaced everywhere."""
     return pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit(old), F.lit(new)))
@@ -137,7 +143,7 @@ def hostname_links(spark, sf_dir):
 
 def followable_links(spark, sf_dir):
     """Links to follow whose page is not stored yet, with the addresses of documents as stored ones."""
-    found = links(spark, sf_dir)
+    found = shared_links(spark, sf_dir)
     seen = found.filter("text < 'm'").select("url").distinct()
     return L.followable(found, seen).select("page_id", "url")
 
@@ -166,7 +172,7 @@ def frontier_outcomes(spark, sf_dir):
 
 def enqueued(spark, sf_dir):
     """The queue after new links were added: neither queued nor visited before."""
-    found = links(spark, sf_dir)
+    found = shared_links(spark, sf_dir)
     queue = found.filter("text < 'd'").select("url").distinct()
     visited = found.filter("text > 't'").select("url").distinct()
     return G.enqueue(queue, found, visited, ["url"])

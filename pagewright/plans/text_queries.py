@@ -10,7 +10,7 @@ from pagewright.functions import text as X
 from pagewright.operators import annotate as M
 from pagewright.operators import content as C
 from pagewright.plans import oracle as O
-from pagewright.plans.link_queries import links
+from pagewright.plans.link_queries import shared_links
 from pagewright.plans.page_queries import records, table
 
 
@@ -58,7 +58,7 @@ def content_prompts(spark, sf_dir):
 
 
 def link_prompts(spark, sf_dir):
-    found = links(spark, sf_dir)
+    found = shared_links(spark, sf_dir)
     both = M.link_prompts(found, top=3, context=M.page_context("page_url", "''")).withColumn("kind", F.lit("compact"))
     return both.unionByName(M.link_prompts(found, goal="news", top=30, compact=False).withColumn("kind", F.lit("wide")))
 
@@ -117,7 +117,7 @@ def strict_link_scores(spark, sf_dir):
 
 
 def fallback_scores(spark, sf_dir):
-    found = links(spark, sf_dir)
+    found = shared_links(spark, sf_dir)
     everything = M.fallback_scores(found).groupBy("page_id").agg(
         F.count("*").alias("links"), F.sum("relevance_score").alias("score"))
     sent = M.fallback_scores(found, sent=4).groupBy("page_id").agg(F.count("*").alias("sent"))

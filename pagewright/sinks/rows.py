@@ -141,7 +141,7 @@ def flatten(results: DataFrame) -> DataFrame:
 def numbered(results: DataFrame, order: list | None = None) -> DataFrame:
     """Results with their 1-based ``number`` in the report."""
     keys = order or [c for c in ("page_id", "url") if c in results.columns]
-    return number_rows(results, keys, "number")
+    return number_rows(results, keys, "number", costly=True)
 
 
 def page_title(title: str = "title", number: str = "number") -> str:

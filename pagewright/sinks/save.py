@@ -2,7 +2,8 @@
 
 An export is a folder.  Rows are written by all tasks; what belongs to the document as
 a whole (metadata, statistics, titles) is a file of its own next to them.  Nothing is
-collected.
+collected.  The folders of a Markdown report are numbered: their files, read in the
+order of their names, are the report.
 """
 
 from __future__ import annotations
@@ -83,33 +84,33 @@ def _filtered(results, options):
                            options.include_images, options.max_content_length)
 
 
-def _metadata(results: DataFrame, format_name: str, **extra) -> DataFrame:
-    """One row; the number of results is an aggregate, so it is computed by the tasks."""
+def _metadata(written: str, results: DataFrame, format_name: str, **extra) -> DataFrame:
+    """One row.  The results are counted in what was written, not by computing them again."""
     now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z"
-    return results.agg(F.count(F.lit(1)).alias("total_results")).select(
+    lines = results.sparkSession.read.text(written)
+    return lines.agg(F.count(F.lit(1)).alias("total_results")).select(
         *[F.lit(v).alias(k) for k, v in extra.items() if k == "_type"],
         F.lit(now).alias("exported_at"), F.lit(format_name).alias("format"),
         *[F.lit(v).alias(k) for k, v in extra.items() if k != "_type"], "total_results")
 
 
 def _save_json(results, path, stats, options):
+    R.json_line(_filtered(results, options)).write.mode("overwrite").text(f"{path}/data")
     if options.include_metadata:
-        _metadata(results, "json", version="1.0").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+        _metadata(f"{path}/data", results, "json", version="1.0").write.mode("overwrite").json(f"{path}/metadata")
     if stats is not None:
         stats.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/stats")
-    R.json_line(_filtered(results, options), indent=False).write.mode("overwrite").text(f"{path}/data")
 
 
 def _save_jsonl(results, path, stats, options):
-    lines = R.json_line(_filtered(results, options), "result")
     keep_nulls = {"ignoreNullFields": "false"}
-    if stats is not None:
-        lines = stats.select(F.to_json(F.struct("*", F.lit("stats").alias("_type")), keep_nulls).alias(
-            "value")).unionByName(lines)
+    R.json_line(_filtered(results, options), "result").write.mode("overwrite").text(path)
     if options.include_metadata:
-        head = _metadata(results, "jsonl", _type="metadata")
-        lines = head.select(F.to_json(F.struct("*"), keep_nulls).alias("value")).unionByName(lines)
-    lines.write.mode("overwrite").text(path)
+        _metadata(path, results, "jsonl", _type="metadata").select(
+            F.to_json(F.struct("*"), keep_nulls)).write.mode("append").text(path)
+    if stats is not None:
+        stats.select(F.to_json(F.struct("*", F.lit("stats").alias("_type")), keep_nulls)).write.mode(
+            "append").text(path)
 
 
 def _write_cells(cells: DataFrame, path: str, delimiter: str) -> None:
@@ -138,21 +139,25 @@ def _save_flat(results, path, stats, options):
 
 def _save_markdown(results, path, stats, options):
     pages = R.numbered(results)
-    head = results.agg(F.count(F.lit(1)).alias("n")).select(F.lit("# Web Scraping Results\n").alias("value"))
+    head = "# Web Scraping Results\n"
     if options.include_metadata:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
-        head = head.withColumn("value", F.concat("value", F.lit(
-            f"\n## Export Information\n\n- **Exported at:** {now}\n- **Format:** Markdown\n\n---\n")))
-    head.coalesce(1).write.mode("overwrite").text(f"{path}/0-head")
+        head += f"\n## Export Information\n\n- **Exported at:** {now}\n- **Format:** Markdown\n\n---\n"
+    one_row = results.sparkSession.range(1)
+    one_row.select(F.lit(head)).write.mode("overwrite").text(f"{path}/0-head")
     if stats is not None:
         R.stats_table(stats).write.mode("overwrite").text(f"{path}/1-stats")
-    if options.include_toc:
-        lines = R.contents_line(pages)
-        # A table of contents is only written for more than one page.
-        wanted = lines.join(lines.filter("number = 2").selectExpr("number > 0 AS _two"), F.lit(True), "left_semi")
-        wanted.orderBy("number").select("line").write.mode("overwrite").text(f"{path}/2-contents")
-    R.markdown_page(pages, options.heading_level, options.include_links, options.max_content_length).orderBy(
-        "number").select("markdown").write.mode("overwrite").text(f"{path}/3-pages")
+    ordered = pages.orderBy("number")
+    # A table of contents is only written for more than one page.
+    has_contents = options.include_toc and pages.limit(2).count() > 1
+    if has_contents:
+        R.contents_line(ordered).select(F.concat(
+            F.when(F.col("number") == 1, "## Table of Contents\n\n").otherwise(""), "line")).write.mode(
+            "overwrite").text(f"{path}/2-contents")
+    rule = "\n---\n\n" if has_contents else ""
+    one_row.select(F.lit(rule + "## Pages\n")).write.mode("overwrite").text(f"{path}/3-heading")
+    R.markdown_page(ordered, options.heading_level, options.include_links, options.max_content_length).select(
+        "markdown").write.mode("overwrite").text(f"{path}/4-pages")
 
 
 def _save_single(results, path, stats, options):
