@@ -1,10 +1,14 @@
 """Breadth-first crawls over a table of stored pages, for many start URLs at once.
 
 The link graph is built once (one parse of the pages, no html is shuffled) and
-co-partitioned by URL.  Each level is then one join of the frontier with the graph,
-one distinct and one anti-join with what was seen.  Levels are written to the shared
+co-partitioned by URL, so a level shuffles only its frontier: a join with the graph,
+a distinct and an anti-join with what was seen.  Levels are written to the shared
 scratch folder, which cuts lineage and survives the loss of executors; the driver only
 sees row counts.
+
+A page that very many crawls reach at the same level (a home page) would send all of
+their rows to one task.  Such addresses are counted first, and their rows are spread
+over `SALTS` copies of the page's few links.
 """
 
 from __future__ import annotations
@@ -19,15 +23,17 @@ from pagewright.operators.annotate import merge_scores
 from pagewright.operators.content import main_content, with_clean_tree
 from pagewright.operators.links import with_link_array, with_same_domain_targets
 from pagewright.session import scratch_folder
-from pagewright.sources.pages import spread
 from pagewright.sources.parse import parse_pages
 
 MIN_CONTENT_LENGTH = 100
+# An address with more frontier rows than this is spread over SALTS tasks.
+HOT_ROWS = 200_000
+SALTS = 64
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
     wanted = [c for c in ("page_id", "url", "html") if c in pages.columns]
-    return parse_pages(spread(pages.select(*wanted)))
+    return parse_pages(pages.select(*wanted))
 
 
 def _first_version(rows: DataFrame) -> DataFrame:
@@ -105,11 +111,25 @@ def _co_partitioned(graph: DataFrame) -> DataFrame:
         StorageLevel.DISK_ONLY)
 
 
+def _with_page(frontier: DataFrame, graph: DataFrame, how: str, hot_rows: int) -> DataFrame:
+    """Join frontier rows (seed, url, ...) with the graph rows of their address."""
+    hot = frontier.groupBy("url").agg(F.count(F.lit(1)).alias("_rows")).filter(
+        F.col("_rows") > hot_rows).select("url")
+    if hot.isEmpty():
+        return frontier.join(graph, "url", how)
+    hot = _written(hot, "hot-urls")
+    # Both sides of these joins are shuffled, so adaptive execution splits the hot partitions.
+    usual = frontier.join(hot, "url", "left_anti").join(graph, "url", how)
+    salted = frontier.join(hot, "url", "left_semi").withColumn("_salt", F.expr(f"pmod(xxhash64(seed), {SALTS})"))
+    copies = graph.join(hot, "url", "left_semi").withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return usual.unionByName(salted.join(copies, ["url", "_salt"], how).drop("_salt"))
+
+
 def _seeds(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.col("seed"), F.col("seed").alias("url")).distinct()
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every URL reachable on the domain of its start URL.
 
     `seeds` has a column ``seed``.  Result: (seed, url, depth, ok); ``ok`` is false where
@@ -122,12 +142,14 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     while size and (max_depth is None or depth < max_depth):
         depth += 1
         found = (
-            levels.last().join(graph.select("url", "targets"), "url")
+            _with_page(levels.last().select("seed", "url"), graph.select("url", "targets"), "inner", hot_rows)
             .select("seed", F.explode("targets").alias("url")).distinct()
         )
         new = found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti")
         size = levels.add(new.withColumn("depth", F.lit(depth)))
-    visited = _with_outcome(levels.all(), graph)
+    outcome = _with_page(levels.all(), graph.select("url", "ok"), "left", hot_rows).select(
+        "seed", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"))
+    visited = _written(outcome, "visited")
     graph.unpersist()
     return visited
 
@@ -139,14 +161,9 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def _with_outcome(visited: DataFrame, graph: DataFrame) -> DataFrame:
-    return _written(visited.join(graph.select("url", "ok"), "url", "left").select(
-        "seed", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok")), "visited")
-
-
 def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_depth: int = 5,
                   same_domain: bool = True, scores: DataFrame | None = None,
-                  min_content_length: int = MIN_CONTENT_LENGTH) -> DataFrame:
+                  min_content_length: int = MIN_CONTENT_LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Breadth-first crawl that stops after `max_pages` successes per seed.
 
     URLs are taken in queue order: by depth, then by the place of the page they were found
@@ -157,14 +174,17 @@ def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_
     graph = _co_partitioned(ranked_link_graph(pages, same_domain, scores, min_content_length))
     levels = _Levels(graph.sparkSession, "seed string, url string, depth int, place array<int>, ok boolean")
     frontier = _seeds(seeds).selectExpr("seed", "url", "cast(array() as array<int>) AS place")
-    depth, size = 0, 1
-    while size and depth <= max_depth:
-        tried = frontier.join(graph.select("url", "ok"), "url", "left").selectExpr(
+    depth = 0
+    while depth <= max_depth:
+        tried = _with_page(_written(frontier, "frontier"), graph.select("url", "ok"), "left", hot_rows).selectExpr(
             "seed", "url", f"{depth} AS depth", "place", "coalesce(ok, false) AS ok")
         size = levels.add(_within_budget(_written(tried, "tried"), levels, max_pages))
         depth += 1
+        if not size or depth > max_depth:
+            break
+        taken = levels.last().filter("ok").select("seed", "url", "place")
         found = (
-            levels.last().filter("ok").join(graph.select("url", "targets"), "url")
+            _with_page(taken, graph.select("url", "targets"), "inner", hot_rows)
             .selectExpr("seed", "place", "posexplode(targets) AS (_n, url)")
             .groupBy("seed", "url").agg(F.min(F.expr("concat(place, array(_n))")).alias("place"))
         )

@@ -2,7 +2,8 @@
 
 A window over a whole table, or over one hot host, would put everything into one task.
 `ordered_blocks` instead sorts by range into blocks; numbers and running sums then
-need only the totals of the earlier blocks, one row per block and group.
+need only the totals of the earlier blocks, one row per block and group.  Equal keys may
+lie in several blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ def ordered_blocks(rows: DataFrame, order: list, costly: bool = False) -> DataFr
         rows.write.parquet(staged)
         rows = spark.read.schema(rows.schema).parquet(staged)
     folder = scratch_folder(spark, "ordered")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(folder)
+    # The last key tells equal rows apart, so that one repeated key cannot fill a block.
+    keyed = rows.withColumn("_tie", F.monotonically_increasing_id())
+    keyed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").write.parquet(folder)
     blocks = spark.read.schema(rows.schema).parquet(folder)
     return blocks.select(
         "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("_block"),

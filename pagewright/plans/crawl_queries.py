@@ -13,6 +13,7 @@ from pagewright.operators import stats as A
 from pagewright.plans import oracle as O
 from pagewright.plans.link_queries import links, shared_links
 from pagewright.plans.page_queries import pages, records, table
+from pagewright.sources.pages import spread
 
 
 def crawl_pages(spark, sf_dir):
@@ -30,7 +31,7 @@ def order_pages(spark, sf_dir):
         html = f"concat('<body><h1>{kind} ', {key}, '</h1><p>', repeat('Some words of text. ', 6), '</p><a href=\"', {link}, '\">up</a>')"
         return rows.selectExpr(f"concat('http://shop.example.com/{kind}/', {key}) AS url", f"{html} AS html")
 
-    return (
+    return spread(
         page(table(spark, sf_dir, "orders"), "order", "o_orderkey", "concat('../customer/', o_custkey, '?ref=o')")
         .unionByName(page(table(spark, sf_dir, "customer"), "customer", "c_custkey", "concat('/nation/', c_nationkey)"))
         .unionByName(page(table(spark, sf_dir, "nation"), "nation", "n_nationkey", "concat('/region/', n_regionkey, '#r')"))

@@ -72,6 +72,23 @@ def test_bounded_crawl_equals_plain_search(spark):
         assert crawled == {s: search(graph, s, max_pages, max_depth, short) for s in starts}
 
 
+def test_hot_addresses_are_spread(spark):
+    graph = random_graph(random.Random(5), 40)
+    for url in graph:
+        graph[url] = [f"{HOST}/p0", *graph[url]]
+    graph[f"{HOST}/p0"] = [f"{HOST}/p{i}" for i in range(6)]
+    starts = [f"{HOST}/p{i}" for i in range(40)]
+    pages = site(spark, graph)
+    assert found(G.crawl(pages, seeds(spark, *starts), hot_rows=5)) == {s: search(graph, s) for s in starts}
+    assert found(G.bounded_crawl(pages, seeds(spark, *starts), 7, 4, hot_rows=5)) == {
+        s: search(graph, s, 7, 4) for s in starts}
+
+
+def test_equal_keys_are_numbered_once(spark):
+    rows = spark.range(2000).selectExpr("1 AS k", "id")
+    assert sorted(r.number for r in W.number_rows(rows, ["k"]).collect()) == list(range(1, 2001))
+
+
 def test_cycle_diamond_and_depth(spark):
     chain = {f"{HOST}/c{i}": [f"{HOST}/c{i + 1}"] for i in range(8)}
     graph = {f"{HOST}/a": [f"{HOST}/b", f"{HOST}/d"], f"{HOST}/b": [f"{HOST}/e"], f"{HOST}/d": [f"{HOST}/e"],
