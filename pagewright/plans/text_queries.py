@@ -203,7 +203,8 @@ ORACLE = {
         SELECT page_id, 'wide', {_sql(M.LINK_PROMPT_START + M.LINK_PROMPT_GOAL + 'news' + M.LINK_PROMPT_END)} || chr(10) || chr(10)
         || string_agg('- URL: ' || norm || ' | Text: ' || left(text, 80), chr(10) ORDER BY n) FROM k WHERE i <= 30 GROUP BY page_id""",
     "summary_prompts": """SELECT doc_id, 'Summarize the following content in 200 characters or less:' || chr(10) || chr(10) ||
-        text || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents""",
+        CASE WHEN length(text) > 100000 THEN left(text, 99900) || chr(10) || chr(10) || '[Content truncated...]' ELSE text END
+        || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents""",
     "summaries": """SELECT doc_id, CASE WHEN quality = 1 THEN left('S ' || text, 100) WHEN length(text) > 100
         THEN left(text, 100) || '...' ELSE text END AS start,
         CASE WHEN quality = 1 THEN left('S ' || text, 100) ELSE '' END AS strict
