@@ -58,8 +58,9 @@ _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 def clean_url(url: Sql) -> Sql:
     """Drop leading control characters and blanks, and all tabs and line ends."""
-    leading = r"^[\x00-\x20]+"
-    return f"translate(regexp_replace({url}, {regex(leading)}, ''), '\\t\\r\\n', '')"
+    leading, unclean = r"^[\x00-\x20]+", r"^[\x00-\x20]|[\t\r\n]"
+    return (f"if({url} rlike {regex(unclean)}, "
+            f"translate(regexp_replace({url}, {regex(leading)}, ''), '\\t\\r\\n', ''), {url})")
 
 
 def split_url(url: Sql) -> Sql:
@@ -88,6 +89,11 @@ def has_bad_brackets(authority: Sql) -> Sql:
     return f"(contains({authority}, '[') <> contains({authority}, ']'))"
 
 
+def is_unreadable(url: Sql) -> Sql:
+    """Does the address have a bad authority?  Addresses without brackets are not split."""
+    return f"((contains({url}, '[') or contains({url}, ']')) and {has_bad_brackets(netloc(url))})"
+
+
 def build_url(scheme: Sql, authority: Sql, path: Sql, params: Sql, query: Sql, fragment: Sql) -> Sql:
     """The inverse of `split_url`."""
     def assemble(p):
@@ -182,7 +188,8 @@ def strip_tracking_params(query: Sql) -> Sql:
 def normalize_url(url: Sql, strip_tracking: bool = True, include_fragments: bool = False) -> Sql:
     """L4: canonical http(s) URL, NULL for every other scheme and for bad authorities."""
     def canonical(p):
-        path = f"if({p}.path in ('', '/'), '/', regexp_replace({p}.path, '/+$', ''))"
+        path = (f"case when {p}.path in ('', '/') then '/' when endswith({p}.path, '/') "
+                f"then regexp_replace({p}.path, '/+$', '') else {p}.path end")
         query = strip_tracking_params(f"{p}.query") if strip_tracking else f"{p}.query"
         rebuilt = let(query, lambda q: build_url(
             f"{p}.scheme", f"lower({p}.netloc)", path, f"{p}.params", q,

@@ -17,8 +17,8 @@ from pagewright.functions.core import (
     SPACE_CLASS, Sql, collapse_spaces, either, exists, keep, let, regex, strip, struct, transform, truncate,
 )
 from pagewright.functions.urls import (
-    browser_url, has_bad_brackets, hostname, is_internal, is_page_href, is_resource, link_type, netloc, normalize_url,
-    resolve_parts, resolve_url, split_url, url_path,
+    browser_url, hostname, is_internal, is_page_href, is_resource, is_unreadable, link_type, netloc,
+    normalize_url, resolve_parts, resolve_url, split_url, url_path,
 )
 
 # Substrings of an ancestor's class or id that mark navigation.
@@ -73,7 +73,7 @@ def with_link_array(parsed: DataFrame, url_col: str = "url", strip_tracking: boo
     resolved = parsed.selectExpr("*", f"{_anchors('elements', 'texts')} AS _anchors").selectExpr(
         "*", f"{let(split_url(url_col), absolute)} AS _absolute")
     # A single unreadable address makes the page's link extraction fail as a whole.
-    bad = exists("_absolute", lambda x: has_bad_brackets(netloc(x + ".url")))
+    bad = exists("_absolute", lambda x: is_unreadable(x + ".url"))
     normal = keep(transform(f"if({bad}, array(), _absolute)", lambda x: struct(
         url=normalize_url(x + ".url", strip_tracking, include_fragments),
         pos=f"{x}.anchor.pos", anchor=f"{x}.anchor")), lambda x: f"{x}.url is not null")

@@ -60,9 +60,9 @@ def budget_crawl(spark, sf_dir):
         "c_custkey", "concat('http://shop.example.com/c/', c_custkey) AS url")
     text = "repeat('Some words of text. ', 6)"
     anchors = "array_join(transform(sequence(0, 29), n -> concat('<a href=\"/n/', n, '\">', n, '</a>')), ' ')"
-    site = customers.selectExpr("url", f"concat('<body><p>', {text}, '</p>', {anchors}) AS html").unionByName(
+    site = spread(customers.selectExpr("url", f"concat('<body><p>', {text}, '</p>', {anchors}) AS html").unionByName(
         table(spark, sf_dir, "nation").selectExpr(
-            "concat('http://shop.example.com/n/', n_nationkey) AS url", f"concat('<body><p>', {text}, '</p>') AS html"))
+            "concat('http://shop.example.com/n/', n_nationkey) AS url", f"concat('<body><p>', {text}, '</p>') AS html")))
     found = G.bounded_crawl(site, customers.selectExpr("url AS seed"), max_pages=10)
     return found.select("seed", "url", "depth", "ok")
 
@@ -72,9 +72,9 @@ def scored_crawl(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").selectExpr("concat('http://shop.example.com/c/', c_custkey) AS url")
     text = "repeat('Some words of text. ', 6)"
     anchors = "array_join(transform(sequence(0, 24), n -> concat('<a href=\"/n/', n, '\">', n, '</a>')), ' ')"
-    site = customers.selectExpr("url", f"concat('<body><p>', {text}, '</p>', {anchors}) AS html").unionByName(
+    site = spread(customers.selectExpr("url", f"concat('<body><p>', {text}, '</p>', {anchors}) AS html").unionByName(
         table(spark, sf_dir, "nation").selectExpr(
-            "concat('http://shop.example.com/n/', n_nationkey) AS url", f"concat('<body><p>', {text}, '</p>') AS html"))
+            "concat('http://shop.example.com/n/', n_nationkey) AS url", f"concat('<body><p>', {text}, '</p>') AS html")))
     scores = customers.selectExpr("url AS page_url", "explode(sequence(15, 24)) AS n").selectExpr(
         "page_url", "concat('http://shop.example.com/n/', n) AS url", "n / 25D AS relevance_score",
         "'content' AS link_type", "n <> 20 AS should_follow")
