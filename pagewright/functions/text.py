@@ -94,8 +94,15 @@ def percent_text(part: Sql, whole: Sql) -> Sql:
     return f"concat({fixed_decimals(share, 1)}, '%')"
 
 
-def _as_object(text: Sql) -> Sql:
-    return f"if(schema_of_variant(try_parse_json({text})) like 'OBJECT%', {text}, null)"
+def starts_object(text: Sql) -> Sql:
+    """Is this JSON text an object?  Only for text that is known to be JSON."""
+    opening = regex(r"^[ \t\n\r]*\{")
+    return f"({text} rlike {opening})"
+
+
+def whole_object(text: Sql) -> Sql:
+    """The text when all of it is one JSON object, else NULL."""
+    return f"if({starts_object(text)} and try_parse_json({text}) is not null, {text}, null)"
 
 
 def json_object(text: Sql, fenced: bool = True) -> Sql:
@@ -105,11 +112,11 @@ def json_object(text: Sql, fenced: bool = True) -> Sql:
     the last brace.  The first of them that is present decides.
     """
     fence, braces = regex(r"(?s)```json\s*(.*?)\s*```"), regex(r"(?s)\{.*\}")
-    block = let(f"regexp_extract({text}, {fence}, 1)", _as_object)
-    braced = let(f"regexp_extract({text}, {braces}, 0)", _as_object)
+    block = let(f"regexp_extract({text}, {fence}, 1)", whole_object)
+    braced = let(f"regexp_extract({text}, {braces}, 0)", whole_object)
     fence_step = f"when {text} rlike {fence} then {block}" if fenced else ""
     return f"""case
-        when try_parse_json({text}) is not null then {_as_object(text)}
+        when try_parse_json({text}) is not null then if({starts_object(text)}, {text}, null)
         {fence_step}
         when {text} rlike {braces} then {braced} end"""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions.core import Sql, either, every, non_empty, truncate
-from pagewright.functions.text import for_model, json_object, short_summary
+from pagewright.functions.text import for_model, json_object, short_summary, whole_object
 from pagewright.operators.ordering import top_per_page
 
 # The wording of the two prompts.
@@ -142,8 +142,7 @@ def parse_content_responses(responses: DataFrame, body: str = "body", strict: bo
     def texts(name):
         return f"coalesce(try_variant_get(_json, '$.{name}', 'array<string>'), cast(array() as array<string>))"
 
-    raw = json_object(body, fenced=True) if not strict else (
-        f"if(schema_of_variant(try_parse_json({body})) like 'OBJECT%', {body}, null)")
+    raw = whole_object(body) if strict else json_object(body, fenced=True)
     found = responses.selectExpr("*", f"{raw} AS _raw").selectExpr(
         "*", "try_parse_json(_raw) AS _json", "json_object_keys(_raw) AS _keys")
     score = ("if(array_contains(_keys, 'confidence_score'), "
@@ -184,8 +183,7 @@ def parse_link_scores(responses: DataFrame, body: str = "body", strict: bool = F
     With `strict` only answers that are JSON as a whole count, and a link without
     ``should_follow`` is not followed.
     """
-    raw = json_object(body, fenced=False) if not strict else (
-        f"if(schema_of_variant(try_parse_json({body})) like 'OBJECT%', {body}, null)")
+    raw = whole_object(body) if strict else json_object(body, fenced=False)
     kept = [c for c in responses.columns if c != body]
     numeric = every("_links", lambda x: (
         f"(({x}.relevance_score is null or try_cast({x}.relevance_score as double) is not null) and "

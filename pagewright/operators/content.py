@@ -337,8 +337,14 @@ def text_only(parsed: DataFrame, remove_noise: bool = True,
 
 
 def min_content(records: DataFrame, length: int = 100) -> DataFrame:
-    """Keep pages whose main content has at least `length` characters."""
-    return records.filter(F.length("main_content") >= length)
+    """Keep pages whose main content has at least `length` characters.
+
+    The generator keeps the filter above the extraction.  Pushed below it, the filter would
+    carry a copy of the expressions for the whole main content and run them a second time.
+    """
+    whole = ", ".join(f"'{c}', {c}" for c in records.columns)
+    return records.selectExpr(f"inline_outer(array(named_struct({whole})))").filter(
+        F.length("main_content") >= length)
 
 
 def to_results(records: DataFrame, **columns: Sql) -> DataFrame:
