@@ -250,5 +250,5 @@ ORACLE = {
         SELECT host, count(*) AS total_pages, count(*) FILTER (ok) AS successful_pages,
         count(*) FILTER (NOT ok) AS failed_pages, {_RATE} AS success_rate, coalesce(any_value(found), 0) AS total_links_found,
         coalesce(any_value(followed), 0) AS total_links_followed, avg(n / 4.0)::DOUBLE AS avg_load_time_ms,
-        sum(n) AS total_bytes_downloaded FROM r LEFT JOIN k USING (host) GROUP BY host""",
+        sum(n)::BIGINT AS total_bytes_downloaded FROM r LEFT JOIN k USING (host) GROUP BY host""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,24 +43,29 @@ def filter_fields(results: DataFrame, include_raw_html: bool = False, include_li
     return kept
 
 
-def json_line(results: DataFrame, kind: str | None = None, indent: bool = False) -> DataFrame:
+def _is_filled(results: DataFrame, column: str) -> str:
+    kind = results.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return f"coalesce({column} <> '', false)"
+    if isinstance(kind, T.MapType):
+        return f"coalesce(size({column}) > 0, false)"
+    return f"{column} is not null"
+
+
+def json_line(results: DataFrame, kind: str | None = None, pretty: bool = False) -> DataFrame:
     """K2-K4: each row as one JSON text, nulls included; optional fields only when filled.
 
     `kind` adds ``_type``."""
     columns = [c for c in results.columns if c in RESULT_COLUMNS]
+    optional = [c for c in OPTIONAL_COLUMNS if c in results.columns]
     tail = [F.lit(kind).alias("_type")] if kind else []
-    options = {"ignoreNullFields": "false", "pretty": str(indent).lower()}
-
-    def line(extra):
-        return F.to_json(F.struct(*columns, *extra, *tail), options)
-
-    value = line([])
-    for name in (c for c in OPTIONAL_COLUMNS if c in results.columns):
-        filled = F.expr(f"{name} is not null and cast(to_json(struct({name})) as string) not in "
-                        f"('{{\"{name}\":\"\"}}', '{{\"{name}\":{{}}}}')")
-        others = [c for c in OPTIONAL_COLUMNS if c in results.columns and c != name]
-        both = [*[c for c in OPTIONAL_COLUMNS if c in results.columns]]
-        value = F.when(filled, line([name] if not others else both)).otherwise(value)
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    value = F.to_json(F.struct(*columns, *tail), options)
+    # Larger sets of filled fields come later and are therefore tested first.
+    for size in range(1, len(optional) + 1):
+        for chosen in combinations(optional, size):
+            filled = F.expr(" and ".join(_is_filled(results, c) for c in chosen))
+            value = F.when(filled, F.to_json(F.struct(*columns, *chosen, *tail), options)).otherwise(value)
     return results.select(value.alias("value"))
 
 

@@ -30,9 +30,10 @@ EXTENSIONS = {
 
 @dataclass
 class ExportOptions:
-    """Settings of an export; the defaults are those of every format."""
+    """Settings of an export.  `pretty_print` indents the records of a JSON export; it is off
+    by default, so that every line is a record and tasks can split the files."""
 
-    pretty_print: bool = True
+    pretty_print: bool = False
     include_metadata: bool = True
     include_stats: bool = True
     include_raw_html: bool = False
@@ -87,7 +88,8 @@ def _filtered(results, options):
 def _metadata(written: str, results: DataFrame, format_name: str, **extra) -> DataFrame:
     """One row.  The results are counted in what was written, not by computing them again."""
     now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z"
-    lines = results.sparkSession.read.text(written)
+    # Indented or not, only the first line of a record starts with its brace.
+    lines = results.sparkSession.read.text(written).filter("startswith(value, '{')")
     return lines.agg(F.count(F.lit(1)).alias("total_results")).select(
         *[F.lit(v).alias(k) for k, v in extra.items() if k == "_type"],
         F.lit(now).alias("exported_at"), F.lit(format_name).alias("format"),
@@ -95,7 +97,7 @@ def _metadata(written: str, results: DataFrame, format_name: str, **extra) -> Da
 
 
 def _save_json(results, path, stats, options):
-    R.json_line(_filtered(results, options)).write.mode("overwrite").text(f"{path}/data")
+    R.json_line(_filtered(results, options), pretty=options.pretty_print).write.mode("overwrite").text(f"{path}/data")
     if options.include_metadata:
         _metadata(f"{path}/data", results, "json", version="1.0").write.mode("overwrite").json(f"{path}/metadata")
     if stats is not None:

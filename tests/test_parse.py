@@ -110,3 +110,14 @@ def test_many_pages_in_one_batch(spark):
     pages = spark.range(0, 900, 1, 1).selectExpr("id AS page_id", f"'{html}' AS html")
     counts = P.parse_pages(pages).selectExpr("page_id", "size(elements) AS n", "size(texts) AS t").distinct().collect()
     assert len(counts) == 900 and {(r.n, r.t) for r in counts} == {(501, 500)}
+
+
+def test_broken_page_between_sound_ones(page):
+    from pagewright.operators.content import extract_pages, text_only
+
+    parsed = page("<title>a</title>", "<title>b</title><p>x &amp; y</p><![foo]>", "<title>c</title>", keep_html=True)
+    rows = extract_pages(parsed).orderBy("page_id").collect()
+    assert [(r.title, r.extraction_success) for r in rows] == [("a", True), ("", False), ("c", True)]
+    assert "foo" in rows[1].error or rows[1].error
+    assert rows[1].html.startswith("<title>b")
+    assert [r.text for r in text_only(parsed).orderBy("page_id").collect()] == ["a", "b x & y", "c"]

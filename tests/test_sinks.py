@@ -5,6 +5,7 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import stats as A
 from pagewright.sinks import rows as R
@@ -99,6 +100,23 @@ def test_json_lines(results, stats, tmp_path):
     assert "raw_html" not in next(r for r in rows if r.get("url") == "http://u/2")
 
 
+def test_indented_json_and_optional_fields(results, spark, tmp_path):
+    rows = results.withColumn("llm_analysis", F.expr("if(url like '%1', map('k', 'v'), map())"))
+    options = S.ExportOptions(include_raw_html=True, pretty_print=True)
+    path = S.save(rows, str(tmp_path / "doc.json"), options=options)
+    text = read_text(f"{path}/data")
+    assert '\n  "url" : "http://u/1"' in text
+    assert json.loads(read_text(f"{path}/metadata"))["total_results"] == 2
+    compact = {}
+    for row in R.json_line(rows).collect():
+        record = json.loads(row.value)
+        compact[record["url"]] = record
+    assert (compact["http://u/1"]["raw_html"], compact["http://u/1"]["llm_analysis"]) == ("<p>", {"k": "v"})
+    assert "raw_html" not in compact["http://u/2"] and "llm_analysis" not in compact["http://u/2"]
+    only_one = R.json_line(rows.withColumn("raw_html", F.lit(None).cast("string"))).collect()
+    assert all("raw_html" not in r.value for r in only_one) and any("llm_analysis" in r.value for r in only_one)
+
+
 def test_markdown_report(results, stats, tmp_path):
     path = S.save(results, str(tmp_path / "report"), "markdown", stats=stats,
                   options=S.ExportOptions(max_content_length=10, include_metadata=False))
