@@ -2,8 +2,8 @@
 
 Grades 0 < 1 < ... share one weight vector over sparse features and differ only in ordered
 thresholds: ``P(grade > k) = sigmoid(w.x - t_k)``.  The expected severity is the sum of these
-chances.  The labels say only whether a text is toxic; toxic texts are graded by the share of
-words that occur in toxic texts alone, cut at its quantiles.
+chances.  The labels say only whether a text is toxic; toxic texts are graded by how many
+features they have that occur in toxic texts alone, cut at the quantiles of that number.
 
 Features of a text are its distinct words and their beginnings of four and five letters, so that
 inflected forms share evidence.  The dictionary and the weights come from at most `SAMPLE`
@@ -32,10 +32,11 @@ from pagewright.session import scratch_folder
 #: Bound of the labelled sample, of the dictionary and of the words that a feature must occur in
 SAMPLE, FEATURES, LEAST_TEXTS = 10_000, 4_096, 3
 GRADES = 3
-THRESHOLD = 0.5
 STEPS, RATE, DECAY = 400, 0.1, 1e-5
 #: A feature is kept if toxic texts have it this many times as often as others, or the reverse
 LEAST_RATIO = 4.0
+#: Least chi-square of a feature, so that chance features of long texts stay out
+LEAST_CHI = 24.0
 PREFIXES = (4, 5)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,6 +55,8 @@ def text_features(text: str | None) -> set[str]:
 class Model:
     weight: dict[str, float]
     thresholds: np.ndarray
+    #: Texts whose chance of any grade above 0 reaches this are toxic
+    cut: float = 0.5
 
     def severity(self, text: str | None) -> tuple[float, float]:
         """Chance of any grade above 0, and the expected grade."""
@@ -68,12 +71,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def grades_of(toxic: np.ndarray, share: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """Grade 0 for clean texts; toxic ones by quantiles of their share of toxic-only features."""
+def grades_of(toxic: np.ndarray, strong: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """Grade 0 for clean texts; toxic ones by quantiles of their number of toxic-only features."""
     if not toxic.any():
         return np.zeros(len(toxic), dtype=np.int64)
-    cuts = np.quantile(share[toxic], np.arange(1, grades - 1) / (grades - 1))
-    return np.where(toxic, 1 + np.searchsorted(cuts, share, "left"), 0)
+    cuts = np.quantile(strong[toxic], np.arange(1, grades - 1) / (grades - 1))
+    return np.where(toxic, 1 + np.searchsorted(cuts, strong, "left"), 0)
 
 
 def likelihood_slopes(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +118,18 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, weight: np.ndarray, wid
     return w, np.cumsum(np.concatenate([g[:1], np.exp(g[1:])]))
 
 
+def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
+    """The chance that separates toxic from clean texts with fewest errors, amid its gap."""
+    order = np.argsort(chance, kind="stable")
+    ordered, bad = chance[order], toxic[order]
+    # Errors of a cut before each place: toxic ones below and clean ones from there on.
+    errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum(~bad[::-1])[::-1], [0]])
+    edges = np.concatenate([[0.0], ordered, [1.0]])
+    gap = np.where(errors == errors.min(), np.diff(edges), -1)
+    best = int(np.argmax(gap))
+    return float((edges[best] + edges[best + 1]) / 2)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES) -> Model | None:
     """Fit on a bounded sample of labelled documents; None without toxic ones."""
     spark = docs.sparkSession
@@ -148,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
     ratio = f"((a + 0.5D) / {n1}) / ((b + 0.5D) / {n0})"
     expected = f"((a + b) * {n1}D / {n1 + n0})"
     chosen = counted.where(f"{ratio} >= {LEAST_RATIO} OR {ratio} <= 1 / {LEAST_RATIO}D").selectExpr(
-        "f", "a", "b", f"pow(a - {expected}, 2) / {expected} AS chi").orderBy(F.desc("chi"), "f").limit(FEATURES).collect()
+        "f", "a", "b", f"pow(a - {expected}, 2) / {expected} AS chi").where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "f").limit(FEATURES).collect()
     if not chosen:
         return None
     index = {r["f"]: i for i, r in enumerate(chosen)}
@@ -159,18 +174,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
             found = batch.column("found").to_pylist()
             yield pa.record_batch(
                 [batch.column("toxic"), pa.array([sorted(index[f] for f in t if f in index) for t in found], pa.list_(pa.int32())),
-                 pa.array([sum(f in only for f in t) / max(1, len(t)) for t in found], pa.float64())],
-                ["toxic", "cells", "share"])
+                 pa.array([sum(f in only for f in t) for t in found], pa.int32())],
+                ["toxic", "cells", "strong"])
 
-    got = texts.mapInArrow(look, "toxic int, cells array<int>, share double").collect()
-    got.sort(key=lambda r: (r["toxic"], r["share"], r["cells"]))
+    got = texts.mapInArrow(look, "toxic int, cells array<int>, strong int").collect()
+    got.sort(key=lambda r: (r["toxic"], r["strong"], r["cells"]))
     toxic = np.array([r["toxic"] == 1 for r in got])
-    y = grades_of(toxic, np.array([r["share"] for r in got]), grades)
+    y = grades_of(toxic, np.array([r["strong"] for r in got]), grades)
     row = np.repeat(np.arange(len(got)), [len(r["cells"]) for r in got])
     col = np.array([c for r in got for c in r["cells"]], dtype=np.int64)
     weight = np.where(toxic, total[1] / n1, total.get(0, 0) / n0)
     w, thresholds = fit(row, col, y, weight, len(index), grades)
-    return Model({f: float(w[i]) for f, i in index.items()}, thresholds)
+    chance = _sigmoid(np.bincount(row, w[col], len(got)) - thresholds[0])
+    return Model({f: float(w[i]) for f, i in index.items()}, thresholds, best_cut(chance, toxic))
+
+
+def _cut(model: Model | None, threshold: float | None) -> float:
+    return threshold if threshold is not None else model.cut if model else 0.5
 
 
 def _severities(model: Model | None, column: pa.Array) -> np.ndarray:
@@ -179,8 +199,10 @@ def _severities(model: Model | None, column: pa.Array) -> np.ndarray:
     return np.array([model.severity(t) for t in column.to_pylist()], dtype=float).reshape(-1, 2)
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, threshold: float | None = None) -> DataFrame:
     """doc_id, chance of being toxic, expected severity and the decision for every document."""
+    threshold = _cut(model, threshold)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in hashing.slices(batch, "text"):
@@ -192,10 +214,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chance double, severity double, toxic boolean")
 
 
-def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose chance of being toxic is below `threshold`, all columns as they are."""
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float | None = None) -> DataFrame:
+    """The rows whose chance of being toxic is below `threshold` (the model's cut), all columns as they are."""
     if model is None:
         return docs
+    threshold = _cut(model, threshold)
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
