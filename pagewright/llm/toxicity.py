@@ -125,6 +125,8 @@ def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
     # Errors of a cut before each place: toxic ones below and clean ones from there on.
     errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum(~bad[::-1])[::-1], [0]])
     edges = np.concatenate([[0.0], ordered, [1.0]])
+    # No cut fits between equal chances.
+    errors = np.where(np.diff(edges) > 1e-6, errors, len(order) + 1)
     gap = np.where(errors == errors.min(), np.diff(edges), -1)
     best = int(np.argmax(gap))
     return float((edges[best] + edges[best + 1]) / 2)
