@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pagewright.plans import ORACLE, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
