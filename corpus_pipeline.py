@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import quality, toxicity
+from pagewright.llm import ngram_join, pieces, quality, tiling, toxicity
 from pagewright.session import scratch_folder
 
 
@@ -22,9 +22,30 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies: the one with the smallest id."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold benchmark items."""
+    return tiling.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document."""
+    return pieces.encode(docs, pieces.Vocabulary.load(PIECES))
+
+
+#: Vocabulary file
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 STAGES = [
     ("quality", good_quality),
     ("toxicity", not_toxic),
+    ("near duplicates", distinct),
+    ("decontamination", uncontaminated),
+    ("pieces", encoded),
 ]
 
 #: Models and near-duplicate search can't be said in SQL; the tests compare with brute force.
@@ -34,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        folder = scratch_folder(spark, f"pipeline-{name}")
+        folder = scratch_folder(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return docs

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import ngram_join, quality, toxicity
+from pagewright.llm import ngram_join, pieces, quality, tiling, toxicity
+
+#: Vocabulary file of the queries; operators take a path
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +19,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
@@ -25,5 +32,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_ngram_join, op9_quality)}
+def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_pieces, op5_ngram_join, op9_quality, op10_tiling)}
 ORACLE: dict[str, str] = {}
