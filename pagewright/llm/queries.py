@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import ngram_join, pieces, quality, tiling, toxicity
+from pagewright.llm import ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter
 
 #: Vocabulary file of the queries; operators take a path
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +14,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_read(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
@@ -36,5 +44,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_pieces, op5_ngram_join, op9_quality, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op9_quality, op10_tiling)}
 ORACLE: dict[str, str] = {}
