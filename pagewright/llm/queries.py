@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter
+from pagewright.llm import ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter, vector_graph
 
 #: Vocabulary file of the queries; operators take a path
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,6 +35,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(_read(spark, sf_dir, "documents"))
 
 
+def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, _read(spark, sf_dir, "labels")))
@@ -44,5 +48,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op9_quality, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op6_vector_graph, op9_quality, op10_tiling)}
 ORACLE: dict[str, str] = {}

@@ -20,7 +20,9 @@ other columns take no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#:%"
@@ -115,6 +117,17 @@ def threshold_of(scored: DataFrame) -> DataFrame:
     return best.agg(F.coalesce(F.max("bin") * F.lit(STEP), F.lit(0.0)).alias("threshold"))
 
 
+def _constant(row: DataFrame, kind: str, names: list[str]) -> Column:
+    """The only value of a one-row table as a session variable; array functions take no subqueries."""
+    spark, name = row.sparkSession, f"value_{uuid.uuid4().hex}"
+    names.append(name)
+    row.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} {kind}")
+    spark.sql(f"SET VARIABLE {name} = (SELECT * FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(name)
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, difference (per character) and threshold of every page."""
     host, path = host_and_path()
@@ -122,15 +135,20 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = found.selectExpr("page_id", "url", "host", "path", "found.rule AS rule", "found.verdict AS verdict")
     # URLs decide their fold, so copies of one never lie on both sides.
     ruled = urls.where("rule IS NOT NULL").selectExpr("verdict", f"{grams()} AS grams", f"pmod(xxhash64(url), {FOLDS}) AS fold")
-    weights = log_ratios(ruled.where("fold > 0")).scalar()
+    names: list[str] = []
+    weights = _constant(log_ratios(ruled.where("fold > 0")), "array<double>", names)
 
     def difference(frame: DataFrame) -> DataFrame:
         total = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.element_at(weights, g + 1))
         return frame.withColumn("difference", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
 
-    threshold = threshold_of(difference(ruled.where("fold = 0"))).scalar()
+    threshold = _constant(threshold_of(difference(ruled.where("fold = 0"))), "double", names)
     judged = difference(urls.withColumn("grams", F.expr(grams()))).withColumn("threshold", threshold)
-    return judged.select(
+    result = judged.select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("difference") >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"),
         "difference", "threshold")
+    # The values are part of the plan by now.
+    for name in names:
+        pages.sparkSession.sql(f"DROP TEMPORARY VARIABLE {name}")
+    return result
