@@ -38,7 +38,7 @@ from pagewright.session import scratch_folder
 
 UNITS, GROUPS, KNOWN, TRIPLES = 1_024, 384, 262_144, 100_000
 ALL = UNITS + GROUPS
-WIDTH, STEPS, PAIRS, NOISE, RATE = 32, 600, 8_192, 64, 0.1
+WIDTH, STEPS, PAIRS, NOISE, RATE = 32, 500, 4_096, 64, 0.1
 #: Texts whose id falls into this fold are scored, not learned from
 FOLD, FOLDS = 2, 7
 
@@ -134,7 +134,7 @@ def contrast(first: np.ndarray, second: np.ndarray, weight: np.ndarray, alone: n
         noise = np.minimum(np.searchsorted(noise_bounds, rng.random(NOISE)), size - 1)
         a, b = first[drawn], second[drawn]
         la, rb, rn = left[a], right[b], right[noise]
-        log_k = np.log(NOISE)
+        log_k = float(np.log(NOISE))
         real = 1 / (1 + np.exp(np.clip((la * rb).sum(1) + bias[b] - log_k - log_alone[b], -30, 30)))
         fake = 1 / (1 + np.exp(-np.clip(la @ rn.T + bias[noise] - log_k - log_alone[noise], -30, 30)))
         grads = [

@@ -37,7 +37,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Most hash functions that a choice of bands may need
 MOST_HASHES = 200
 #: Members of a block; a task holds two blocks
-BLOCK = 1_000
+BLOCK = 400
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
