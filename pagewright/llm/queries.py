@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import log_bilinear, ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter, vector_graph
+from pagewright.llm import chat, log_bilinear, ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter, vector_graph
 
 #: Vocabulary file of the queries; operators take a path
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(_read(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op6_vector_graph, op8_log_bilinear, op9_quality, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op6_vector_graph, op7_chat, op8_log_bilinear, op9_quality, op10_tiling)}
 ORACLE: dict[str, str] = {}
