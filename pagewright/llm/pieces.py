@@ -35,7 +35,7 @@ MARK = "▁"
 #: Words a worker keeps with their ids
 CACHE = 300_000
 #: Text that is encoded at a time: more shares more words
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 
 # Kinds of pieces in the model file
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
@@ -202,7 +202,7 @@ class Lattice:
                 limit, left = 2 * rank[left], v.right[left]
             else:
                 limit, right = 2 * rank[right] + 1, v.left[right]
-        if len(self._apart) < 2_000_000:
+        if len(self._apart) < 500_000:
             self._apart[key] = result
         return result
 
