@@ -112,7 +112,7 @@ def threshold_of(scored: DataFrame) -> DataFrame:
     rates = bins.selectExpr(
         "bin", "sum(allow) OVER (ORDER BY bin DESC) AS kept", "sum(allow) OVER () AS allowed",
         "sum(block) OVER (ORDER BY bin) - block AS dropped", "sum(block) OVER () AS blocked")
-    best = rates.selectExpr("bin", "kept / allowed + dropped / blocked AS good").where("good IS NOT NULL").orderBy(
+    best = rates.selectExpr("bin", "kept / nullif(allowed, 0) + dropped / nullif(blocked, 0) AS good").where("good IS NOT NULL").orderBy(
         F.desc("good"), F.abs("bin"), "bin").limit(1)
     return best.agg(F.coalesce(F.max("bin") * F.lit(STEP), F.lit(0.0)).alias("threshold"))
 
