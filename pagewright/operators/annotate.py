@@ -213,11 +213,12 @@ def fallback_scores(links: DataFrame, sent: int | None = None, page: str = "page
 def merge_scores(links: DataFrame, scores: DataFrame, on: list[str] = ("page_url", "url")) -> DataFrame:
     """Scored links take the type and the follow flag of their score, others keep theirs.
 
-    Of several scores for a link the last in the answer counts.
+    Of several scores for a link the last in the answer counts; without a ``place``, or with
+    equal ones, the largest by relevance, type and flag.
     """
-    last = F.col("place") if "place" in scores.columns else F.lit(0)
-    best = scores.groupBy(*on).agg(F.max_by(
-        F.struct("relevance_score", "link_type", "should_follow"), last).alias("_score"))
+    fields = ["relevance_score", "link_type", "should_follow"]
+    place = ["place"] if "place" in scores.columns else []
+    best = scores.groupBy(*on).agg(F.max(F.struct(*place, *fields)).alias("_score"))
     return links.join(best, list(on), "left").select(
         *[c for c in links.columns if c not in ("link_type", "follow")],
         F.coalesce("_score.link_type", "link_type").alias("link_type"),
@@ -226,10 +227,13 @@ def merge_scores(links: DataFrame, scores: DataFrame, on: list[str] = ("page_url
 
 
 def merge_annotations(records: DataFrame, annotations: DataFrame, on: str = "page_id") -> DataFrame:
-    """Non-empty model fields replace those of the record."""
+    """Non-empty model fields replace those of the record.
+
+    Of several annotations of a page, each field takes the largest non-empty value.
+    """
     replaced = ["main_content", "title", "author", "date_published"]
     added = ["summary", "content_type"]
-    side = annotations.select(on, *[F.col(c).alias(f"_{c}") for c in replaced + added])
+    side = annotations.groupBy(on).agg(*[F.max(F.expr(non_empty(c))).alias(f"_{c}") for c in replaced + added])
     joined = records.join(side, on, "left")
     return joined.selectExpr(
         *[c for c in records.columns if c not in replaced],

@@ -1,34 +1,33 @@
 """Breadth-first crawls over a table of stored pages, for many start URLs at once.
 
-The link graph is built once (one parse of the pages, no html is shuffled) and
-co-partitioned by URL, so a level shuffles only its frontier: a join with the graph,
-a distinct and an anti-join with what was seen.  Levels are written to the shared
-scratch folder, which cuts lineage and survives the loss of executors; the driver only
-sees row counts.
-
-A page that very many crawls reach at the same level (a home page) would send all of
-their rows to one task.  Such addresses are counted first, and their rows are spread
-over `SALTS` copies of the page's few links.
+The link graph is built once (one parse of the pages, no html is shuffled) and written.
+A level joins its frontier with the graph, takes outcome and targets along, and is written
+to the shared scratch folder, which cuts lineage and survives the loss of executors; the
+next frontier comes from those rows.  Joins are left to the optimiser: it broadcasts a
+small frontier, and splits the rows of an address that very many crawls reach at once.
+The driver only sees row counts.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.core import keep, transform
-from pagewright.functions.urls import netloc
-from pagewright.operators.annotate import merge_scores
-from pagewright.operators.content import main_content, with_clean_tree
+from pagewright.functions.urls import netloc, normalize_url
+from pagewright.operators.annotate import merge_annotations, merge_scores
+from pagewright.operators.content import extract_pages, main_content, with_clean_tree
 from pagewright.operators.links import with_link_array, with_same_domain_targets
+from pagewright.operators.ordering import number_within
 from pagewright.session import scratch_folder
 from pagewright.sources.parse import parse_pages
 
 MIN_CONTENT_LENGTH = 100
-# An address with more frontier rows than this is spread over SALTS tasks.
-HOT_ROWS = 200_000
-SALTS = 64
+
+
+def canonical(url: str) -> str:
+    """The address a page is found by; addresses without a canonical form stand for themselves."""
+    return f"coalesce({normalize_url(url)}, {url})"
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -56,9 +55,10 @@ def link_graph(pages: DataFrame) -> DataFrame:
 
 def ranked_link_graph(pages: DataFrame, same_domain: bool = True, scores: DataFrame | None = None,
                       min_content_length: int = MIN_CONTENT_LENGTH, remove_noise: bool = True) -> DataFrame:
-    """Rows (url, ok, targets) for the bounded crawl; targets in the order they are queued.
+    """Rows (url, stored, ok, targets) for the bounded crawl; targets in the order they are queued.
 
-    C3: with scores (page_url, url, relevance_score, link_type, should_follow) links are
+    ``url`` is the canonical address, by which links find pages; ``stored`` is the address of
+    the version with the lowest id.  C3: with scores (page_url, url, relevance_score, link_type, should_follow) links are
     queued by relevance, highest first, 0.5 where there is no score.
     """
     found = with_link_array(with_clean_tree(_parsed(pages), remove_noise))
@@ -67,17 +67,18 @@ def ranked_link_graph(pages: DataFrame, same_domain: bool = True, scores: DataFr
     targets = keep("_links", lambda x: f"{x}.url is not null" + near.replace("{0}", x))
     ids = [c for c in ("page_id",) if c in found.columns]
     graph = _first_version(found.selectExpr(
-        *ids, "url", f"(parse_error is null and length({content}) >= {min_content_length}) AS ok",
+        *ids, f"{canonical('url')} AS url", "url AS stored",
+        f"(parse_error is null and length({content}) >= {min_content_length}) AS ok",
         f"{transform(targets, lambda x: x + '.url')} AS targets"))
     if scores is None:
         return graph
-    queued = graph.selectExpr("url AS page_url", "posexplode(targets) AS (pos, url)", "'content' AS link_type",
+    queued = graph.selectExpr("stored AS page_url", "posexplode(targets) AS (pos, url)", "'content' AS link_type",
                               "true AS follow")
     # The links of one page came out of one row, so they fit into one again.
     ranked = merge_scores(queued, scores).filter("follow").groupBy("page_url").agg(F.sort_array(F.collect_list(
         F.struct((-F.col("relevance_score")).alias("_order"), "pos", "url"))).alias("_links"))
-    return graph.select("url", "ok").join(ranked.withColumnRenamed("page_url", "url"), "url", "left").selectExpr(
-        "url", "ok", "coalesce(_links.url, cast(array() as array<string>)) AS targets")
+    return graph.select("url", "stored", "ok").join(ranked.withColumnRenamed("page_url", "stored"), "stored", "left").selectExpr(
+        "url", "stored", "ok", "coalesce(_links.url, cast(array() as array<string>)) AS targets")
 
 
 class _Levels:
@@ -94,6 +95,12 @@ class _Levels:
         rows.write.parquet(self.paths[-1])
         return self.last().count()
 
+    def replace_last(self, rows: DataFrame) -> None:
+        """Write the last level anew."""
+        path = f"{self.paths[-1]}-cut"
+        rows.write.parquet(path)
+        self.paths[-1] = path
+
     def last(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
@@ -101,120 +108,126 @@ class _Levels:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def _co_partitioned(graph: DataFrame) -> DataFrame:
-    """Write the graph once and keep it hash-partitioned by URL for every level."""
-    spark = graph.sparkSession
-    folder = scratch_folder(spark, "graph")
-    graph.write.parquet(folder)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.read.schema(graph.schema).parquet(folder).repartition(partitions, "url").persist(
-        StorageLevel.DISK_ONLY)
-
-
-def _with_page(frontier: DataFrame, graph: DataFrame, how: str, hot_rows: int) -> DataFrame:
-    """Join frontier rows (seed, url, ...) with the graph rows of their address."""
-    hot = frontier.groupBy("url").agg(F.count(F.lit(1)).alias("_rows")).filter(
-        F.col("_rows") > hot_rows).select("url")
-    if hot.isEmpty():
-        return frontier.join(graph, "url", how)
-    hot = _written(hot, "hot-urls")
-    # Both sides of these joins are shuffled, so adaptive execution splits the hot partitions.
-    usual = frontier.join(hot, "url", "left_anti").join(graph, "url", how)
-    salted = frontier.join(hot, "url", "left_semi").withColumn("_salt", F.expr(f"pmod(xxhash64(seed), {SALTS})"))
-    copies = graph.join(hot, "url", "left_semi").withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    return usual.unionByName(salted.join(copies, ["url", "_salt"], how).drop("_salt"))
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the scratch folder: read more than once, computed once."""
+    folder = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
 def _seeds(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.col("seed"), F.col("seed").alias("url")).distinct()
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every URL reachable on the domain of its start URL.
 
     `seeds` has a column ``seed``.  Result: (seed, url, depth, ok); ``ok`` is false where
-    the URL is not among the stored pages.
+    the URL is not among the stored pages.  Addresses are compared as they are.
     """
-    graph = _co_partitioned(link_graph(pages))
-    levels = _Levels(graph.sparkSession, "seed string, url string, depth int")
-    size = levels.add(_seeds(seeds).withColumn("depth", F.lit(0)))
-    depth = 0
-    while size and (max_depth is None or depth < max_depth):
-        depth += 1
-        found = (
-            _with_page(levels.last().select("seed", "url"), graph.select("url", "targets"), "inner", hot_rows)
-            .select("seed", F.explode("targets").alias("url")).distinct()
-        )
-        new = found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti")
-        size = levels.add(new.withColumn("depth", F.lit(depth)))
-    outcome = _with_page(levels.all(), graph.select("url", "ok"), "left", hot_rows).select(
-        "seed", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"))
-    visited = _written(outcome, "visited")
-    graph.unpersist()
-    return visited
+    graph = _written(link_graph(pages), "graph")
+    levels = _Levels(graph.sparkSession, "seed string, url string, depth int, ok boolean, targets array<string>")
 
+    def visit(frontier, depth):
+        return levels.add(frontier.join(graph, "url", "left").select(
+            "seed", "url", F.lit(depth).alias("depth"), F.coalesce("ok", F.lit(False)).alias("ok"), "targets"))
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the scratch folder: read twice below, computed once."""
-    folder = scratch_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    depth, size = 0, visit(_seeds(seeds), 0)
+    while size and (max_depth is None or depth < max_depth):
+        depth += 1
+        found = levels.last().select("seed", F.explode("targets").alias("url")).distinct()
+        size = visit(found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti"), depth)
+    return levels.all().drop("targets")
 
 
 def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_depth: int = 5,
                   same_domain: bool = True, scores: DataFrame | None = None,
-                  min_content_length: int = MIN_CONTENT_LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  min_content_length: int = MIN_CONTENT_LENGTH) -> DataFrame:
     """Breadth-first crawl that stops after `max_pages` successes per seed.
 
     URLs are taken in queue order: by depth, then by the place of the page they were found
     on, then by their place in that page's queue.  ``place`` holds that order, so the cut at
-    `max_pages` is the same however the work is spread.  Result: (seed, url, depth, place, ok);
-    a URL that is missing or too short is tried once and counts as failed.
+    `max_pages` is the same however the work is spread.  Links lead to the stored page with
+    the same canonical address.  Result: (seed, url, depth, place, ok, stored); ``stored`` is
+    the page's own address.  A URL that is missing or too short is tried once and counts as
+    failed.
     """
-    graph = _co_partitioned(ranked_link_graph(pages, same_domain, scores, min_content_length))
-    levels = _Levels(graph.sparkSession, "seed string, url string, depth int, place array<int>, ok boolean")
-    frontier = _seeds(seeds).selectExpr("seed", "url", "cast(array() as array<int>) AS place")
-    depth = 0
-    while depth <= max_depth:
-        tried = _with_page(_written(frontier, "frontier"), graph.select("url", "ok"), "left", hot_rows).selectExpr(
-            "seed", "url", f"{depth} AS depth", "place", "coalesce(ok, false) AS ok")
-        size = levels.add(_within_budget(_written(tried, "tried"), levels, max_pages))
-        depth += 1
-        if not size or depth > max_depth:
+    graph = _written(ranked_link_graph(pages, same_domain, scores, min_content_length), "graph")
+    levels = _Levels(graph.sparkSession, "seed string, url string, depth int, place array<int>, ok boolean, "
+                                         "stored string, targets array<string>")
+    frontier = _seeds(seeds).selectExpr("seed", "url", f"{canonical('url')} AS _key", "cast(array() as array<int>) AS place")
+    pages_of = graph.withColumnRenamed("url", "_key")
+    used = None
+    for depth in range(max_depth + 1):
+        tried = frontier.join(pages_of, "_key", "left").selectExpr(
+            "seed", "url", f"{depth} AS depth", "place", "coalesce(ok, false) AS ok", "stored", "if(ok, targets, null) AS targets")
+        if not levels.add(tried):
             break
-        taken = levels.last().filter("ok").select("seed", "url", "place")
-        found = (
-            _with_page(taken, graph.select("url", "targets"), "inner", hot_rows)
-            .selectExpr("seed", "place", "posexplode(targets) AS (_n, url)")
-            .groupBy("seed", "url").agg(F.min(F.expr("concat(place, array(_n))")).alias("place"))
-        )
-        frontier = found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti")
-    visited = levels.all()
-    graph.unpersist()
-    return visited
-
-
-def _within_budget(tried: DataFrame, levels: _Levels, max_pages: int) -> DataFrame:
-    """Cut a level where the success that fills the budget of its seed was found."""
-    hits = tried.filter("ok").selectExpr(
-        "seed", "place", "row_number() OVER (PARTITION BY seed ORDER BY place) AS _n"
-    ).filter(F.col("_n") <= max_pages)
-    if levels.paths:
-        used = levels.all().filter("ok").groupBy("seed").agg(F.count(F.lit(1)).alias("_used"))
-        tried = tried.join(used, "seed", "left").filter(f"coalesce(_used, 0) < {max_pages}")
-        hits = hits.join(used, "seed", "left")
+        used = _spent(levels, used, max_pages)
+        if depth == max_depth:
+            break
+        full = used.filter(F.col("used") >= max_pages).select("seed")
+        # Seeds with a full budget leave before their pages are expanded.
+        taken = levels.last().filter("ok").join(full, "seed", "left_anti")
+        found = taken.selectExpr("seed", "place", "posexplode(targets) AS (_n, url)").groupBy("seed", "url").agg(
+            F.min(F.expr("concat(place, array(_n))")).alias("place"))
+        frontier = found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti").withColumn(
+            "_key", F.col("url"))
+    return levels.all().drop("targets")
+
+
+def _spent(levels: _Levels, used: DataFrame | None, max_pages: int) -> DataFrame:
+    """Successes per seed after this level, which is cut where a budget is filled within it.
+
+    Only seeds that this level takes beyond their budget are looked at row by row: their
+    successes are numbered by a range sort, so one start URL over a large site is many tasks.
+    """
+    hits = levels.last().groupBy("seed").agg(F.count_if("ok").alias("hits"), F.count_if(~F.col("ok")).alias("misses"))
+    if used is None:
+        now = hits.selectExpr("seed", "0L AS before", "hits AS used", "misses")
     else:
-        hits = hits.withColumn("_used", F.lit(0))
-    last = hits.filter(f"_n + coalesce(_used, 0) = {max_pages}").select(
-        "seed", F.col("place").alias("_last"))
-    return tried.join(last, "seed", "left").filter("_last is null or place <= _last").select(
-        "seed", "url", "depth", "place", "ok")
+        now = used.select("seed", F.col("used").alias("before")).join(hits, "seed", "full").selectExpr(
+            "seed", "coalesce(before, 0L) AS before", "coalesce(before, 0L) + coalesce(hits, 0L) AS used",
+            "coalesce(misses, 0L) AS misses")
+    now = _written(now, "used")
+    over = now.filter(f"before < {max_pages} and (used > {max_pages} or used = {max_pages} and misses > 0)").select("seed", "before")
+    if not over.isEmpty():
+        rows = levels.last()
+        numbered = number_within(rows.filter("ok").join(over, "seed").select("seed", "place", "before"), "seed", ["place"], "_n")
+        last = numbered.filter(F.col("_n") + F.col("before") + 1 == max_pages).select("seed", F.col("place").alias("_last"))
+        levels.replace_last(rows.join(last, "seed", "left").filter("_last is null or place <= _last").drop("_last"))
+    return now.select("seed", F.least("used", F.lit(max_pages)).alias("used"))
 
 
 def outcomes(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier URLs with ``ok``: is the page stored?  Only the URL column is read."""
-    stored = pages.select("url").distinct().withColumn("_stored", F.lit(True))
-    return frontier.join(stored, "url", "left").withColumn("ok", F.col("_stored").isNotNull()).drop("_stored")
+    """Frontier URLs with ``ok``: is a page with that canonical address stored?  Only URLs are read."""
+    stored = pages.selectExpr(f"{canonical('url')} AS _key").distinct().withColumn("_stored", F.lit(True))
+    return frontier.selectExpr("*", f"{canonical('url')} AS _key").join(stored, "_key", "left").withColumn(
+        "ok", F.col("_stored").isNotNull()).drop("_stored", "_key")
+
+
+def crawl_records(visited: DataFrame, pages: DataFrame, annotations: DataFrame | None = None,
+                  min_content_length: int = MIN_CONTENT_LENGTH) -> DataFrame:
+    """What a bounded crawl returns: the record of every page it visited, with seed, depth and place.
+
+    Model fields, when given by ``page_id``, replace the record's before short pages are dropped.
+    """
+    reached = visited.filter("ok").select("seed", F.col("url").alias("visited_url"), "depth", "place", F.col("stored").alias("url"))
+    wanted = [c for c in ("page_id", "url", "html") if c in pages.columns]
+    # Pages that no crawl reached are not parsed; of several versions the first counts, as in the crawl.
+    near = pages.select(*wanted).join(reached.select("url").distinct(), "url", "left_semi")
+    records = extract_pages(parse_pages(_first_page(near)))
+    if annotations is not None:
+        records = merge_annotations(records, annotations)
+    records = _written(records, "records").filter(F.length("main_content") >= min_content_length)
+    return reached.join(records, "url").select("seed", "visited_url", "depth", "place", *records.columns)
+
+
+def _first_page(pages: DataFrame) -> DataFrame:
+    """One row per address: the version with the lowest id."""
+    if "page_id" not in pages.columns:
+        return pages.groupBy("url").agg(F.min("html").alias("html"))
+    return pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id")).select(*pages.columns)
 
 
 def enqueue(queue: DataFrame, links: DataFrame, visited: DataFrame, key: list[str]) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pagewright.session import scratch_folder
 
 
+# Bits of the running number within a partition, as Spark's own row ids have them.
+_ROW_BITS = 33
+
+
 def ordered_blocks(rows: DataFrame, order: list, costly: bool = False) -> DataFrame:
     """Rows sorted by range, with ``_block`` and ``_row`` (0-based position in the block).
 
@@ -27,13 +31,23 @@ def ordered_blocks(rows: DataFrame, order: list, costly: bool = False) -> DataFr
         rows.write.parquet(staged)
         rows = spark.read.schema(rows.schema).parquet(staged)
     folder = scratch_folder(spark, "ordered")
-    # The last key tells equal rows apart, so that one repeated key cannot fill a block.
+    # The last key tells equal rows apart, so that one repeated key cannot fill a block.  The place
+    # is taken in the task that sorted the rows: partition and running number in it.
     keyed = rows.withColumn("_tie", F.monotonically_increasing_id())
-    keyed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").write.parquet(folder)
-    blocks = spark.read.schema(rows.schema).parquet(folder)
-    return blocks.select(
-        "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("_block"),
-        F.col("_metadata.row_index").alias("_row"))
+    ordered = keyed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").withColumn(
+        "_at", F.monotonically_increasing_id())
+    ordered.write.parquet(folder)
+    blocks = spark.read.schema(ordered.schema).parquet(folder)
+    return blocks.withColumn("_block", F.shiftright("_at", _ROW_BITS)).withColumn(
+        "_row", F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_at")
+
+
+def number_within(rows: DataFrame, group: str, order: list[str], name: str = "number") -> DataFrame:
+    """0-based numbers within each group, without a window over the group."""
+    whole = number_rows(rows, [group, *order], "_whole")
+    first = whole.groupBy(F.col(group).alias("_group")).agg(F.min("_whole").alias("_first"))
+    return whole.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(
+        name, F.col("_whole") - F.col("_first")).drop("_whole", "_group", "_first")
 
 
 def number_rows(rows: DataFrame, order: list, name: str = "number", costly: bool = False) -> DataFrame:

@@ -13,6 +13,8 @@ from pagewright.operators import stats as A
 from pagewright.plans import oracle as O
 from pagewright.plans.link_queries import links, shared_links
 from pagewright.plans.page_queries import pages, records, table
+from pagewright.session import scratch_folder
+from pagewright.sinks import save as S
 from pagewright.sources.pages import spread
 
 
@@ -82,6 +84,61 @@ def scored_crawl(spark, sf_dir):
     return found.select("seed", "url", "depth", "ok")
 
 
+def linked_site(spark, sf_dir):
+    """A site of one page per stored page: links to the next, to page 2k + 1 and to page 3k + 2, and a dead end.
+
+    Stored addresses carry campaign tags, fragments and slashes; links name them as stored,
+    canonically, or with another tag.  Every seventh page is too short for the bounded crawl.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    total = rows.agg(F.max("page_id").alias("_last"))
+    site = "concat('http://site.example.com/p/', {0})".format
+    stored = "concat({0}, element_at(array('', '?utm_source=x', '#top', '/', ''), cast({1} % 5 + 1 as int)))".format
+    link = ("concat('<a href=\"', case t % 3 when 0 then " + stored(site("t"), "t") + " when 1 then " + site("t") + " else concat("
+            + site("t") + ", '?utm_medium=m') end, '\">', t, '</a>')")
+    targets = "transform(array(page_id + 1, 2 * page_id + 1, 3 * page_id + 2), t -> t % (_last + 1))"
+    # One row with the largest page_id.
+    return spread(rows.join(F.broadcast(total)).selectExpr(
+        "page_id", f"{stored(site('page_id'), 'page_id')} AS url",
+        f"concat('<body><p>', repeat('Some words of text. ', if(page_id % 7 = 6, 1, 6)), '</p>', array_join(transform({targets}, t -> {link}), ' '), "
+        "' <a href=\"/gone/', page_id, '\">gone</a>') AS html"))
+
+
+def _site_seeds(site):
+    return site.selectExpr("url AS seed")
+
+
+def site_crawl(spark, sf_dir):
+    """Unbounded crawl, three levels deep, from every page of the linked site: addresses as they are."""
+    site = linked_site(spark, sf_dir)
+    return G.crawl(site, _site_seeds(site), max_depth=3)
+
+
+def site_bounded_crawl(spark, sf_dir):
+    """Bounded crawl from every page of the linked site: 12 pages, 4 levels, canonical addresses."""
+    site = linked_site(spark, sf_dir)
+    found = G.bounded_crawl(site, _site_seeds(site), max_pages=12, max_depth=4)
+    return found.selectExpr("seed", "url", "depth", "ok", "stored")
+
+
+def crawl_output(spark, sf_dir):
+    """Records and statistics of a bounded crawl, saved and read back; model titles for even pages."""
+    site = linked_site(spark, sf_dir)
+    visited = G.bounded_crawl(site, _site_seeds(site), max_pages=3, max_depth=2)
+    notes = site.filter("page_id % 2 = 0").selectExpr(
+        "page_id", "concat('Page ', page_id) AS title", "'' AS main_content", "cast(null as string) AS author",
+        "'2024-01-01' AS date_published", "'' AS summary", "'page' AS content_type")
+    records = G.crawl_records(visited, site, notes).select("seed", "visited_url", "depth", "page_id", "title", "main_content", "content_type")
+    path = scratch_folder(spark, "crawl-output")
+    S.save_with_stats(records.withColumnRenamed("seed", "url"), A.bounded_stats(visited, duration="2D"), path)
+    data = spark.read.schema("url string, record struct<visited_url: string, depth: int, title: string, main_content: string, "
+                             "content_type: string>").json(f"{path}/data")
+    stats = spark.read.schema("seed string, total_pages_scraped long, failed_urls long").json(f"{path}/stats")
+    return data.join(stats, F.col("url") == F.col("seed")).select(
+        "seed", "record.visited_url", "record.depth", "record.title", "record.main_content", "record.content_type",
+        "total_pages_scraped", "failed_urls")
+
+
 def crawl_waves(spark, sf_dir):
     """The frontier of all link targets in waves of 16."""
     frontier = L.unique_urls(links(spark, sf_dir)).select("url")
@@ -179,7 +236,7 @@ def export_stats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    crawl_pages, crawl_orders, bounded_crawl_orders, budget_crawl, scored_crawl, crawl_waves, politeness_schedule,
+    crawl_pages, crawl_orders, bounded_crawl_orders, budget_crawl, scored_crawl, site_crawl, site_bounded_crawl, crawl_output, crawl_waves, politeness_schedule,
     numbered_pages, numbered_turns, first_turns, links_by_relevance, most_relevant_links, top_links, merged_scores,
     crawl_stats, total_crawl_stats, bounded_stats, export_stats_of_crawl, export_stats,
 )}
@@ -196,6 +253,23 @@ c AS (SELECT site || 'order/' || o_orderkey AS seed, site || 'order/' || o_order
   UNION ALL SELECT site || 'order/' || o_orderkey, site || 'customer/' || o_custkey, 1 FROM o
   UNION ALL SELECT site || 'order/' || o_orderkey, site || 'nation/' || n_nationkey, 2 FROM o
   UNION ALL SELECT site || 'order/' || o_orderkey, site || 'region/' || n_regionkey, 3 FROM o)"""
+# the linked site: pages with their links in order
+_SITE = """last AS (SELECT max(page_id) AS m FROM pages),
+s AS (SELECT page_id AS id, 'http://site.example.com/p/' || page_id AS clean, page_id % 7 <> 6 AS long_enough, m + 1 AS n FROM pages, last),
+s2 AS (SELECT *, clean || ['', '?utm_source=x', '#top', '/', ''][id % 5 + 1] AS stored FROM s),
+e AS (SELECT id, n, i, [id + 1, 2 * id + 1, 3 * id + 2][i] % n AS t FROM s2, (SELECT unnest([1, 2, 3]) AS i)),
+e2 AS (SELECT id, i, t, 'http://site.example.com/p/' || t AS clean FROM e),
+h AS (SELECT id, i, t, clean, CASE t % 3 WHEN 0 THEN clean || ['', '?utm_source=x', '#top', '/', ''][t % 5 + 1]
+  WHEN 1 THEN clean ELSE clean || '?utm_medium=m' END AS raw FROM e2
+  UNION ALL SELECT id, 4, NULL, 'http://site.example.com/gone/' || id, 'http://site.example.com/gone/' || id FROM s2)"""
+# every path of the breadth-first search; the first place of an address is its smallest
+_BOUNDED = """, w AS (SELECT stored AS seed, stored AS url, id, 0 AS depth, []::INTEGER[] AS place FROM s2
+  UNION ALL SELECT w.seed, h.clean, h.t, w.depth + 1, list_append(w.place, h.i) FROM w JOIN s2 ON s2.id = w.id AND s2.long_enough
+    JOIN h ON h.id = w.id WHERE w.depth < {depth}),
+f AS (SELECT seed, url, min(depth) AS depth, arg_min(place, (depth, place)) AS place, any_value(id) AS id FROM w GROUP BY seed, url),
+g AS (SELECT f.*, s2.stored, coalesce(s2.long_enough, false) AS ok FROM f LEFT JOIN s2 ON s2.id = f.id),
+v AS (SELECT *, coalesce(sum(ok::INTEGER) OVER (PARTITION BY seed ORDER BY depth, place
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM g QUALIFY done < {pages})"""
 _RATE = "printf('%.1f%%', count(*) FILTER (ok) * 100.0 / count(*))"
 _WORDS = "(SELECT *, (length(text) % 7) / 8.0 AS relevance_score, length(text) % 3 AS priority FROM l)"
 _H_SQL = "lower(split_part(url, '/', 3))"
@@ -213,6 +287,16 @@ ORACLE = {
     "scored_crawl": """SELECT 'http://shop.example.com/c/' || c_custkey AS seed,
         'http://shop.example.com/' || CASE WHEN n = -1 THEN 'c/' || c_custkey ELSE 'n/' || n END AS url,
         CASE WHEN n = -1 THEN 0 ELSE 1 END AS depth, true AS ok FROM customer, (SELECT unnest([-1, 24, 23, 22, 21]) AS n)""",
+    "site_crawl": f"""WITH RECURSIVE {_SITE}, w AS (SELECT stored AS seed, stored AS url, 0 AS depth FROM s2
+        UNION SELECT w.seed, h.raw, w.depth + 1 FROM w JOIN s2 ON s2.stored = w.url JOIN h ON h.id = s2.id WHERE w.depth < 3)
+        SELECT seed, url, min(depth) AS depth, url IN (SELECT stored FROM s2) AS ok FROM w GROUP BY seed, url""",
+    "site_bounded_crawl": f"WITH RECURSIVE {_SITE}{_BOUNDED.format(depth=4, pages=12)} SELECT seed, url, depth, ok, stored FROM v",
+    "crawl_output": f"""WITH RECURSIVE {_SITE}{_BOUNDED.format(depth=2, pages=3)},
+        c AS (SELECT seed, count(*) FILTER (ok) AS total_pages_scraped, count(*) FILTER (NOT ok) AS failed_urls FROM v GROUP BY seed)
+        SELECT seed, url AS visited_url, depth, CASE WHEN v.id % 2 = 0 THEN 'Page ' || v.id ELSE '' END AS title,
+        rtrim(repeat('Some words of text. ', 6)) || ' ' || ((v.id + 1) % n) || ' ' || ((2 * v.id + 1) % n) || ' ' || ((3 * v.id + 2) % n) || ' gone' AS main_content,
+        CASE WHEN v.id % 2 = 0 THEN 'page' ELSE 'unknown' END AS content_type, total_pages_scraped, failed_urls
+        FROM v JOIN c USING (seed) JOIN s2 ON s2.id = v.id WHERE ok""",
     "crawl_waves": f"""{_L} SELECT norm AS url, (row_number() OVER (ORDER BY norm) - 1) // 16 AS wave
         FROM (SELECT DISTINCT norm FROM l)""",
     "politeness_schedule": f"""SELECT url, {_H_SQL} AS host,

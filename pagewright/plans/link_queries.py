@@ -246,7 +246,7 @@ ORACLE = {
     "links_per_host": f"{_L} SELECT lower(host) AS host, count(DISTINCT norm) AS n_links FROM l GROUP BY 1",
     "link_counts": f"""{_L} SELECT page_id, count(*) AS internal_links_count, 0 AS external_links_count FROM l GROUP BY 1""",
     "frontier_outcomes": f"""{_L}, w AS (SELECT DISTINCT norm AS url FROM l UNION ALL SELECT url FROM pages WHERE url LIKE '%#top')
-        SELECT url, url IN (SELECT url FROM pages) AS ok FROM w""",
+        SELECT url, {O.normalized('url')} IN (SELECT {O.normalized('url')} FROM pages) AS ok FROM w""",
     "enqueued": f"""{_L} SELECT DISTINCT norm AS url FROM l WHERE text < 'd' UNION
         SELECT norm FROM l WHERE norm NOT IN (SELECT norm FROM l WHERE text > 't')""",
     "domain_gate": "SELECT page_id, url FROM pages",

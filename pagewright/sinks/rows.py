@@ -217,13 +217,18 @@ def stats_table(stats: DataFrame) -> DataFrame:
         "'\\n---\\n') AS value")
 
 
+def _preamble_lines(stats: DataFrame, separator: str) -> str:
+    special = f"[\"\\r\\n{separator}]"
+    pairs = ", ".join(f"struct('# {c}' AS key, coalesce(cast({c} as string), 'None') AS value)" for c in stats.columns)
+    cell = f"if(p.value rlike '{special}', concat('\"', replace(p.value, '\"', '\"\"'), '\"'), p.value)"
+    return f"concat(array('# Statistics'), transform(array({pairs}), p -> concat_ws('{separator}', p.key, {cell})))"
+
+
 def stats_preamble(stats: DataFrame, separator: str = ",") -> DataFrame:
     """K6: statistics as comment lines ``# key,value``, quoted only where needed."""
-    special = f"[\"\\r\\n{separator}]"
-    pairs = ", ".join(
-        f"struct({i} AS place, concat('# {c}') AS key, coalesce(cast({c} as string), 'None') AS value)"
-        for i, c in enumerate(stats.columns, 1))
-    cell = f"if(value rlike '{special}', concat('\"', replace(value, '\"', '\"\"'), '\"'), value)"
-    return stats.selectExpr(f"inline(array(struct(0 AS place, '# Statistics' AS key, "
-                            f"cast(null as string) AS value), {pairs}))").selectExpr(
-        "place", f"concat_ws('{separator}', key, {cell}) AS value")
+    return stats.selectExpr(f"posexplode({_preamble_lines(stats, separator)}) AS (place, value)")
+
+
+def stats_preamble_text(stats: DataFrame, separator: str = ",") -> DataFrame:
+    """K6: the same lines as one text per row of `stats`."""
+    return stats.selectExpr(f"array_join({_preamble_lines(stats, separator)}, '\\n') AS value")

@@ -9,7 +9,7 @@ order of their names, are the report.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -75,7 +75,7 @@ def save(results: DataFrame, path: str, format: str | None = None, stats: DataFr
         "markdown-single": _save_single, "csv": _save_csv, "tsv": _save_csv, "csv-flat": _save_flat,
     }[chosen]
     if chosen == "tsv":
-        options.delimiter = "\t"
+        options = replace(options, delimiter="\t")
     writer(results, target, shown, options)
     return target
 
@@ -126,8 +126,8 @@ def _save_csv(results, path, stats, options):
     if stats is None:
         _write_cells(cells, path, options.delimiter)
         return
-    R.stats_preamble(stats, options.delimiter).orderBy("place").select("value").coalesce(1).write.mode(
-        "overwrite").text(f"{path}/stats")
+    # The lines of a crawl are one value, so they stay together however many crawls there are.
+    R.stats_preamble_text(stats, options.delimiter).write.mode("overwrite").text(f"{path}/stats")
     _write_cells(cells, f"{path}/data", options.delimiter)
 
 

@@ -321,7 +321,7 @@ def _parse_batches(html_col: str, kept: list[str], names: list[str]):
                         error = "page has no html"
                     else:
                         reader.read(text)
-                except (AssertionError, RecursionError, ValueError) as exc:
+                except Exception as exc:  # whatever it is, it is this page's failure
                     error = str(exc) or type(exc).__name__
                     out.drop_open_page()
                 out.close_page(error)

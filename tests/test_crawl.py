@@ -79,8 +79,8 @@ def test_hot_addresses_are_spread(spark):
     graph[f"{HOST}/p0"] = [f"{HOST}/p{i}" for i in range(6)]
     starts = [f"{HOST}/p{i}" for i in range(40)]
     pages = site(spark, graph)
-    assert found(G.crawl(pages, seeds(spark, *starts), hot_rows=5)) == {s: search(graph, s) for s in starts}
-    assert found(G.bounded_crawl(pages, seeds(spark, *starts), 7, 4, hot_rows=5)) == {
+    assert found(G.crawl(pages, seeds(spark, *starts))) == {s: search(graph, s) for s in starts}
+    assert found(G.bounded_crawl(pages, seeds(spark, *starts), 7, 4)) == {
         s: search(graph, s, 7, 4) for s in starts}
 
 
