@@ -9,11 +9,11 @@ from pagewright.operators.content import (
 )
 from pagewright.operators.crawl import bounded_crawl, crawl
 from pagewright.operators.links import (
-    absolute_links, content_links, external, extract_links, followable, hostname_links, internal,
+    absolute_links, content_links, external, extract_links, followable, hostname_links, internal, link_counts,
     public_columns, same_domain_links, unique_urls,
 )
 from pagewright.operators.ordering import number_rows, schedule, top_per_page, waves
-from pagewright.operators.stats import bounded_stats, crawl_stats, export_stats, link_counts, to_export_stats
+from pagewright.operators.stats import bounded_stats, crawl_stats, export_stats, to_export_stats
 from pagewright.sinks.save import ExportOptions, save, save_with_stats
 from pagewright.sources.pages import (
     document_kind, drop_challenge_pages, fetch_outcomes, ok_status, read_pages, spread,

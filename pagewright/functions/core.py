@@ -105,6 +105,6 @@ def count_contained(text: Sql, parts: Iterable[str]) -> Sql:
     return f"size(filter(array({words(parts)}), w -> contains({text}, w)))"
 
 
-def truncate(text: Sql, length: int) -> Sql:
-    """the first `length` code points."""
-    return f"left({text}, {int(length)})"
+def truncate(text: Sql, length: int | None) -> Sql:
+    """the first `length` code points; None keeps the whole text."""
+    return text if length is None else f"left({text}, {int(length)})"

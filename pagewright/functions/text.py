@@ -22,8 +22,10 @@ def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
-def for_model(text: Sql, max_length: int = 100_000) -> Sql:
-    """text cut to what a model accepts, with a note."""
+def for_model(text: Sql, max_length: int | None = None) -> Sql:
+    """text cut to what a model accepts, with a note; whole unless a length is given."""
+    if max_length is None:
+        return text
     return (f"if(length({text}) <= {max_length}, {text}, "
             f"concat({truncate(text, max_length - 100)}, '\\n\\n[Content truncated...]'))")
 

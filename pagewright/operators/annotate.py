@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions.core import Sql, either, every, non_empty, truncate
+from pagewright.functions.core import Sql, either, every, non_empty, transform, truncate
 from pagewright.functions.text import for_model, json_object, short_summary, whole_object
-from pagewright.operators.ordering import top_per_page
+from pagewright.operators.links import with_link_array
 
 # The wording of the two prompts.
 CONTENT_PROMPT_START = "Analyze the following web page content and extract structured information.\n\nURL: "
@@ -89,7 +89,7 @@ NO_JSON = "No JSON found in response"
 
 
 def content_prompts(pages: DataFrame, goal: str | None = None, content: str = "html",
-                    max_length: int = 100_000, separator: str = "") -> DataFrame:
+                    max_length: int | None = None, separator: str = "") -> DataFrame:
     """M1: the prompt that asks a model to extract a page."""
     wanted = CONTENT_PROMPT_GOAL + goal if goal else ""
     return pages.withColumn("prompt", F.concat(
@@ -97,23 +97,24 @@ def content_prompts(pages: DataFrame, goal: str | None = None, content: str = "h
         F.expr(for_model(content, max_length))))
 
 
-def link_prompts(links: DataFrame, goal: str | None = None, top: int = 50, compact: bool = True,
-                 context: Sql = "''", page: str = "page_id") -> DataFrame:
-    """One prompt per page with its first links.
+def link_prompts(parsed: DataFrame, goal: str | None = None, top: int | None = 50, compact: bool = True,
+                 context: Sql = "''", page: str = "page_id", max_text: int | None = None) -> DataFrame:
+    """One prompt per page with links, from its first links, made inside the row.
 
-    `context` is SQL text over the columns that are constant per page.  The compact line is
-    ``- url: text`` (100 characters), the other ``- URL: url | Text: text`` (80 characters).
+    `context` is SQL text over the columns of the page.  The compact line is ``- url: text``, the
+    other ``- URL: url | Text: text``; the text is cut to `max_text` characters.
     """
-    line = (f"concat('- ', url, ': ', {truncate('text', 100)})" if compact
-            else f"concat('- URL: ', url, ' | Text: ', {truncate('text', 80)})")
+    def line(x):
+        text = truncate(f"{x}.anchor.text", max_text)
+        return f"concat('- ', {x}.url, ': ', {text})" if compact else f"concat('- URL: ', {x}.url, ' | Text: ', {text})"
+
     wanted = LINK_PROMPT_GOAL + goal if goal else ""
     separator = "" if compact else "\n\n"
-    lines = top_per_page(links, top, page).groupBy(page).agg(
-        F.min(F.expr(context)).alias("_context"),
-        F.sort_array(F.collect_list(F.struct("pos", F.expr(line).alias("line")))).alias("_lines"))
-    return lines.select(page, F.concat(
+    sent = "_links" if top is None else f"slice(_links, 1, {int(top)})"
+    lines = with_link_array(parsed).selectExpr(page, f"{context} AS _context", f"{transform(sent, line)} AS _lines")
+    return lines.filter("size(_lines) > 0").select(page, F.concat(
         F.lit(LINK_PROMPT_START), F.col("_context"), F.lit(wanted + LINK_PROMPT_END + separator),
-        F.array_join("_lines.line", "\n")).alias("prompt"))
+        F.array_join("_lines", "\n")).alias("prompt"))
 
 
 def page_context(title: Sql, summary: Sql) -> Sql:
@@ -121,10 +122,10 @@ def page_context(title: Sql, summary: Sql) -> Sql:
     return f"concat('Title: ', {title}, '\\nSummary: ', {summary})"
 
 
-def summary_prompts(pages: DataFrame, content: str, max_length: int = 500) -> DataFrame:
-    """M6: the prompt that asks a model for a summary."""
+def summary_prompts(pages: DataFrame, content: str, max_length: int = 500, max_content: int | None = None) -> DataFrame:
+    """M6: the prompt that asks a model for a summary of up to `max_length` characters."""
     before, after = SUMMARY_PROMPT.format(max_length, "\0").split("\0")
-    return pages.withColumn("prompt", F.concat(F.lit(before), F.expr(for_model(content)), F.lit(after)))
+    return pages.withColumn("prompt", F.concat(F.lit(before), F.expr(for_model(content, max_content)), F.lit(after)))
 
 
 def parse_content_responses(responses: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
@@ -201,10 +202,9 @@ def parse_link_scores(responses: DataFrame, body: str = "body", strict: bool = F
         "coalesce(_l.reasoning, '') AS reasoning", f"{follow} AS should_follow")
 
 
-def fallback_scores(links: DataFrame, sent: int | None = None, page: str = "page_id") -> DataFrame:
-    """M5: the scores used when a model fails: 0.5 and follow, for all links or those sent."""
-    chosen = links if sent is None else top_per_page(links, sent, page)
-    return chosen.selectExpr(
+def fallback_scores(links: DataFrame, page: str = "page_id") -> DataFrame:
+    """M5: the scores used when a model fails: 0.5 and follow.  Links sent are `extract_links(..., top=n)`."""
+    return links.selectExpr(
         page, "page_url", "url", "text", "0.5D AS relevance_score", "0 AS priority",
         "'content' AS link_type", "'unknown' AS expected_content_type", "'' AS reasoning",
         "true AS should_follow")
@@ -244,7 +244,7 @@ def merge_annotations(records: DataFrame, annotations: DataFrame, on: str = "pag
 def with_summaries(pages: DataFrame, content: str, response: str | None = None,
                    max_length: int = 500, on_failure: str = "start") -> DataFrame:
     """M6: the model's summary cut to length; without one, the start of the content or ''."""
-    fallback = short_summary(for_model(content), max_length) if on_failure == "start" else "''"
+    fallback = short_summary(content, max_length) if on_failure == "start" else "''"
     given = truncate(response, max_length) if response else "cast(null as string)"
     return pages.withColumn("summary", F.expr(either(given, fallback)))
 

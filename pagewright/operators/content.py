@@ -29,6 +29,7 @@ CONTENT_INDICATORS = [
 PUBLISHED_PROPS = ["article:published_time", "datePublished", "pubdate"]
 MODIFIED_PROPS = ["article:modified_time", "dateModified"]
 
+# Texts are whole unless a length is given; this is the length that reports usually take.
 MAX_CONTENT_LENGTH = 100_000
 BAD_URL = "Invalid IPv6 URL"
 
@@ -138,7 +139,7 @@ def best_candidate(elements: Sql, texts: Sql) -> Sql:
     return let(best, lambda b: f"if({b} is not null, get({elements}, -{b}.rank - 1), null)")
 
 
-def main_content(elements: Sql, texts: Sql, strings: Sql, max_length: int = MAX_CONTENT_LENGTH) -> Sql:
+def main_content(elements: Sql, texts: Sql, strings: Sql, max_length: int | None = None) -> Sql:
     """Article, else main, else the best-scored element, else body, else ''."""
     chosen = either(N.first_tag(elements, "article"), N.first_tag(elements, "main"),
                     best_candidate(elements, texts), N.first_tag(elements, "body"))
@@ -146,7 +147,7 @@ def main_content(elements: Sql, texts: Sql, strings: Sql, max_length: int = MAX_
         f"if({e} is not null, {truncate(N.element_text(strings, e, ' '), max_length)}, '')"))
 
 
-def page_text(strings: Sql, max_length: int = MAX_CONTENT_LENGTH) -> Sql:
+def page_text(strings: Sql, max_length: int | None = None) -> Sql:
     """All text with single blanks."""
     return truncate(collapse_spaces(N.join_strings(strings, " ")), max_length)
 
@@ -226,7 +227,7 @@ def with_heads(parsed: DataFrame) -> DataFrame:
 
 
 def extract_pages(parsed: DataFrame, remove_noise: bool = True, extract_images: bool = True,
-                  max_content_length: int = MAX_CONTENT_LENGTH, url_col: str = "url") -> DataFrame:
+                  max_content_length: int | None = None, url_col: str = "url") -> DataFrame:
     """The structured record of every page.
 
     Metadata comes from the whole tree, structure from the tree without noise.  A page
@@ -299,7 +300,7 @@ def page_record(records: DataFrame) -> DataFrame:
     )
 
 
-def basic_record(parsed: DataFrame, max_chars: int = MAX_CONTENT_LENGTH) -> DataFrame:
+def basic_record(parsed: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Raw title, whole text and meta description; NULL where there is none."""
     described = N.first_where(
         "elements", lambda e: f"{e}.tag = 'meta' and {N.attr(e, 'name')} = 'description'")
@@ -313,15 +314,16 @@ def basic_record(parsed: DataFrame, max_chars: int = MAX_CONTENT_LENGTH) -> Data
     )
 
 
-def strip_tags(html: str, max_length: int = MAX_CONTENT_LENGTH) -> Column:
+def strip_tags(html: str, max_length: int | None = None) -> Column:
     """Text of broken html: cut tags, decode entities, single blanks."""
     plain = unescape_html(F.regexp_replace(F.col(html), "<[^>]+>", " "))
     collapsed = F.regexp_replace(plain, rf"(?U){SPACE_CLASS}+", " ")
-    return F.left(F.btrim(collapsed, F.lit(SPACES)), F.lit(max_length))
+    trimmed = F.btrim(collapsed, F.lit(SPACES))
+    return trimmed if max_length is None else F.left(trimmed, F.lit(max_length))
 
 
 def text_only(parsed: DataFrame, remove_noise: bool = True,
-              max_length: int = MAX_CONTENT_LENGTH) -> DataFrame:
+              max_length: int | None = None) -> DataFrame:
     """Only the text; pages that failed to parse fall back to `strip_tags`.
 
     The fallback needs the html column (``parse_pages(..., keep_html=True)``).

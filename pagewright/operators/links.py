@@ -31,10 +31,9 @@ LINK_COLUMNS = [
     "follow", "rel", "target",
 ]
 PUBLIC_COLUMNS = LINK_COLUMNS[:7]
-MAX_TEXT = 200
 
 
-def _anchors(elements: Sql, texts: Sql) -> Sql:
+def _anchors(elements: Sql, texts: Sql, max_text: int | None = None) -> Sql:
     """The anchors of a page with everything read from the tree."""
 
     def describe(a):
@@ -43,7 +42,7 @@ def _anchors(elements: Sql, texts: Sql) -> Sql:
         named = either(f"nullif({own}, '')", N.filled_attr(a, "title"), N.attr(a, "aria-label"), "''")
         in_navigation = N.near_ancestor(elements, a, 3, lambda p: N.marked_with(p, NAVIGATION_AREAS))
         return struct(
-            pos=f"{a}.pos", href=strip(N.attr(a, "href")), text=truncate(named, MAX_TEXT),
+            pos=f"{a}.pos", href=strip(N.attr(a, "href")), text=truncate(named, max_text),
             title=either(N.attr(a, "title"), "''"),
             rel=either(N.tokens(N.attr(a, "rel")), "''"), target=either(N.attr(a, "target"), "''"),
             in_navigation=in_navigation)
@@ -64,13 +63,13 @@ def _first_per_url(links: Sql) -> Sql:
 
 
 def with_link_array(parsed: DataFrame, url_col: str = "url", strip_tracking: bool = True,
-                    include_fragments: bool = False) -> DataFrame:
+                    include_fragments: bool = False, max_text: int | None = None) -> DataFrame:
     """L1-L7 inside the row: adds ``_links``, array<struct<pos, url, anchor>> in document order."""
     def absolute(base):
         return transform("_anchors", lambda a: struct(
             url=f"if({url_col} = '', {a}.href, {resolve_parts(base, a + '.href')})", anchor=a))
 
-    resolved = parsed.selectExpr("*", f"{_anchors('elements', 'texts')} AS _anchors").selectExpr(
+    resolved = parsed.selectExpr("*", f"{_anchors('elements', 'texts', max_text)} AS _anchors").selectExpr(
         "*", f"{let(split_url(url_col), absolute)} AS _absolute")
     # A single unreadable address makes the page's link extraction fail as a whole.
     bad = exists("_absolute", lambda x: is_unreadable(x + ".url"))
@@ -85,8 +84,9 @@ def with_link_array(parsed: DataFrame, url_col: str = "url", strip_tracking: boo
 
 
 def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: str = "url",
-                  strip_tracking: bool = True, include_fragments: bool = False) -> DataFrame:
-    """The link table of all pages.
+                  strip_tracking: bool = True, include_fragments: bool = False, max_text: int | None = None,
+                  top: int | None = None) -> DataFrame:
+    """The link table of all pages, or of the first `top` links of each page.
 
     Columns: ``page_id`` (when present), ``page_url``, ``pos`` (document order within the
     page) and the ten link fields.  ``base_url_col`` names the column whose host decides
@@ -94,9 +94,9 @@ def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: s
     """
     ids = [c for c in ("page_id", "seed") if c in parsed.columns]
     rows = (
-        with_link_array(parsed, url_col, strip_tracking, include_fragments)
+        with_link_array(parsed, url_col, strip_tracking, include_fragments, max_text)
         .selectExpr(*ids, f"{url_col} AS page_url", f"lower({netloc(base_url_col or url_col)}) AS _base_host",
-                    "inline_outer(_links)")
+                    "inline_outer(_links)" if top is None else f"inline_outer(slice(_links, 1, {int(top)}))")
         .filter("pos is not null")
         .selectExpr("*", f"lower({netloc('url')}) AS _host", f"lower({url_path('url')}) AS _path")
     )
@@ -165,13 +165,29 @@ def same_domain_links(parsed: DataFrame, start_url: Sql = "url", url_col: str =
         *ids, f"{url_col} AS page_url", "explode_outer(targets) AS url").filter("url is not null")
 
 
-def hostname_links(parsed: DataFrame, same_domain: bool = True, url_col: str = "url") -> DataFrame:
+def link_counts(parsed: DataFrame, url_col: str = "url") -> DataFrame:
+    """A5: internal and external links of every page that has links, counted inside its row."""
+    ids = [c for c in ("page_id", "seed") if c in parsed.columns]
+
+    def host(x):
+        return f"lower({netloc(x + '.url')})"
+
+    hosts = with_link_array(parsed, url_col).selectExpr(
+        *ids, f"lower({netloc(url_col)}) AS _base", f"{transform('_links', host)} AS _hosts")
+    return hosts.selectExpr(*ids, f"size({keep('_hosts', lambda h: is_internal(h, '_base'))}) AS internal_links_count", "_hosts").filter(
+        "size(_hosts) > 0").selectExpr(
+            *ids, "CAST(internal_links_count AS long) AS internal_links_count",
+            "CAST(size(_hosts) - internal_links_count AS long) AS external_links_count")
+
+
+def hostname_links(parsed: DataFrame, same_domain: bool = True, url_col: str = "url",
+                   max_text: int | None = None) -> DataFrame:
     """Links as a browser reports them: internal by host name, distinct by address."""
     ids = [c for c in ("page_id",) if c in parsed.columns]
 
     def visible_text(a):
         raw = transform(keep(N.inner("texts", a), lambda t: f"{t}.box = ''"), lambda t: f"{t}.raw")
-        return truncate(strip(collapse_spaces(f"array_join({raw}, '')")), MAX_TEXT)
+        return truncate(strip(collapse_spaces(f"array_join({raw}, '')")), max_text)
 
     def absolute(base):
         return transform("_anchors", lambda a: struct(

@@ -82,10 +82,3 @@ def complete_stats(stats: DataFrame, by: list[str] = ()) -> DataFrame:
     return stats.selectExpr(
         *[c for c in by if c not in defaults],
         *[f"{known.get(name, default)} AS {name}" for name, default in defaults.items()])
-
-
-def link_counts(links: DataFrame, page: str = "page_id") -> DataFrame:
-    """A5: internal and external links per page."""
-    return links.groupBy(page).agg(
-        F.count(F.when(F.col("is_internal"), 1)).alias("internal_links_count"),
-        F.count(F.when(~F.col("is_internal"), 1)).alias("external_links_count"))

@@ -12,7 +12,7 @@ from pagewright.operators import ordering as W
 from pagewright.operators import stats as A
 from pagewright.plans import oracle as O
 from pagewright.plans.link_queries import links, shared_links
-from pagewright.plans.page_queries import pages, records, table
+from pagewright.plans.page_queries import pages, parsed, records, table
 from pagewright.session import scratch_folder
 from pagewright.sinks import save as S
 from pagewright.sources.pages import spread
@@ -194,7 +194,7 @@ def most_relevant_links(spark, sf_dir):
 
 
 def top_links(spark, sf_dir):
-    return W.top_per_page(links(spark, sf_dir), 3).select("page_id", "url")
+    return L.extract_links(parsed(spark, sf_dir), top=3).select("page_id", "url")
 
 
 def merged_scores(spark, sf_dir):

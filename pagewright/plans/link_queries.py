@@ -159,7 +159,13 @@ def links_per_host(spark, sf_dir):
 
 
 def link_counts(spark, sf_dir):
-    return A.link_counts(links(spark, sf_dir))
+    return L.link_counts(parsed(spark, sf_dir))
+
+
+def cut_link_texts(spark, sf_dir):
+    """Link texts cut to 200 characters, on pages where every text is longer."""
+    longer = rewritten(spark, sf_dir, "</a>", " more" * 60 + "</a>")
+    return L.extract_links(parse_pages(longer), max_text=200).select("page_id", "url", "text")
 
 
 def frontier_outcomes(spark, sf_dir):
@@ -188,7 +194,7 @@ QUERIES = {f.__name__: f for f in (
     absolute_links, relative_links, same_domain_links, normalized_urls, url_parts, query_params, internal_hosts,
     link_types, link_table, duplicate_links, link_attributes, navigation_ancestors, internal_links, external_links,
     content_links, resource_links, unique_urls, hostname_links, followable_links, public_links, links_per_host,
-    link_counts, frontier_outcomes, enqueued, domain_gate,
+    link_counts, cut_link_texts, frontier_outcomes, enqueued, domain_gate,
 )}
 
 _A, _L = "WITH " + O.ANCHORS, "WITH " + O.LINKS
@@ -245,6 +251,7 @@ ORACLE = {
         is_navigation, is_resource, link_type FROM l""",
     "links_per_host": f"{_L} SELECT lower(host) AS host, count(DISTINCT norm) AS n_links FROM l GROUP BY 1",
     "link_counts": f"""{_L} SELECT page_id, count(*) AS internal_links_count, 0 AS external_links_count FROM l GROUP BY 1""",
+    "cut_link_texts": f"""{_L} SELECT page_id, norm AS url, left(ltrim(text || repeat(' more', 60)), 200) AS text FROM l""",
     "frontier_outcomes": f"""{_L}, w AS (SELECT DISTINCT norm AS url FROM l UNION ALL SELECT url FROM pages WHERE url LIKE '%#top')
         SELECT url, {O.normalized('url')} IN (SELECT {O.normalized('url')} FROM pages) AS ok FROM w""",
     "enqueued": f"""{_L} SELECT DISTINCT norm AS url FROM l WHERE text < 'd' UNION

@@ -9,9 +9,10 @@ from pagewright.functions import nodes as N
 from pagewright.functions import text as X
 from pagewright.operators import annotate as M
 from pagewright.operators import content as C
+from pagewright.operators import links as L
 from pagewright.plans import oracle as O
-from pagewright.plans.link_queries import shared_links
-from pagewright.plans.page_queries import records, table
+from pagewright.plans.link_queries import links
+from pagewright.plans.page_queries import parsed, records, table
 
 
 def collapsed_text(spark, sf_dir):
@@ -58,8 +59,8 @@ def content_prompts(spark, sf_dir):
 
 
 def link_prompts(spark, sf_dir):
-    found = shared_links(spark, sf_dir)
-    both = M.link_prompts(found, top=3, context=M.page_context("page_url", "''")).withColumn("kind", F.lit("compact"))
+    found = parsed(spark, sf_dir)
+    both = M.link_prompts(found, top=3, context=M.page_context("url", "''")).withColumn("kind", F.lit("compact"))
     return both.unionByName(M.link_prompts(found, goal="news", top=30, compact=False).withColumn("kind", F.lit("wide")))
 
 
@@ -117,10 +118,10 @@ def strict_link_scores(spark, sf_dir):
 
 
 def fallback_scores(spark, sf_dir):
-    found = shared_links(spark, sf_dir)
+    found = links(spark, sf_dir)
     everything = M.fallback_scores(found).groupBy("page_id").agg(
         F.count("*").alias("links"), F.sum("relevance_score").alias("score"))
-    sent = M.fallback_scores(found, sent=4).groupBy("page_id").agg(F.count("*").alias("sent"))
+    sent = M.fallback_scores(L.extract_links(parsed(spark, sf_dir), top=4)).groupBy("page_id").agg(F.count("*").alias("sent"))
     return everything.join(sent, "page_id")
 
 
@@ -198,13 +199,12 @@ ORACLE = {
         AS prompt FROM pages""",
     "link_prompts": f"""{_L}, k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS i FROM l)
         SELECT page_id, 'compact' AS kind, {_sql(M.LINK_PROMPT_START)} || 'Title: ' || any_value(page_url) || chr(10) || 'Summary: '
-        || {_sql(M.LINK_PROMPT_END)} || string_agg('- ' || norm || ': ' || left(text, 100), chr(10) ORDER BY n) AS prompt
+        || {_sql(M.LINK_PROMPT_END)} || string_agg('- ' || norm || ': ' || text, chr(10) ORDER BY n) AS prompt
         FROM k WHERE i <= 3 GROUP BY page_id UNION ALL
         SELECT page_id, 'wide', {_sql(M.LINK_PROMPT_START + M.LINK_PROMPT_GOAL + 'news' + M.LINK_PROMPT_END)} || chr(10) || chr(10)
-        || string_agg('- URL: ' || norm || ' | Text: ' || left(text, 80), chr(10) ORDER BY n) FROM k WHERE i <= 30 GROUP BY page_id""",
+        || string_agg('- URL: ' || norm || ' | Text: ' || text, chr(10) ORDER BY n) FROM k WHERE i <= 30 GROUP BY page_id""",
     "summary_prompts": """SELECT doc_id, 'Summarize the following content in 200 characters or less:' || chr(10) || chr(10) ||
-        CASE WHEN length(text) > 100000 THEN left(text, 99900) || chr(10) || chr(10) || '[Content truncated...]' ELSE text END
-        || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents""",
+        text || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents""",
     "summaries": """SELECT doc_id, CASE WHEN quality = 1 THEN left('S ' || text, 100) WHEN length(text) > 100
         THEN left(text, 100) || '...' ELSE text END AS start,
         CASE WHEN quality = 1 THEN left('S ' || text, 100) ELSE '' END AS strict
@@ -238,7 +238,7 @@ ORACLE = {
         FROM p LEFT JOIN d ON page_id = doc_id""",
     "annotated_pages": f"""SELECT doc_id, length(text) AS n,
         regexp_extract({O.stripped('text')}, '([^\\s]*)$', 1) AS word FROM documents""",
-    "plain_text": f"""SELECT doc_id, left({O.stripped(O.collapsed(O.decoded(
-        "regexp_replace('<p class=.x.>' || replace(text, ' ', '&amp; ') || '</p>&copy;', '<[^>]+>', ' ', 'g')")))}, 100000) AS text
+    "plain_text": f"""SELECT doc_id, {O.stripped(O.collapsed(O.decoded(
+        "regexp_replace('<p class=.x.>' || replace(text, ' ', '&amp; ') || '</p>&copy;', '<[^>]+>', ' ', 'g')")))} AS text
         FROM documents""",
 }

@@ -69,11 +69,15 @@ def json_line(results: DataFrame, kind: str | None = None, pretty: bool = False)
     return results.select(value.alias("value"))
 
 
-def _csv_cell(results: DataFrame, column: str) -> str:
+def _first(array: str, n: int | None) -> str:
+    return array if n is None else f"slice({array}, 1, {int(n)})"
+
+
+def _csv_cell(results: DataFrame, column: str, max_links: int | None) -> str:
     kind = results.schema[column].dataType
     if _is_map_list(kind):
-        # At most five entries, by their url.
-        return join_values(transform(f"slice({column}, 1, 5)", lambda x: f"coalesce({x}['url'], to_json({x}))"))
+        # The first entries, by their url.
+        return join_values(transform(_first(column, max_links), lambda x: f"coalesce({x}['url'], to_json({x}))"))
     if isinstance(kind, T.ArrayType):
         return join_values(f"cast({column} as array<string>)")
     if isinstance(kind, T.MapType):
@@ -89,10 +93,13 @@ def _python_list(values: str) -> str:
 
 
 def csv_row(results: DataFrame, columns: list[str] | None = None,
-            max_content_length: int | None = None) -> DataFrame:
-    """The cells of a CSV or TSV export, all text; unknown columns are empty."""
+            max_content_length: int | None = None, max_links: int | None = 5) -> DataFrame:
+    """The cells of a CSV or TSV export, all text; unknown columns are empty.
+
+    W6: a cell names the first `max_links` links, or all.
+    """
     def cell(column):
-        value = _csv_cell(results, column) if column in results.columns else "''"
+        value = _csv_cell(results, column, max_links) if column in results.columns else "''"
         if column == "content" and max_content_length:
             value = truncate(value, max_content_length)
         return f"{value} AS {column}"
@@ -156,14 +163,19 @@ def page_title(title: str = "title", number: str = "number") -> str:
 
 
 def markdown_page(numbered_results: DataFrame, heading_level: int = 2, include_links: bool = True,
-                  max_content_length: int | None = None) -> DataFrame:
-    """The Markdown section of each page as a column."""
+                  max_content_length: int | None = None, max_headings: int | None = 5, max_links: int | None = 10,
+                  max_link_text: int | None = 50) -> DataFrame:
+    """The Markdown section of each page as a column.
+
+    Headings per level, links and link texts are cut to the given numbers, or whole.
+    """
     titled = numbered_results.withColumn("_title", F.expr(page_title()))
     heading_lines = (
-        "flatten(transform(array_sort(map_entries(headings)), e -> transform(slice(e.value, 1, 5), "
+        "flatten(transform(array_sort(map_entries(headings)), e -> transform("
+        f"{_first('e.value', max_headings)}, "
         "h -> concat('- **', upper(e.key), ':** ', h))))")
-    link_lines = transform("slice(links, 1, 10)", lambda x: (
-        f"concat('- [', coalesce({non_empty(truncate(f'coalesce({x}[{chr(39)}text{chr(39)}], {chr(39)}{chr(39)})', 50))}, "
+    link_lines = transform(_first("links", max_links), lambda x: (
+        f"concat('- [', coalesce({non_empty(truncate(f'coalesce({x}[{chr(39)}text{chr(39)}], {chr(39)}{chr(39)})', max_link_text))}, "
         f"'No text'), '](', coalesce({x}['url'], ''), ')')"))
     no_lines = "cast(array() as array<string>)"
     sections = [
@@ -178,8 +190,8 @@ def markdown_page(numbered_results: DataFrame, heading_level: int = 2, include_l
         f"if(size(headings) > 0, concat(array('\\n### Page Headings\\n'), {heading_lines}, array('')), {no_lines})",
     ]
     if include_links:
-        more = ("if(size(links) > 10, array(concat('\\n*... and ', size(links) - 10, ' more links*')), "
-                f"{no_lines})")
+        more = no_lines if max_links is None else (
+            f"if(size(links) > {max_links}, array(concat('\\n*... and ', size(links) - {max_links}, ' more links*')), {no_lines})")
         sections.append(f"if(size(links) > 0, concat(array('\\n### Links Found\\n'), {link_lines}, {more}, "
                         f"array('')), {no_lines})")
     sections.append("'\\n---\\n'")

@@ -56,14 +56,18 @@ def test_prompts(spark):
     assert "URL: http://u\n\nYour task:" in plain and plain.endswith("PAGE CONTENT:\n" + "x" * 30)
     goal = M.content_prompts(pages, goal="find", max_length=110).collect()[0].prompt
     assert "URL: http://u\nSpecific goal: find\n" in goal
-    links = spark.createDataFrame([(1, i, f"/l{i}", "t" * 120, "Ti") for i in range(60)],
-                                  "page_id long, pos int, url string, text string, title string")
-    prompt = M.link_prompts(links, goal="g", context=M.page_context("title", "'s'")).collect()[0].prompt
+    from pagewright.sources.parse import parse_pages
+    anchors = "".join(f'<a href="http://h/l{i}">{"t" * 120}</a>' for i in range(60))
+    links = parse_pages(spark.createDataFrame([(1, "http://h/", f"<body>{anchors}", "Ti"), (2, "http://h/2", "<p>x", "none")],
+                                              "page_id long, url string, html string, title string"))
+    whole = M.link_prompts(links, top=None).collect()
+    assert len(whole) == 1 and whole[0].prompt.count("t" * 120) == 60
+    prompt = M.link_prompts(links, goal="g", context=M.page_context("title", "'s'"), max_text=100).collect()[0].prompt
     lines = prompt.split("LINKS TO ANALYZE:\n")[1].split("\n")
-    assert lines[0] == "- /l0: " + "t" * 100 and len(lines) == 50
+    assert lines[0] == "- http://h/l0: " + "t" * 100 and len(lines) == 50
     assert "context: Title: Ti\nSummary: s\nCrawl goal: g\n" in prompt
-    wide = M.link_prompts(links, top=30, compact=False).collect()[0].prompt.split("LINKS TO ANALYZE:\n\n\n")[1]
-    assert wide.split("\n")[29] == "- URL: /l29 | Text: " + "t" * 80 and wide.count("\n") == 29
+    wide = M.link_prompts(links, top=30, compact=False, max_text=80).collect()[0].prompt.split("LINKS TO ANALYZE:\n\n\n")[1]
+    assert wide.split("\n")[29] == "- URL: http://h/l29 | Text: " + "t" * 80 and wide.count("\n") == 29
 
 
 def test_merges(spark):
@@ -91,7 +95,7 @@ def test_summaries_and_fallback_scores(spark):
     assert [r.summary for r in M.with_summaries(rows, "t", "a", 4, "empty").orderBy("page_id").collect()] == ["", "answ"]
     links = spark.createDataFrame([(1, "p", i, f"/{i}", "t") for i in range(40)],
                                   "page_id long, page_url string, pos int, url string, text string")
-    assert M.fallback_scores(links).count() == 40 and M.fallback_scores(links, sent=30).count() == 30
+    assert M.fallback_scores(links).count() == 40
 
 
 def test_annotate_runs_a_callers_function(spark):
