@@ -69,6 +69,10 @@ def json_line(results: DataFrame, kind: str | None = None, pretty: bool = False)
     return results.select(value.alias("value"))
 
 
+#: Most columns of a flat export that come from the data
+MAX_FLAT_COLUMNS = 10_000
+
+
 def _first(array: str, n: int | None) -> str:
     return array if n is None else f"slice({array}, 1, {int(n)})"
 
@@ -110,29 +114,37 @@ def csv_row(results: DataFrame, columns: list[str] | None = None,
 def discover_columns(results: DataFrame) -> dict[str, list[str]]:
     """The columns of a flat export that depend on the data.
 
-    One aggregate over the rows; what comes back is one flag per list column and the
-    distinct keys of the map columns, never rows.
+    One pass: every row states what it has, and equal statements are combined before they are
+    shuffled.  More than `MAX_FLAT_COLUMNS` of them are an error, not a wide table.
     """
     lists = [c for c in _result_columns(results) if _is_map_list(results.schema[c].dataType)]
     maps = [c for c in _result_columns(results) if isinstance(results.schema[c].dataType, T.MapType)]
-    flags = [F.max((F.size(c) > 0)).alias(f"{c}|full") for c in lists] + [
-        F.max((F.size(c) == 0)).alias(f"{c}|empty") for c in lists] + [
-        F.max(F.col(c).isNotNull()).alias(f"{c}|some") for c in OPTIONAL_COLUMNS if c in results.columns]
-    seen = results.agg(F.count(F.lit(1)).alias("rows"), *flags).first().asDict()
-    found = {"rows": ["rows"] if seen["rows"] else []}
-    for c in lists:
-        found[c] = [name for name, flag in ((c, "empty"), (f"{c}_count", "full")) if seen[f"{c}|{flag}"]]
-    for c in maps:
-        keys = results.select(F.explode(F.map_keys(c)).alias("key")).distinct()
-        found[c] = sorted(r.key for r in keys.toLocalIterator())
-    if "raw_html" in results.columns:
-        found["raw_html"] = ["raw_html"] if seen["raw_html|some"] else []
+    optional = [c for c in OPTIONAL_COLUMNS if c in results.columns]
+
+    def states(kind, column, names, condition="true"):
+        return f"if({condition}, transform({names}, n -> struct('{kind}' AS kind, '{column}' AS col, n AS name)), array())"
+
+    stated = [states("rows", "rows", "array('rows')")]
+    stated += [states("list", c, f"array('{c}_count')", f"size({c}) > 0") for c in lists]
+    stated += [states("list", c, f"array('{c}')", f"size({c}) = 0") for c in lists]
+    stated += [states("map", c, f"map_keys({c})", f"{c} IS NOT NULL") for c in maps]
+    stated += [states("some", c, f"array('{c}')", f"{c} IS NOT NULL") for c in optional]
+    seen = results.selectExpr(f"inline(concat({', '.join(stated)}))").distinct().limit(MAX_FLAT_COLUMNS + 1).collect()
+    if len(seen) > MAX_FLAT_COLUMNS:
+        raise ValueError(f"a flat export of these results has more than {MAX_FLAT_COLUMNS} columns")
+    found = {name: [] for name in ["rows", *lists, *maps, *(c for c in optional if c == "raw_html")]}
+    for row in sorted(seen):
+        if row.col in found and row.kind != "some" or row.col == "raw_html":
+            found[row.col].append(row.name)
     return found
 
 
-def flatten(results: DataFrame) -> DataFrame:
-    """Every field as a text column, nested keys joined by ``_``, columns sorted."""
-    found = discover_columns(results)
+def flatten(results: DataFrame, found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Every field as a text column, nested keys joined by ``_``, columns sorted.
+
+    `found` comes from `discover_columns`, which is asked when it is not given.
+    """
+    found = found or discover_columns(results)
     cells = {}
     for c in _result_columns(results):
         kind = results.schema[c].dataType

@@ -12,9 +12,10 @@ import os
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pagewright.session import scratch_folder
 from pagewright.sinks import rows as R
 
 # Format names and the file extensions that stand for them.
@@ -85,30 +86,35 @@ def _filtered(results, options):
                            options.include_images, options.max_content_length)
 
 
-def _metadata(written: str, results: DataFrame, format_name: str, **extra) -> DataFrame:
-    """One row.  The results are counted in what was written, not by computing them again."""
+def _write_lines(lines: DataFrame, path: str) -> int:
+    """Write the lines and return how many there were, as the write itself counted them."""
+    seen = Observation()
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
+
+
+def _metadata(total: int, results: DataFrame, format_name: str, **extra) -> DataFrame:
+    """One row."""
     now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat() + "Z"
-    # Indented or not, only the first line of a record starts with its brace.
-    lines = results.sparkSession.read.text(written).filter("startswith(value, '{')")
-    return lines.agg(F.count(F.lit(1)).alias("total_results")).select(
+    return results.sparkSession.range(1).select(
         *[F.lit(v).alias(k) for k, v in extra.items() if k == "_type"],
         F.lit(now).alias("exported_at"), F.lit(format_name).alias("format"),
-        *[F.lit(v).alias(k) for k, v in extra.items() if k != "_type"], "total_results")
+        *[F.lit(v).alias(k) for k, v in extra.items() if k != "_type"], F.lit(total).cast("long").alias("total_results"))
 
 
 def _save_json(results, path, stats, options):
-    R.json_line(_filtered(results, options), pretty=options.pretty_print).write.mode("overwrite").text(f"{path}/data")
+    total = _write_lines(R.json_line(_filtered(results, options), pretty=options.pretty_print), f"{path}/data")
     if options.include_metadata:
-        _metadata(f"{path}/data", results, "json", version="1.0").write.mode("overwrite").json(f"{path}/metadata")
+        _metadata(total, results, "json", version="1.0").write.mode("overwrite").json(f"{path}/metadata")
     if stats is not None:
         stats.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/stats")
 
 
 def _save_jsonl(results, path, stats, options):
     keep_nulls = {"ignoreNullFields": "false"}
-    R.json_line(_filtered(results, options), "result").write.mode("overwrite").text(path)
+    total = _write_lines(R.json_line(_filtered(results, options), "result"), path)
     if options.include_metadata:
-        _metadata(path, results, "jsonl", _type="metadata").select(
+        _metadata(total, results, "jsonl", _type="metadata").select(
             F.to_json(F.struct("*"), keep_nulls)).write.mode("append").text(path)
     if stats is not None:
         stats.select(F.to_json(F.struct("*", F.lit("stats").alias("_type")), keep_nulls)).write.mode(
@@ -132,11 +138,16 @@ def _save_csv(results, path, stats, options):
 
 
 def _save_flat(results, path, stats, options):
-    if not R.discover_columns(results)["rows"]:
+    # Columns come from the rows, so these are read twice: computed once.
+    staged = scratch_folder(results.sparkSession, "flat")
+    results.write.parquet(staged)
+    results = results.sparkSession.read.schema(results.schema).parquet(staged)
+    found = R.discover_columns(results)
+    if not found["rows"]:
         # No results: an empty export, without a header.
         results.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)
         return
-    _write_cells(R.flatten(results), path, options.delimiter)
+    _write_cells(R.flatten(results, found), path, options.delimiter)
 
 
 def _save_markdown(results, path, stats, options):
@@ -164,7 +175,7 @@ def _save_markdown(results, path, stats, options):
 
 def _save_single(results, path, stats, options):
     order = [c for c in ("page_id", "url") if c in results.columns]
-    first = R.single_page_markdown(results).orderBy(*order).limit(1).select("markdown")
+    first = R.single_page_markdown(results.orderBy(*order).limit(1)).select("markdown")
     none = "# No Results\n\nNo pages were scraped."
     # max over at most one row gives the text, or null when there is no result
     first.agg(F.coalesce(F.max("markdown"), F.lit(none)).alias("value")).write.mode("overwrite").text(path)
