@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BITMAP_BITS = 1 << 26
 
 #: White space of the token pattern [^\x20\x09-\x0D]+
@@ -50,7 +50,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 2 * _BLOCK), base, dtype=np.uint64)
+        steps = np.full(max(n, _BLOCK + (1 << 16)), base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
     return have

@@ -33,9 +33,9 @@ from pagewright.llm import hashing
 
 MARK = "▁"
 #: Words a worker keeps with their ids
-CACHE = 300_000
+CACHE = 150_000
 #: Text that is encoded at a time: more shares more words
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 
 # Kinds of pieces in the model file
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
