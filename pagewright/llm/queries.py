@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import chat, log_bilinear, ngram_join, pieces, quality, sharding, tiling, toxicity, url_filter, vector_graph
+from pagewright.llm import chat, log_bilinear, ngram_join, pieces, quality, reference_sql, sharding, tiling, toxicity, url_filter, vector_graph
 
 #: Vocabulary file of the queries; operators take a path
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,7 +20,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages"))
+    judged = url_filter.judge(_read(spark, sf_dir, "pages"))
+    return judged.withColumn("difference", F.round("difference", 6))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked_conversations(_read(spark, sf_dir, "conversations"))
+    events = chat.linked_conversations(_read(spark, sf_dir, "conversations"))
+    return events.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +60,4 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_toxicity, op4_pieces, op5_ngram_join, op6_vector_graph, op7_chat, op8_log_bilinear, op9_quality, op10_tiling)}
-ORACLE: dict[str, str] = {}
+ORACLE = dict(reference_sql.ORACLE)

@@ -128,13 +128,18 @@ def _constant(row: DataFrame, kind: str, names: list[str]) -> Column:
     return F.expr(name)
 
 
+def fold(url: str = "url") -> str:
+    """SQL of the part a URL belongs to; part 0 sets the threshold."""
+    return f"CAST(conv(left(md5({url}), 8), 16, 10) AS long) % {FOLDS}"
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, difference (per character) and threshold of every page."""
     host, path = host_and_path()
     found = pages.select("page_id", "url").selectExpr("*", f"{host} AS host", f"{path} AS path").selectExpr("*", f"{matching_rule(rules)} AS found")
     urls = found.selectExpr("page_id", "url", "host", "path", "found.rule AS rule", "found.verdict AS verdict")
     # URLs decide their fold, so copies of one never lie on both sides.
-    ruled = urls.where("rule IS NOT NULL").selectExpr("verdict", f"{grams()} AS grams", f"pmod(xxhash64(url), {FOLDS}) AS fold")
+    ruled = urls.where("rule IS NOT NULL").selectExpr("verdict", f"{grams()} AS grams", f"{fold()} AS fold")
     names: list[str] = []
     weights = _constant(log_ratios(ruled.where("fold > 0")), "array<double>", names)
 

@@ -61,7 +61,7 @@ def brute_ratios(accepted, rejected):
 def test_differences_equal_brute_force(spark):
     urls = [f"http://site{i % 5}.com/{'fr' if i % 3 else 'de'}/p{i}" for i in range(40)] + ["http://other.net/q", "x☃y", ""]
     frame = pages(spark, urls)
-    folds = {r.url: r.f for r in frame.selectExpr("url", f"pmod(xxhash64(url), {U.FOLDS}) AS f").collect()}
+    folds = {r.url: r.f for r in frame.selectExpr("url", f"{U.fold()} AS f").collect()}
     train = [u for u in urls[:40] if folds[u] > 0]
     difference = brute_ratios([u for u in train if "/fr/" in u], [u for u in train if "/de/" in u])
     for r in U.judge(frame).collect():
