@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
 from pagewright.operators import crawl as G
 from pagewright.operators import links as L
-from pagewright.operators import stats as A
 from pagewright.plans import oracle as O
 from pagewright.plans.page_queries import pages, parsed, table
+from pagewright.session import scratch_folder
 from pagewright.sources.parse import parse_pages
 
 
@@ -19,8 +18,10 @@ def links(spark, sf_dir):
 
 
 def shared_links(spark, sf_dir):
-    """The link table for queries that read it more than once; parsed pages are not kept."""
-    return links(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    """The link table for queries that read it more than once, written to the shared scratch folder."""
+    found, folder = links(spark, sf_dir), scratch_folder(spark, "links")
+    found.write.parquet(folder)
+    return spark.read.schema(found.schema).parquet(folder)
 
 
 def rewritten(spark, sf_dir, old, new):
