@@ -111,18 +111,29 @@ def single_string(elements: Sql, texts: Sql, element: Sql) -> Sql:
             f"then get({texts}, {element}.text_from - 1).raw end")
 
 
+# Noisy elements that a fold collects before it starts a new array.
+_RUN = 256
+
+
 def noise_ranges(elements: Sql, tags: Iterable[str] = NOISE_TAGS,
                  indicators: Iterable[str] = NOISE_INDICATORS) -> Sql:
-    """The outermost noisy elements, in order, without overlap."""
+    """The outermost noisy elements, in order, without overlap.
+
+    Found ranges are kept in runs, so that adding one copies a run and not all of them.
+    """
     noisy = keep(elements, lambda e: f"{e}.tag in ({words(tags)}) or {marked_with(e, indicators)}")
     empty = "cast(array() as array<struct<pos:int,last:int,text_from:int,text_to:int>>)"
+    no_runs = "cast(array() as array<array<struct<pos:int,last:int,text_from:int,text_to:int>>>)"
 
     def widen(done, e):
         found = struct(pos=f"{e}.pos", last=f"{e}.last", text_from=f"{e}.text_from", text_to=f"{e}.text_to")
-        wider = struct(last=f"{e}.last", ranges=f"concat({done}.ranges, array({found}))")
+        full = f"size({done}.run) >= {_RUN}"
+        wider = struct(last=f"{e}.last", runs=f"if({full}, concat({done}.runs, array({done}.run)), {done}.runs)",
+                       run=f"if({full}, array({found}), concat({done}.run, array({found})))")
         return f"if({e}.pos > {done}.last, {wider}, {done})"
 
-    return fold(noisy, struct(last="0", ranges=empty), widen, lambda done: f"{done}.ranges")
+    return fold(noisy, struct(last="0", runs=no_runs, run=empty), widen,
+                lambda done: f"concat(flatten({done}.runs), {done}.run)")
 
 
 def _blank_out(array: Sql, ranges: Sql, start: str, stop: str, filler: Sql) -> Sql:
