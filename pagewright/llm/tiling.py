@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 A document is contaminated if tiles, long runs of words that it shares with a benchmark item,
-cover at least `COVERAGE` of the item's words.  Longest matches are marked first and marked words
+cover at least `COVERAGE` of the item's words and `LEAST_WORDS` words (or the whole item, if it is
+shorter), so that a part of an item is found and a common phrase is not.  Longest matches are marked first and marked words
 are not used again, so a passage whose sentences come in another order is found as well.
 
 Running Karp-Rabin matching: hashes of `SEED` words in a row are joined with those of the items;
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from pagewright.llm import hashing
 from pagewright.session import scratch_folder
 
-SEED, COVERAGE = 5, 0.5
+SEED, COVERAGE = 5, 0.3
+#: Words that must be covered at least, or the whole item if it is shorter
+LEAST_WORDS = 8
 #: Bound of the seeds that tasks hold at a time
 CHUNK = 1_000_000
 
@@ -145,8 +148,9 @@ def matches(column: pa.Array, table: Table, coverage: float = COVERAGE) -> dict[
     distinct = np.add.reduceat(step.astype(np.int64), begins)
     best: dict[int, tuple[float, int]] = {}
     for a, b in zip(begins[distinct * SEED >= coverage * words[begins]], ends[distinct * SEED >= coverage * words[begins]]):
-        share = tile(list(zip(at_text[a:b].tolist(), at_item[a:b].tolist()))) / int(words[a])
-        if share >= coverage:
+        covered = tile(list(zip(at_text[a:b].tolist(), at_item[a:b].tolist())))
+        share = covered / int(words[a])
+        if share >= coverage and covered >= min(LEAST_WORDS, int(words[a])):
             found = (share, int(item[a]))
             old = best.get(int(text[a]))
             if old is None or (-found[0], found[1]) < (-old[0], old[1]):

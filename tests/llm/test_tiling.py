@@ -51,8 +51,8 @@ def test_whole_reordered_and_partial_passages(spark, documents):
                                       "item_id long, text string, doc_id int")
     reordered = items[3][20:] + items[3][:20]
     texts = [
-        " ".join(words(50) + items[2] + words(50)), " ".join(words(9) + reordered), " ".join(words(30) + items[4][:12] + words(30)),
-        " ".join(items[5][:30]).upper().replace(" ", ", "), " ".join(words(400)), None, "", "a b", " ".join(items[7] * 300),
+        " ".join(words(50) + items[2] + words(50)), " ".join(words(9) + reordered), " ".join(words(30) + items[4][:9] + words(30)),
+        " ".join(items[5][5:20]).upper().replace(" ", ", "), " ".join(words(400)), None, "", "a b", " ".join(items[7] * 300),
     ]
     docs = documents(texts)
     expected = {0: (True, 2), 1: (True, 3), 2: (False, None), 3: (True, 5), 4: (False, None), 5: (False, None), 6: (False, None),
@@ -65,6 +65,12 @@ def test_whole_reordered_and_partial_passages(spark, documents):
         assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 7]
 
 
+def test_a_common_phrase_in_a_short_item_is_not_enough(spark, documents):
+    benchmark = spark.createDataFrame([(1, "which of the following is right now here"), (2, "all these six words are here")], "item_id long, text string")
+    docs = documents(["so which of the following is best", "x all these six words are here y", "which of the following is right now here"])
+    assert contaminated(tiling.contamination(docs, benchmark)) == {0: (False, None), 1: (True, 2), 2: (True, 1)}
+
+
 def test_ties_go_to_the_smallest_item_and_empty_tables(spark, documents):
     passage = " ".join(words(20))
     benchmark = spark.createDataFrame([(9, passage), (4, passage), (4, passage)], "item_id long, text string")
