@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagewright.llm import sharding as S
 from pagewright.llm import url_filter as U
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
@@ -80,4 +81,21 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, cal
   WHEN 'result' THEN '{{"content":' || to_json(text) || ',"id":"' || call_id || '","kind":"result"}}'
   ELSE '{{"content":' || to_json(text) || ',"id":"' || call_id || '","kind":"message","role":"' || role || '"}}' END AS json FROM e"""
 
-ORACLE = {"op2_url_filter": URL_FILTER, "op5_ngram_join": NGRAM_JOIN, "op7_chat": CHAT}
+# Checksums bit by bit: a table of 256 entries from the polynomial, then one step per byte.
+SHARDING = f"""WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps),
+h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents),
+z AS (SELECT doc_id, text, coalesce(length(h) // 2, 0) + 1 AS size, xor(list_reduce(list_concat([4294967295],
+    list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM h, k),
+s AS (SELECT *, (sum(size) OVER w - size)::BIGINT AS start, (sum(size) OVER ())::BIGINT AS total, row_number() OVER w AS number
+  FROM z WINDOW w AS (ORDER BY text_crc32 NULLS FIRST, text, doc_id ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, least({S.SHARDS - 1}, ((2 * start + size) * {S.SHARDS}) // (2 * total)) AS middle FROM s),
+g AS (SELECT *, sum(size) OVER v AS bytes, min(start) OVER v AS first, min(middle) OVER v AS low, max(middle) OVER v AS high
+  FROM m WINDOW v AS (PARTITION BY text)),
+p AS (SELECT *, CASE WHEN low < high AND bytes * {S.SHARDS} <= {S.WHOLE} * total
+  THEN least({S.SHARDS - 1}, ((2 * first + bytes) * {S.SHARDS}) // (2 * total)) ELSE middle END::INTEGER AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, number - min(number) OVER (PARTITION BY shard) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+ORACLE = {"op1_sharding": SHARDING, "op2_url_filter": URL_FILTER, "op5_ngram_join": NGRAM_JOIN, "op7_chat": CHAT}
