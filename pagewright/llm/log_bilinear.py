@@ -12,8 +12,8 @@ that over the group's tokens, plus 1 for tokens never seen), c being its count i
 What comes from the texts follows the texts: token counts, pair counts and each token's own count
 cover all of them.  Counts are combined before shuffles.  What tasks and driver hold is bounded:
 `UNITS` and `GROUPS` (vectors, pair counts), the `KNOWN` most frequent tokens with their counts,
-and `TRIPLES` places for the mixing weights.  The counts of other tokens are joined; as such a
-token has at most a `KNOWN`th of all tokens, no key of that join is hot.
+and `TRIPLES` places for the mixing weights.  The counts of other tokens are joined: more than
+`KNOWN` tokens are at least about as frequent, so no key of that join is hot.
 
 Tokens: A to Z lower-cased, words are runs of bytes other than white space, and every text ends
 with one end token, also a null or empty one.  Without training texts all counts are zero and the
@@ -225,7 +225,7 @@ def fit(training: DataFrame, names: np.ndarray, alone: np.ndarray) -> Model:
         right.append(b)
         bias.append(c)
     model = Model(names, left, right, bias, alone, np.array([1.0, 1.0, 1.0]))
-    triples = pairs.where("place = 0").orderBy(F.xxhash64("cell"), "cell").limit(TRIPLES).toArrow()
+    triples = hashing.smallest_hashes(pairs.where("place = 0"), "cell", TRIPLES).toArrow()
     cell = np.repeat(triples.column("cell").to_numpy(), triples.column("n").to_numpy())
     one, two = model.tables()
     unit = cell % ALL
@@ -233,6 +233,23 @@ def fit(training: DataFrame, names: np.ndarray, alone: np.ndarray) -> Model:
     return model
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The smallest count that at most KNOWN tokens reach, up to steps of a 32nd of an octave.
+
+    Counts are grouped by such steps (at most 2 048 groups), so no task sorts all tokens.
+    """
+    step = "CAST(floor(log2(n) * 32) AS int)"
+    sizes = counts.selectExpr(f"{step} AS step", "n").groupBy("step").agg(
+        F.count("*").alias("tokens"), F.min("n").alias("least")).collect()
+    least, total = 1 << 62, 0
+    for row in sorted(sizes, reverse=True):
+        total += row["tokens"]
+        if total > KNOWN:
+            break
+        least = row["least"]
+    return least
+
+
 def score(docs: DataFrame, fold: int = FOLD, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     spark = docs.sparkSession
@@ -240,10 +257,13 @@ def score(docs: DataFrame, fold: int = FOLD, folds: int = FOLDS) -> DataFrame:
     training = texts.where("NOT held_out")
     counts = _written(token_counts(training), "token-counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # The KNOWN most frequent tokens: a table of a few megabytes, whatever the input.
-    top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).toArrow()
-    known = top.column("hash").to_numpy().astype(np.uint64)
-    known_n, known_group = top.column("n").to_numpy(), top.column("group").to_numpy()
+    # Up to KNOWN most frequent tokens: a table of a few megabytes, whatever the input.
+    # The end token, which every text has, is always among them.
+    end = int(np.uint64(END).astype(np.int64))
+    top = counts.where((F.col("n") >= _least_count(counts)) | (F.col("hash") == end)).toArrow()
+    order = np.lexsort((top.column("hash").to_numpy(), -top.column("n").to_numpy()))
+    known = top.column("hash").to_numpy()[order].astype(np.uint64)
+    known_n, known_group = top.column("n").to_numpy()[order], top.column("group").to_numpy()[order]
     chosen = np.zeros(len(known), bool)
     chosen[: UNITS - 1] = True
     chosen |= known == np.uint64(END)

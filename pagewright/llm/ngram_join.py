@@ -285,7 +285,8 @@ def similar_documents(
     heads = named.groupBy("component").agg(
         F.min(F.struct(F.col("copy_id").isNull().alias("n"), "copy_id", "key")).alias("head")).select(
             "component", F.col("head.copy_id").alias("class_id"), F.col("head.key").alias("leader"))
-    classes = named.join(heads, "component").select(
+    # Written, so that both sides of the join are shuffled for it and a large class can be split.
+    classes = named.join(_written(heads, "heads"), "component").select(
         "key", "copy_id", "copies", "class_id", (F.col("leader") == F.col("key")).alias("leader"), "linked_sets", "linked_docs")
     return keyed.select("doc_id", "key"), _written(classes, "named")
 

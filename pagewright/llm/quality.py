@@ -173,8 +173,7 @@ def _feature_rows(texts: DataFrame) -> np.ndarray:
 
 def _sampled(rows: DataFrame, limit: int) -> DataFrame:
     """The `limit` ids with the smallest hashes, as a small table."""
-    return rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return hashing.smallest_hashes(rows.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", limit)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:

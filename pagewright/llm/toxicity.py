@@ -140,8 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(1):
         return None
-    half = [known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-            for value in (0, 1)]
+    half = [hashing.smallest_hashes(known.where(F.col("toxic") == value), "doc_id", sample // 2) for value in (0, 1)]
     # At most `sample` rows: the bound that makes the broadcast safe.
     rows = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id")
 
