@@ -105,3 +105,16 @@ def test_annotate_runs_a_callers_function(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "page_id long, t string")
     found = M.annotate(rows, upper, "page_id long, t string, summary string").orderBy("page_id").collect()
     assert [r.summary for r in found] == ["A", "B"]
+
+
+def test_merges_with_several_answers_keep_one_row(spark):
+    links = spark.createDataFrame([("p", 1, "/a", "content", True)], "page_url string, pos int, url string, link_type string, follow boolean")
+    scores = spark.createDataFrame([("p", "/a", 0.1, "x", True), ("p", "/a", 0.7, "news", False), ("p", "/a", 0.7, "news", True)],
+                                   "page_url string, url string, relevance_score double, link_type string, should_follow boolean")
+    row, = M.merge_scores(links, scores).collect()
+    assert (row.link_type, row.follow, row.relevance_score) == ("news", True, 0.7)
+    records = spark.createDataFrame([(1, "t", "m", None, "d")], "page_id long, title string, main_content string, author string, date_published string")
+    notes = spark.createDataFrame([(1, "", "a", "w", None, "s", ""), (1, "new", "b", "", None, "", "article")],
+                                  "page_id long, title string, main_content string, author string, date_published string, summary string, content_type string")
+    row, = M.merge_annotations(records, notes).collect()
+    assert (row.title, row.main_content, row.author, row.summary, row.content_type) == ("new", "b", "w", "s", "article")

@@ -182,3 +182,31 @@ def test_document_kind_and_challenge_pages(spark):
         ("xml", "xml", "xml"), ("html", "html", "xml"), ("html", "xml", "html"), ("html", "html", "xml"),
         ("html", "html", "html"), ("html", "html", "html")]
     assert [r.url[-1] for r in S.drop_challenge_pages(rows).collect()] == ["l", "L", "a", "b", "d"]
+
+
+def test_numbers_do_not_depend_on_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        rows = W.number_rows(spark.range(2000), ["id"]).collect()
+        within = W.number_within(spark.range(900).selectExpr("id % 3 AS g", "id"), "g", ["id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r.id, r.number) for r in rows) == [(i, i + 1) for i in range(2000)]
+    assert all(r.number == r.id // 3 for r in within)
+
+
+def test_bounded_crawl_finds_pages_by_canonical_address(spark):
+    pages = site(spark, {f"{HOST}/a": ["/b/?utm_source=x", "/c#t", "/gone"], f"{HOST}/b/?utm_source=y": [], f"{HOST}/c#top": []})
+    rows = {r.url: (r.ok, r.stored) for r in G.bounded_crawl(pages, seeds(spark, f"{HOST}/a")).collect()}
+    assert rows == {f"{HOST}/a": (True, f"{HOST}/a"), f"{HOST}/b": (True, f"{HOST}/b/?utm_source=y"),
+                    f"{HOST}/c": (True, f"{HOST}/c#top"), f"{HOST}/gone": (False, None)}
+    records = G.crawl_records(G.bounded_crawl(pages, seeds(spark, f"{HOST}/a")), pages).collect()
+    assert sorted((r.visited_url, r.url, r.depth) for r in records) == [
+        (f"{HOST}/a", f"{HOST}/a", 0), (f"{HOST}/b", f"{HOST}/b/?utm_source=y", 1), (f"{HOST}/c", f"{HOST}/c#top", 1)]
+
+
+def test_a_budget_that_ends_with_a_success_drops_later_failures(spark):
+    pages = site(spark, {f"{HOST}/a": ["/b", "/x", "/y"], f"{HOST}/b": []})
+    rows = G.bounded_crawl(pages, seeds(spark, f"{HOST}/a"), max_pages=2).collect()
+    assert sorted(r.url for r in rows) == [f"{HOST}/a", f"{HOST}/b"]
+    assert G.bounded_crawl(pages, seeds(spark, f"{HOST}/a").limit(0)).count() == 0

@@ -186,3 +186,29 @@ def test_stream_equals_batch(spark, tmp_path):
     query = T.stream_save(to_results(T.stream_records(stream)), str(tmp_path / "json"), str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).count() == 40
+
+
+def test_saving_does_not_change_options_and_keeps_crawls_apart(spark, tmp_path):
+    from pagewright.operators import stats as A
+    from pagewright.sinks import rows as R
+    from pagewright.sinks import save as S
+
+    options = S.ExportOptions()
+    rows = spark.createDataFrame([("u", "t")], "url string, title string")
+    S.save(rows, str(tmp_path / "a.tsv"), options=options)
+    assert options == S.ExportOptions()
+    stats = A.complete_stats(spark.createDataFrame([("http://a", 1), ("http://b", 2)], "start_url string, total_pages long"))
+    texts = [r.value for r in R.stats_preamble_text(stats).collect()]
+    assert len(texts) == 2 and all(t.startswith("# Statistics\n# total_pages,") and t.count("\n") == 16 for t in texts)
+
+
+def test_flat_columns_have_a_limit(spark, monkeypatch):
+    import pytest
+
+    from pagewright.sinks import rows as R
+
+    rows = spark.createDataFrame([({f"k{i}": "v" for i in range(9)},)], "headings map<string,string>")
+    assert R.discover_columns(rows)["headings"] == [f"k{i}" for i in range(9)]
+    monkeypatch.setattr(R, "MAX_FLAT_COLUMNS", 5)
+    with pytest.raises(ValueError):
+        R.discover_columns(rows)
