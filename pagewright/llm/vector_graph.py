@@ -10,6 +10,10 @@ Building and searching work on many vectors at a time, so numpy does the arithme
 is a table in the shared scratch folder: a lost executor repeats one shard.  Scores are cosines of
 the original vectors in double precision.
 
+Equal vectors, also up to a positive factor, are one node of the graph, so a group of copies costs no
+edges, whatever its size.  A table of members holds the smallest ids of each node, which are joined
+to the nodes that a search found; a query's own node is not searched for.
+
 Vectors that are null, zero, empty or hold null or non-finite components take no part, neither as
 queries nor as candidates.  Rows that repeat a vec_id count once (with the smallest vector).
 Vectors of another length are no candidates of each other.  Equal scores go to the smaller vec_id.
@@ -276,8 +280,51 @@ def _answer(graph, queries: pa.RecordBatch, k: int, beam: int) -> pa.RecordBatch
         [pa.array(np.repeat(own, there.sum(1))), pa.array(ids[there]), pa.array(scores[there])], ["query_id", "vec_id", "score"])
 
 
-def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, beam: int = BEAM) -> DataFrame:
+def members(vectors: DataFrame, k: int) -> DataFrame:
+    """node, vec_id, n and vector of the k smallest ids of every group of equal directions.
+
+    A node is named by its smallest id, whose row (n = 1) alone has the vector.  Tasks drop what
+    is beyond the k smallest before the shuffle.
+    """
+    spark = vectors.sparkSession
+    same = ["key", "direction"]
+    first = Window.partitionBy(*same).orderBy("vec_id")
+    few = _directions(vectors).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    rows = few.select(
+        F.min("vec_id").over(Window.partitionBy(*same)).alias("node"), "vec_id", "n", F.when(F.col("n") == 1, F.col("vector")).alias("vector"))
+    folder = scratch_folder(spark, "vector-members")
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def _directions(vectors: DataFrame) -> DataFrame:
+    """Adds what equal vectors share: the vector scaled as in `_unit`, and its hash."""
+    scaled = "transform(vector, x -> x / array_max(transform(vector, y -> abs(y))))"
+    return vectors.withColumn("direction", F.expr(scaled)).withColumn("key", F.xxhash64("direction"))
+
+
+def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, beam: int = BEAM, shard_size: int = SHARD) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by `every`, among all other rows."""
+    spark = embeddings.sparkSession
     vectors = valid_vectors(embeddings)
-    index = build_index(vectors)
-    return neighbours(index, index.where(F.col("vec_id") % every == 0).select("vec_id", "vector"), k, beam)
+    # A query may be among the ids of its node: one more than k.
+    known = members(vectors, k + 1)
+    nodes = known.where("n = 1").select("vec_id", "vector")
+    index = build_index(nodes, shard_size)
+    asked = _directions(vectors.where(F.col("vec_id") % every == 0)).select(F.col("vec_id").alias("query_id"), "key", "direction")
+    folder = scratch_folder(spark, "vector-queries")
+    asked.join(_directions(nodes).select(F.col("vec_id").alias("node"), "key", "direction"), ["key", "direction"]).select(
+        "query_id", "node").write.parquet(folder)
+    asked = spark.read.schema("query_id long, node long").parquet(folder)
+    # Each node is searched for once, however many queries it holds.  Of the k best rows none
+    # lies outside the k best other nodes: each of those has a row, its smallest id, that comes first.
+    own = asked.select("node").distinct()
+    found = neighbours(index, index.join(own.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select("vec_id", "vector"), k, beam).select(
+        F.col("query_id").alias("asked"), F.col("vec_id").alias("node"), "score")
+    hits = found.unionByName(own.select(F.col("node").alias("asked"), "node", F.lit(1.0).alias("score")))
+    ids = known.groupBy("node").agg(F.collect_list("vec_id").alias("ids"))
+    best = hits.join(ids, "node").select("asked", F.explode("ids").alias("vec_id"), "score").groupBy("asked").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+    return asked.join(best.withColumnRenamed("asked", "node"), "node").select(
+        "query_id", F.expr(f"posexplode(slice(filter(best, b -> b.vec_id <> query_id), 1, {k})) AS (place, b)")).select(
+            "query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))

@@ -74,3 +74,25 @@ def test_every_vector_can_be_reached():
                 seen.add(int(i))
                 todo.append(int(i))
     assert len(seen) == 700
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(1800, 16)).astype(np.float32)
+    vectors[::3] = vectors[0]
+    vectors[1::30] = vectors[1] * np.float32(4)  # a group that differs from one vector by a factor
+    found = {}
+    for r in sorted(V.nearest(table(spark, enumerate(vectors.tolist())), shard_size=400).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.rank, r.score))
+    assert sorted(found) == list(range(0, 1800, 50))
+    unit = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    hits = []
+    for q, best in found.items():
+        scores = np.round(unit @ unit[q], 9)
+        expected = [i for i in np.lexsort((np.arange(1800), -scores)) if i != q][:5]
+        assert [rank for _, rank, _ in best] == [1, 2, 3, 4, 5]
+        assert all(s == pytest.approx(scores[i], abs=1e-8) for i, _, s in best)
+        if q % 3 == 0 or q % 30 == 1:
+            assert [i for i, _, _ in best] == expected
+        hits.append(len({i for i, _, _ in best} & set(expected)) / 5)
+    assert np.mean(hits) >= 0.95
