@@ -14,7 +14,9 @@ events is not one task.
 
 Defined cases: a call without a result and a result without a call are kept and not linked.
 Rows that repeat an identifier count once: the one with the smallest turn, then text; rows
-without one (of a null conversation or turn) are told apart by their values.  Arguments
+without one (of a null conversation or turn) are told apart by their values.  Where identifiers
+are made up (plain conversations), rows that share one are events of their own; rows equal in
+every column that takes part count once, unless `copies` keeps those, too.  Arguments
 that are null, no JSON, no object, or name a key twice are invalid as a whole.  Names without
 parameters in the table are unknown, which is an error; parameters that the table doesn't list
 are errors, too.  Events on a cycle of dependencies are marked and ordered by turn.  A null
@@ -94,53 +96,56 @@ def topological_places(events: DataFrame, edges: DataFrame) -> DataFrame:
                 (F.col("cyclic") | (F.coalesce("to.depth", F.lit(0)) > limit)).alias("cyclic")), "places")
 
 
-def link(calls: DataFrame, results: DataFrame, messages: DataFrame, tools: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, messages: DataFrame, tools: DataFrame, every: bool = False) -> DataFrame:
     """Ordered events of all conversations.
 
     `calls` has conv_id, call_id, turn, tool, arguments (JSON) and needs (an array of call_ids
     whose results it depends on); `results` has conv_id, call_id, turn and content; `messages`,
     which are neither, have conv_id, call_id (a name of their own), turn, role and content.  One
     row per event: conv_id, place (from 0 in its conversation), kind, call_id, turn, linked, valid,
-    errors, cyclic and json.
+    errors, cyclic and json.  With `every`, all rows of an identifier are events: they share its
+    place in the order (the smallest turn of them) and go by turn and values there.
     """
     calls = calls.withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("?"), F.hex(F.xxhash64("conv_id", "turn", "tool", "arguments")))))
     results = results.withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("?"), F.hex(F.xxhash64("conv_id", "turn", "content")))))
+    if not every:
+        calls = calls.groupBy("call_id").agg(F.min(F.struct("turn", "arguments", "conv_id", "tool", "needs")).alias("c")).select("call_id", "c.*")
+        results = results.groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r")).select("call_id", "r.*")
+        messages = messages.groupBy("call_id").agg(F.min(F.struct("turn", "role", "content", "conv_id")).alias("m")).select("call_id", "m.*")
     calls = _written(
-        validate(calls.groupBy("call_id").agg(
-            F.min(F.struct("turn", "arguments", "conv_id", "tool", "needs")).alias("c")).select(
-                "c.conv_id", "call_id", "c.turn", "c.tool", "c.arguments", "c.needs"), tools).select(
-                    "conv_id", "call_id", "turn", "tool", "arguments", "arguments_json", "errors", "needs"), "calls")
-    results = _written(
-        results.groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r")).select(
-            "r.conv_id", "call_id", "r.turn", "r.content"), "results")
-    messages = _written(
-        messages.groupBy("call_id").agg(F.min(F.struct("turn", "role", "content", "conv_id")).alias("m")).select(
-            "m.conv_id", "call_id", "m.turn", "m.role", "m.content"), "messages")
-    pairs = calls.select("call_id", F.lit(True).alias("called")).join(
-        results.select("call_id", F.lit(True).alias("answered")), "call_id", "full").select(
-            "call_id", (F.col("called").isNotNull() & F.col("answered").isNotNull()).alias("linked"))
-    # Nodes are call identifiers with a sign for the kind.
+        validate(calls.select("conv_id", "call_id", "turn", "tool", "arguments", "needs"), tools).select(
+            "conv_id", "call_id", "turn", "tool", "arguments", "arguments_json", "errors", "needs"), "calls")
+    results = _written(results.select("conv_id", "call_id", "turn", "content"), "results")
+    messages = _written(messages.select("conv_id", "call_id", "turn", "role", "content"), "messages")
+    # Nodes are call identifiers with a sign for the kind; rows that share one were combined before they meet.
     call_node, result_node, message_node = (F.concat(F.lit(kind), "call_id") for kind in "crm")
-    events = calls.select(call_node.alias("node"), "turn").unionAll(results.select(result_node.alias("node"), "turn")).unionAll(
-        messages.select(message_node.alias("node"), "turn"))
-    edges = calls.select(call_node.alias("before"), result_node.alias("after")).unionAll(
-        calls.select(F.explode(F.expr("transform(needs, n -> concat('r', n))")).alias("before"), call_node.alias("after")))
+    called, answered, said = (x.groupBy("call_id").agg(F.min("turn").alias("turn")) for x in (calls, results, messages))
+    pairs = called.select("call_id", F.lit(True).alias("called")).join(
+        answered.select("call_id", F.lit(True).alias("answered")), "call_id", "full").select(
+            "call_id", (F.col("called").isNotNull() & F.col("answered").isNotNull()).alias("linked"))
+    events = called.select(call_node.alias("node"), "turn").unionAll(answered.select(result_node.alias("node"), "turn")).unionAll(
+        said.select(message_node.alias("node"), "turn"))
+    edges = called.select(call_node.alias("before"), result_node.alias("after")).unionAll(
+        calls.select(F.explode(F.expr("transform(needs, n -> concat('r', n))")).alias("before"), call_node.alias("after")).distinct())
     places = topological_places(events, edges)
     call_json = ("to_json(to_variant_object(named_struct('arguments', try_parse_json(arguments_json), 'errors', errors, "
                  "'id', call_id, 'kind', 'call', 'name', tool)))")
     result_json = "to_json(to_variant_object(named_struct('content', content, 'id', call_id, 'kind', 'result')))"
     message_json = "to_json(to_variant_object(named_struct('content', content, 'id', call_id, 'kind', 'message', 'role', role)))"
     fine = [F.lit(True).alias("valid"), F.expr("CAST(array() AS array<string>)").alias("errors")]
+    # Tells rows of one identifier apart in the order.
+    value = {"call": F.xxhash64("tool", "arguments"), "result": F.xxhash64("content"), "message": F.xxhash64("role", "content")}
     rows = calls.select(
         "conv_id", F.lit("call").alias("kind"), "call_id", "turn", (F.size("errors") == 0).alias("valid"), "errors",
-        F.expr(call_json).alias("json"), call_node.alias("node")).unionAll(results.select(
-            "conv_id", F.lit("result").alias("kind"), "call_id", "turn", *fine, F.expr(result_json).alias("json"), result_node.alias("node"))).unionAll(
+        F.expr(call_json).alias("json"), call_node.alias("node"), value["call"].alias("value")).unionAll(results.select(
+            "conv_id", F.lit("result").alias("kind"), "call_id", "turn", *fine, F.expr(result_json).alias("json"), result_node.alias("node"),
+            value["result"].alias("value"))).unionAll(
                 messages.select("conv_id", F.lit("message").alias("kind"), "call_id", "turn", *fine, F.expr(message_json).alias("json"),
-                                message_node.alias("node")))
+                                message_node.alias("node"), value["message"].alias("value")))
     linked = F.coalesce(F.col("linked") & (F.col("kind") != "message"), F.lit(False))
     joined = rows.join(pairs, "call_id", "left").withColumn("linked", linked).join(places, "node").withColumn("sort_anchor", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("anchor")))
     ordered = number_within(
-        joined.drop("node", "anchor"), "conv_id", ["sort_anchor", "depth", "kind", "call_id"], "place")
+        joined.drop("node", "anchor"), "conv_id", ["sort_anchor", "depth", "kind", "call_id", "turn", "value"], "place")
     return ordered.select("conv_id", "place", "kind", "call_id", "turn", "linked", "valid", "errors", "cyclic", "json")
 
 
@@ -168,6 +173,7 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
     return calls, results, messages
 
 
-def linked_conversations(conversations: DataFrame) -> DataFrame:
-    """The ordered events of plain conversations."""
-    return link(*from_conversations(conversations), parameters(conversations.sparkSession, TOOLS))
+def linked_conversations(conversations: DataFrame, copies: bool = False) -> DataFrame:
+    """The ordered events of plain conversations: one per row, or per distinct row without `copies`."""
+    turns = conversations.select("conv_id", "turn", "role", "text")
+    return link(*from_conversations(turns if copies else turns.distinct()), parameters(conversations.sparkSession, TOOLS), every=True)

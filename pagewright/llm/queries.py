@@ -42,7 +42,7 @@ def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = chat.linked_conversations(_read(spark, sf_dir, "conversations"))
+    events = chat.linked_conversations(_read(spark, sf_dir, "conversations"), copies=True)
     return events.withColumn("errors", F.array_join("errors", "; "))
 
 

@@ -1,6 +1,9 @@
 import json
 
-from pagewright.llm import chat
+import duckdb
+
+from pagewright.llm import chat, queries
+from pagewright.llm.reference_sql import ORACLE
 
 CALL = "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>, place int, json string"
 RESULT = "conv_id long, call_id string, turn long, content string, linked int"
@@ -84,3 +87,23 @@ def test_no_python_on_the_way(spark):
     frame = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     plan = chat.linked_conversations(frame)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_every_row_of_a_repeated_turn_is_an_event(spark, tmp_path):
+    turns = [(7, t, role, f"{role} {t} {i}") for t in (0, 1, 2, 5) for i in range(9) for role in ("system", "user", "assistant")]
+    turns += [(7, 3, "user", "same")] * 4 + [(7, 4, "assistant", "same")] * 3 + [(8, 0, "user", "a"), (8, 1, "assistant", "b"), (8, 1, "assistant", "c")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    ours = queries.op7_chat(spark, str(tmp_path)).collect()
+    cursor = duckdb.connect().execute(ORACLE["op7_chat"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
+    names = [c[0] for c in cursor.description]
+    theirs = [dict(zip(names, r)) for r in cursor.fetchall()]
+    assert len(ours) == len(theirs) == len(turns)
+
+    # Rows that share turn, kind and identifier have no order among each other in the SQL.
+    def plain(rows, columns):
+        return sorted(tuple(r[c] for c in columns) for r in rows)
+
+    for columns in (["conv_id", "place", "kind", "call_id", "turn", "linked"], [c for c in names if c != "place"]):
+        assert plain(ours, columns) == plain(theirs, columns)
+    assert chat.linked_conversations(frame).count() == len(set(turns))
