@@ -3,16 +3,18 @@
 The model predicts units: the most frequent tokens, and for all others groups by their last three
 bytes.  For each of the two places before a token there is a log-bilinear model: the score of a
 unit is the product of its vector with that of the unit at that place, plus a bias.  The vectors are
-trained in numpy with noise-contrastive estimation, on the counts of all pairs of units in the
-training texts.  Batched matrix products turn scores into normalised log-probabilities of every
+trained in numpy with noise-contrastive estimation on the counts of all pairs of units in the
+training texts: every step takes the expectation over all cells of the table of pairs and over all
+noise units, so nothing is drawn and every pair counts in every step.  Batched matrix products turn scores into normalised log-probabilities of every
 unit after every unit; the two models and the units' frequencies are mixed with weights from
-expectation maximisation.  A token of a group has the group's chance times (c + 1) / (the sum of
+expectation maximisation over all training places, which are summed where they are into `GRID` x
+`GRID` cells by the shares of the three.  A token of a group has the group's chance times (c + 1) / (the sum of
 that over the group's tokens, plus 1 for tokens never seen), c being its count in training.
 
-What comes from the texts follows the texts: token counts, pair counts and each token's own count
-cover all of them.  Counts are combined before shuffles.  What tasks and driver hold is bounded:
-`UNITS` and `GROUPS` (vectors, pair counts), the `KNOWN` most frequent tokens with their counts,
-and `TRIPLES` places for the mixing weights.  The counts of other tokens are joined: more than
+What comes from the texts follows the texts: token counts, pair counts, each token's own count and
+the shares for the mixing weights cover all of them.  Counts are combined before shuffles.  What tasks and driver hold is bounded:
+`UNITS` and `GROUPS` (vectors, pair counts), `GRID` and the `KNOWN` most frequent tokens with their
+counts.  The counts of other tokens are joined: more than
 `KNOWN` tokens are at least about as frequent, so no key of that join is hot.
 
 Tokens: A to Z lower-cased, words are runs of bytes other than white space, and every text ends
@@ -36,9 +38,9 @@ from pagewright.llm import hashing
 from pagewright.llm.quality import held_out
 from pagewright.session import scratch_folder
 
-UNITS, GROUPS, KNOWN, TRIPLES = 1_024, 384, 262_144, 100_000
+UNITS, GROUPS, KNOWN, GRID = 1_024, 384, 262_144, 256
 ALL = UNITS + GROUPS
-WIDTH, STEPS, PAIRS, NOISE, RATE = 32, 500, 4_096, 64, 0.1
+WIDTH, STEPS, NOISE, RATE = 32, 500, 64, 0.1
 #: Texts whose id falls into this fold are scored, not learned from
 FOLD, FOLDS = 2, 7
 
@@ -105,20 +107,11 @@ def softmax_rows(scores: np.ndarray) -> np.ndarray:
     return scores / scores.sum(1, keepdims=True)
 
 
-def sum_rows(names: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the rows of each name below `size`."""
-    order = np.argsort(names, kind="stable")
-    kinds, begins = np.unique(names[order], return_index=True)
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    out[kinds] = np.add.reduceat(rows[order], begins)
-    return out
-
-
 def contrast(first: np.ndarray, second: np.ndarray, weight: np.ndarray, alone: np.ndarray, steps: int = STEPS, seed: int = 0):
     """Noise-contrastive estimation on weighted pairs (unit before, unit).
 
-    Each step tells a sample of pairs from noise units drawn by their frequencies; a batch shares
-    its noise, so scores and gradients are matrix products.
+    Each step tells all pairs from `NOISE` times as many noise units, both by their expectation:
+    scores and gradients are matrix products over the whole table.
     """
     size, rng = len(alone), np.random.default_rng(seed)
     left = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
@@ -127,34 +120,44 @@ def contrast(first: np.ndarray, second: np.ndarray, weight: np.ndarray, alone: n
     bias = log_alone.copy()
     if not len(first):
         return left * 0, right * 0, bias
+    share = np.bincount(first * size + second, weight / weight.sum(), size * size).reshape(size, size)
+    before = share.sum(1)
+    # Units that nothing follows have no cells and keep their vectors.
+    there = np.flatnonzero(before)
+    share = share[there].astype(np.float32)
+    noise = before[there, None].astype(np.float32) * (NOISE * alone).astype(np.float32)
+    both = share + noise
+    offset = bias - np.float32(np.log(NOISE)) - log_alone
     sums = [np.full_like(x, 1e-2) for x in (left, right, bias)]
-    bounds, noise_bounds = np.cumsum(weight / weight.sum()), np.cumsum(alone)
     for step in range(steps):
-        drawn = np.minimum(np.searchsorted(bounds, rng.random(PAIRS)), len(first) - 1)
-        noise = np.minimum(np.searchsorted(noise_bounds, rng.random(NOISE)), size - 1)
-        a, b = first[drawn], second[drawn]
-        la, rb, rn = left[a], right[b], right[noise]
-        log_k = float(np.log(NOISE))
-        real = 1 / (1 + np.exp(np.clip((la * rb).sum(1) + bias[b] - log_k - log_alone[b], -30, 30)))
-        fake = 1 / (1 + np.exp(-np.clip(la @ rn.T + bias[noise] - log_k - log_alone[noise], -30, 30)))
-        grads = [
-            sum_rows(a, real[:, None] * rb - fake @ rn, size),
-            sum_rows(np.append(b, noise), np.concatenate([real[:, None] * la, -fake.T @ la]), size),
-            np.bincount(b, real, size) - np.bincount(noise, fake.sum(0), size)]
+        rows = left[there]
+        # Chance that a unit is real and not noise, and the slope of the likelihood by its score.
+        slope = rows @ right.T
+        slope += offset
+        np.clip(slope, -30, 30, out=slope)
+        np.negative(slope, out=slope)
+        np.exp(slope, out=slope)
+        slope += 1
+        np.divide(both, slope, out=slope)
+        np.subtract(share, slope, out=slope)
+        grads = [np.zeros_like(left), slope.T @ rows, slope.sum(0)]
+        grads[0][there] = slope @ right
         rate = RATE * (1 - step / steps) + 0.005
         for x, g, s in zip((left, right, bias), grads, sums):
-            g = g / (PAIRS / 64)
+            g = g * 64
             s += g * g
             x += (rate * g / np.sqrt(s)).astype(np.float32)
+        offset = bias - np.float32(np.log(NOISE)) - log_alone
     return left, right, bias
 
 
-def mix_weights(chances: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of the mixture with the largest likelihood; a row of chances for each place."""
+def mix_weights(chances: np.ndarray, rounds: int = 30, n: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the mixture with the largest likelihood; a row of chances for each place, or for each n places."""
     weights = np.full(chances.shape[1], 1 / chances.shape[1])
+    n = np.ones(len(chances)) if n is None else n
     for _ in range(rounds if len(chances) else 0):
         share = chances * weights
-        weights = (share / share.sum(1, keepdims=True)).mean(0)
+        weights = n @ (share / share.sum(1, keepdims=True)) / n.sum()
     weights = np.maximum(weights, 0.01)
     return weights / weights.sum()
 
@@ -177,7 +180,7 @@ def token_counts(training: DataFrame) -> DataFrame:
 
 
 def pair_counts(training: DataFrame, names: np.ndarray) -> DataFrame:
-    """place (1, 2), cell (unit before * ALL + unit) and n; place 0: a sample of triples as cells."""
+    """place (1, 2), cell (unit before * ALL + unit) and n."""
     shared = training.sparkSession.sparkContext.broadcast(names)
 
     def rows(place, cells, n):
@@ -193,9 +196,6 @@ def pair_counts(training: DataFrame, names: np.ndarray) -> DataFrame:
             one, two = stream.before(units, 1, end), stream.before(units, 2, end)
             for total, before in zip(sums, (one, two)):
                 total += np.bincount(before * ALL + units, minlength=ALL * ALL)
-            chosen = np.flatnonzero(hashing.mix(stream.hashes + np.uint64(3) * np.roll(stream.hashes, 1) + np.uint64(7) * np.roll(stream.hashes, 2)) % np.uint64(256) == 0)
-            cells, n = np.unique((two[chosen] * ALL + one[chosen]) * ALL + units[chosen], return_counts=True)
-            yield rows(0, cells, n)
         for place, total in enumerate(sums, 1):
             cells = np.flatnonzero(total)
             for at in range(0, len(cells), 100_000):
@@ -205,6 +205,41 @@ def pair_counts(training: DataFrame, names: np.ndarray) -> DataFrame:
     return training.select("text").mapInArrow(run, "place int, cell long, n long").groupBy("place", "cell").agg(F.sum("n").alias("n"))
 
 
+def mixture_shares(training: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the three chances (alone, one back, two back) of all training places, and how many have them.
+
+    The best weights depend on each place's shares alone.  Places are summed by cell of a grid over
+    two of the shares, with the mean of each cell, so what tasks give is bounded.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        model = shared.value
+        one, two = model.tables()
+        zero = model.mixing[0] * model.alone
+        end = int(np.searchsorted(model.names, np.uint64(END)))
+        sums = np.zeros((3, GRID * GRID))
+        for part in _parts(batches):
+            stream = Stream.of(part.column("text"))
+            units = stream.units(model.names)
+            a, b = one[stream.before(units, 1, end), units], two[stream.before(units, 2, end), units]
+            whole = a + b + zero[units]
+            a, b = a / whole, b / whole
+            cell = np.minimum((a * GRID).astype(np.int64), GRID - 1) * GRID + np.minimum((b * GRID).astype(np.int64), GRID - 1)
+            for total, x in zip(sums, (None, a, b)):
+                total += np.bincount(cell, x, GRID * GRID)
+        cells = np.flatnonzero(sums[0])
+        yield pa.record_batch([pa.array(cells), *map(pa.array, sums[:, cells])], ["cell", "n", "a", "b"])
+
+    # At most GRID * GRID rows.
+    got = training.select("text").mapInArrow(run, "cell long, n double, a double, b double").groupBy("cell").agg(
+        *[F.sum(c).alias(c) for c in "nab"]).toArrow()
+    order = np.argsort(got.column("cell").to_numpy())
+    n, a, b = (got.column(c).to_numpy()[order] for c in "nab")
+    a, b = a / n, b / n
+    return np.stack([np.maximum(1 - a - b, 0), a, b], 1), n
+
+
 def _written(frame: DataFrame, name: str) -> DataFrame:
     folder = scratch_folder(frame.sparkSession, name)
     frame.write.parquet(folder)
@@ -225,11 +260,8 @@ def fit(training: DataFrame, names: np.ndarray, alone: np.ndarray) -> Model:
         right.append(b)
         bias.append(c)
     model = Model(names, left, right, bias, alone, np.array([1.0, 1.0, 1.0]))
-    triples = hashing.smallest_hashes(pairs.where("place = 0"), "cell", TRIPLES).toArrow()
-    cell = np.repeat(triples.column("cell").to_numpy(), triples.column("n").to_numpy())
-    one, two = model.tables()
-    unit = cell % ALL
-    model.mixing = mix_weights(np.stack([alone[unit], one[cell // ALL % ALL, unit], two[cell // ALL // ALL, unit]], 1))
+    shares, n = mixture_shares(training, model)
+    model.mixing = mix_weights(shares, n=n)
     return model
 
 

@@ -87,3 +87,32 @@ def test_without_training_texts_and_without_rows(documents):
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
     assert math.isfinite(row.score)
     assert L.score(documents([])).collect() == []
+
+
+def test_every_pair_of_a_large_table_is_learned():
+    # More cells than a fixed number of draws could see: each unit is followed by one of its own.
+    size = 1_200
+    first, second = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(size), indexing="ij"))
+    weight = np.where((first * 7 + 3) % size == second, size / 4, 0.75)
+    left, right, bias = L.contrast(first, second, weight, np.full(size, 1 / size), steps=L.STEPS)
+    likely = L.softmax_rows(left @ right.T + bias)[np.arange(size), (np.arange(size) * 7 + 3) % size]
+    assert np.quantile(likely, 0.01) > 0.02
+
+
+def test_mixing_weights_follow_all_places_of_a_small_corpus(spark, documents):
+    # A place tells the next token, the one two back tells nothing.
+    step = {c: d for c, d in zip("abcdefgh", "cdaefhgb")}
+    texts = []
+    for i in range(60):
+        text = [random.choice("abcdefgh")]
+        for _ in range(30):
+            text.append(step[text[-1]] if random.random() < 0.8 else random.choice("abcdefgh"))
+        texts.append(" ".join(text))
+    training = documents(texts).select("doc_id", "text")
+    names = np.unique(L.Stream.of(documents(texts).select("text").toArrow().column("text").combine_chunks()).hashes)
+    alone = np.where(np.arange(L.ALL) < len(names), 1.0, 1e-9)
+    alone /= alone.sum()
+    model = L.fit(training, names, alone)
+    assert model.mixing[1] > 0.5
+    shares, n = L.mixture_shares(training, model)
+    assert n.sum() == sum(len(tokens(t)) for t in texts) and np.allclose(shares.sum(1), 1)
