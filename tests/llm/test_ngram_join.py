@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import pyarrow as pa
@@ -102,3 +103,9 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in graphs.connected_components(frame).collect()}
     assert found == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(40)}, 200: 200, 300: 200}
     assert graphs.connected_components(frame.where("a < 0")).collect() == []
+
+
+def test_bands_are_those_of_the_readme():
+    bands, rows = ngram_join.choose_bands(0.8, 0.9998)
+    readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
+    assert f"{bands} bands of {rows} rows (recall 0.9998 at 0.8)" in readme
