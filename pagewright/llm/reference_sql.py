@@ -98,4 +98,55 @@ p AS (SELECT *, CASE WHEN low < high AND bytes * {S.SHARDS} <= {S.WHOLE} * total
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, number - min(number) OVER (PARTITION BY shard) AS slot,
   CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
-ORACLE = {"op1_sharding": SHARDING, "op2_url_filter": URL_FILTER, "op5_ngram_join": NGRAM_JOIN, "op7_chat": CHAT}
+def _crc32(hexadecimal: str) -> str:
+    """Checksum of bytes given in hexadecimal, with the table `k` of SHARDING."""
+    return f"""xor(list_reduce(list_concat([4294967295], list_transform(range(length({hexadecimal}) // 2),
+    lambda i: ('0x' || substr({hexadecimal}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+
+
+_STEPS_TABLE = """k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps)"""
+
+# By the definition: all pairs of equal words of a text, stretches of pairs at one distance, the smallest distance of each stretch.
+PERIODIC = f"""WITH {_STEPS_TABLE},
+h AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  hex(encode(doc_id::VARCHAR)) AS x FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, {_crc32('x')} AS h FROM h, k),
+a AS (SELECT doc_id, w, n, h, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM g),
+p AS (SELECT doc_id, w, n, a, h % 10 = 0 AND n > 0 AS looped, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN looped THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+e AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+m AS (SELECT y.doc_id, y.i, y.i - x.i AS lag FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND y.i - x.i <= x.n // 3),
+s AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS stretch FROM m),
+f AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length FROM s GROUP BY doc_id, lag, stretch HAVING count(*) + lag >= greatest(24, 3 * lag)),
+r AS (SELECT doc_id, start, length, min(lag) AS period FROM f GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-(length / period), start, period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM e
+  WHERE NOT EXISTS (FROM r WHERE r.doc_id = e.doc_id AND e.i >= r.start + r.period AND e.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period::BIGINT AS period,
+  (1000 * best.length) // best.period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+# Every prefix of every conversation as a list of digests; subtrees are the prefixes of the conversation that names a node.
+PREFIX_TRIE = f"""WITH {_STEPS_TABLE},
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+  {{'k': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'c': length(coalesce(text, ''))}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(turn ORDER BY place) AS turns, hex(encode(conv_id::VARCHAR)) AS x FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {_crc32('x')} % 6 AS h FROM l, k),
+s AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns FROM h c LEFT JOIN l b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM s),
+q AS (SELECT conv_id, size, depth, turns[1:depth] AS prefix, CASE WHEN depth > 0 THEN turns[depth].c ELSE 0 END AS c FROM p),
+n AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(c) AS c,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM q GROUP BY prefix, depth),
+d AS (SELECT a.prefix AS top, n.prefix <> a.prefix AND n.depth = a.depth + 1 AS child, n.* FROM n JOIN q a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+z AS (SELECT prefix, count(*) FILTER (child) AS n_children FROM (SELECT top AS prefix, child FROM d) GROUP BY prefix),
+y AS (SELECT d.top AS prefix, count(*) FILTER (z.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.c)::BIGINT AS saved_tokens
+  FROM d JOIN z ON z.prefix = d.prefix GROUP BY d.top)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, z.n_children, y.n_leaves, y.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN z USING (prefix) JOIN y USING (prefix) LEFT JOIN n m ON n.depth > 0 AND m.prefix = n.prefix[1:n.depth - 1]"""
+
+ORACLE = {
+    "op1_sharding": SHARDING, "op2_url_filter": URL_FILTER, "op5_ngram_join": NGRAM_JOIN, "op7_chat": CHAT, "op12_periodic": PERIODIC,
+    "op13_prefix_trie": PREFIX_TRIE}
