@@ -4,8 +4,8 @@ Texts are cut into marked words: runs of word markers with the characters up to
 The distinct words of a run of texts are sorted, so that words with a common beginning are
 neighbours, and walked as the depth-first traversal of their trie: the Viterbi lattice of a shared
 prefix is computed once and only new characters extend it.  One vector gather then puts the ids of
-all words in the order of the texts.  There is no shuffle; words a task has met are kept in a
-bounded cache.
+all words in the order of the texts.  There is no shuffle; words a worker has met are kept in a
+cache of bounded bytes, and the tables of what else it remembers have a bounded number of entries.
 
 For a unigram vocabulary the best path is the one with the largest sum of scores.  For a merge
 (BPE) vocabulary sums of scores would give other ids than its encoder, so a path may only put two
@@ -21,6 +21,7 @@ encoded each; other columns take no part.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,12 @@ from pyspark.sql import DataFrame
 from pagewright.llm import hashing
 
 MARK = "▁"
-#: Words a worker keeps with their ids
-CACHE = 150_000
+#: Bound of what a worker keeps of words and their ids, in bytes
+CACHE_BYTES = 24 << 20
+#: Transitions and pairs of pieces that a worker remembers; a full table starts anew
+MEMO = 1 << 16
+#: Bytes that an entry of a word takes beside its ids (key, objects and table)
+ENTRY = 130
 #: Text that is encoded at a time: more shares more words
 ENCODE_BYTES = 1 << 20
 
@@ -54,6 +59,16 @@ class Vocabulary:
     right: list[int] = field(default_factory=list)
     usable: dict[str, int] = field(default_factory=dict)
     known: dict[str, int] = field(default_factory=dict)
+    _tools: tuple | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_tools": None}
+
+    def tools(self) -> tuple["Encoder", "Decoder"]:
+        """Encoder and decoder, built once in each worker."""
+        if self._tools is None:
+            self._tools = Encoder(self), Decoder(self)
+        return self._tools
 
     @staticmethod
     def load(path: str) -> "Vocabulary":
@@ -130,6 +145,7 @@ class Lattice:
         self.v = vocabulary
         self.mark = vocabulary.known.get(MARK, -1)
         self._apart: dict[int, bool] = {}
+        self._jumps: dict[int, int] = {}
         self._runs: dict[int, list[int]] = {}
         self._build(vocabulary.usable)
         # By length of prefix: automaton state, score, last piece (-1: start, -2: bytes), where it begins.
@@ -137,42 +153,52 @@ class Lattice:
         self.word = ""
 
     def _build(self, usable: dict[str, int]) -> None:
-        """Automaton that tells all pieces that end at a character."""
-        children: list[dict[str, int]] = [{}]
-        ends = [-1]
+        """Automaton that tells all pieces that end at a character, in flat arrays.
+
+        `children` maps (state, character) to a state; `fall` is the state of the longest proper
+        ending, `ends` the piece that a state is, `longest` the nearest state down the endings, the state itself
+        included, that is a piece, and `shorter` the next one after that (0: none).
+        """
+        children: dict[int, int] = {}
+        ends, depth = array("i", [-1]), array("i", [0])
         for name, i in usable.items():
             at = 0
             for c in name:
-                if c not in children[at]:
-                    children[at][c] = len(children)
-                    children.append({})
+                key = at << 21 | ord(c)
+                to = children.get(key)
+                if to is None:
+                    to = children[key] = len(ends)
                     ends.append(-1)
-                at = children[at][c]
+                    depth.append(depth[at] + 1)
+                at = to
             ends[at] = i
-        fall, found = [0] * len(children), [()] * len(children)
-        queue = [(0, c, k) for c, k in children[0].items()]
-        depth = [0] * len(children)
-        for parent, c, k in queue:
-            depth[k] = depth[parent] + 1
-            at = fall[parent] if parent else 0
-            while parent and at and c not in children[at]:
-                at = fall[at]
-            fall[k] = children[at].get(c, 0) if parent else 0
-            own = ((depth[k], ends[k]),) if ends[k] >= 0 else ()
-            found[k] = own + found[fall[k]]
-            queue.extend((k, d, m) for d, m in children[k].items())
-        self.children, self.fall, self.found = children, fall, found
-
-    def _next(self, state: int, c: str) -> int:
-        """Follow a character; remembered, so each pair of state and character falls back once."""
-        children, at = self.children, state
-        while c not in children[at]:
-            if not at:
-                return 0
-            at = self.fall[at]
-        to = children[at][c]
-        if at != state:
-            children[state][c] = to
+        fall, longest, shorter = (array("i", [0]) * len(ends) for _ in range(3))
+        for key, to in sorted(children.items(), key=lambda x: depth[x[1]]):
+            parent, c = key >> 21, key & 0x1FFFFF
+            if parent:
+                at = fall[parent]
+                while at and (at << 21 | c) not in children:
+                    at = fall[at]
+                fall[to] = children.get(at << 21 | c, 0)
+            longest[to] = to if ends[to] >= 0 else longest[fall[to]]
+            shorter[to] = longest[fall[to]]
+        self.children, self.fall, self.ends, self.depth, self.longest, self.shorter = children, fall, ends, depth, longest, shorter
+
+    def _next(self, state: int, c: int) -> int:
+        """Follow a character; pairs of state and character that fall back are remembered."""
+        key = state << 21 | c
+        to = self.children.get(key)
+        if to is not None:
+            return to
+        to = self._jumps.get(key)
+        if to is None:
+            children, at = self.children, state
+            while at and (at << 21 | c) not in children:
+                at = self.fall[at]
+            to = children.get(at << 21 | c, 0)
+            if len(self._jumps) >= MEMO:
+                self._jumps.clear()
+            self._jumps[key] = to
         return to
 
     def apart(self, a: int, b: int) -> bool:
@@ -181,7 +207,7 @@ class Lattice:
         Going back through the merges, latest first: no merge across the border may have come
         before the one that is undone.
         """
-        key = a * 1_000_003 + b
+        key = a << 21 | b
         known = self._apart.get(key)
         if known is not None:
             return known
@@ -202,33 +228,32 @@ class Lattice:
                 limit, left = 2 * rank[left], v.right[left]
             else:
                 limit, right = 2 * rank[right] + 1, v.left[right]
-        if len(self._apart) < 500_000:
-            self._apart[key] = result
+        if len(self._apart) >= MEMO:
+            self._apart.clear()
+        self._apart[key] = result
         return result
 
     def _extend(self, c: str) -> None:
-        state = self._next(self.state[-1], c)
+        state = self._next(self.state[-1], ord(c))
         end = len(self.state)
-        if not self.found[state] and (c not in self.v.usable):
-            self.state.append(0)
-            self.score.append(self.score[-1])
-            self.last.append(-2)
-            self.begin.append(end - 1)
-            return
+        found, shorter, score, scores = self.longest[state], self.shorter, self.score, self.v.scores
         best, piece, start = float("-inf"), -2, end - 1
-        for size, i in self.found[state]:
-            at = end - size
+        if not found:
+            state, best = 0, score[-1]
+        while found:
+            i, at = self.ends[found], end - self.depth[found]
+            found = shorter[found]
             if at < 0:
                 continue
             last = self.last[at]
             if self.v.merges:
                 if last < 0 or self.apart(last, i):
-                    best, piece, start = self.score[at] + self.v.scores[i], i, at
+                    best, piece, start = score[at] + scores[i], i, at
                     break
-            elif self.score[at] + self.v.scores[i] > best:
-                best, piece, start = self.score[at] + self.v.scores[i], i, at
+            elif score[at] + scores[i] > best:
+                best, piece, start = score[at] + scores[i], i, at
         self.state.append(state)
-        self.score.append(best)
+        score.append(best)
         self.last.append(piece)
         self.begin.append(start)
 
@@ -277,7 +302,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.lattice = Lattice(vocabulary)
         self.byte_ids = vocabulary.byte_ids
-        self.cache: dict[int, tuple[int, ...]] = {}
+        self.cache: dict[int, bytes] = {}
+        self.room = CACHE_BYTES
         alphabet = {ord(c) for name in vocabulary.usable for c in name}
         # Control characters outside the vocabulary stand alone and end a word.
         self.stops = np.array([b < 32 and b not in alphabet for b in range(256)])
@@ -313,7 +339,8 @@ class Encoder:
         kinds, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         source = order[first]
         words = len(begins)
-        ids: list[tuple[int, ...] | None] = [self.cache.get(k) for k in kinds.tolist()]
+        # Ids as bytes: a fraction of what tuples of numbers take.
+        ids: list[bytes | None] = [self.cache.get(k) for k in kinds.tolist()]
         fresh = []
         raw = data.tobytes() if any(x is None for x in ids) else b""
         for n, have in enumerate(ids):
@@ -325,17 +352,18 @@ class Encoder:
             elif s < words + len(size):
                 fresh.append(("", int(size[s - words]), n))
             else:
-                ids[n] = (self.byte_ids[data[stops[s - words - len(size)]]],)
+                ids[n] = array("i", [self.byte_ids[data[stops[s - words - len(size)]]]]).tobytes()
         # Marked words first: a marker is the first letter of their path.
         fresh.sort(key=lambda x: (x[1] > 0, x[0], x[1]))
         encode = self.lattice.encode
         names = kinds.tolist()
         for word, count, n in fresh:
-            ids[n] = got = tuple(encode(count, word))
-            if len(self.cache) < CACHE and len(got) < 64:
+            ids[n] = got = array("i", encode(count, word)).tobytes()
+            if self.room > 0 and len(got) < 256:
                 self.cache[names[n]] = got
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+                self.room -= len(got) + ENTRY
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         begin_of = np.cumsum(lengths) - lengths
         sizes = lengths[inverse]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -379,7 +407,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = shared.value.tools()
         for batch in batches:
             for part in hashing.slices(batch, "text", ENCODE_BYTES):
                 text = part.column("text")
@@ -392,6 +420,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text") -> Dat
                 yield pa.record_batch(
                     [part.column("doc_id"), lists, pc.if_else(pa.array(absent), None, pa.array(np.diff(starts).astype(np.int32))),
                      pc.equal(back, wanted)], ["doc_id", "ids", "n_tokens", "round_trip"])
+            # What the batch took goes back to the system before the next one comes.
+            batch = part = text = back = wanted = lists = None
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", docs[column].alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
@@ -402,7 +433,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        decoder = Decoder(shared.value)
+        _, decoder = shared.value.tools()
         for batch in batches:
             lists = batch.column("ids")
             absent = pc.is_null(lists)
