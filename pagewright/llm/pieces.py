@@ -34,9 +34,9 @@ from pagewright.llm import hashing
 
 MARK = "▁"
 #: Bound of what a worker keeps of words and their ids, in bytes
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 #: Transitions and pairs of pieces that a worker remembers; a full table starts anew
-MEMO = 1 << 16
+MEMO = 1 << 18
 #: Bytes that an entry of a word takes beside its ids (key, objects and table)
 ENTRY = 130
 #: Text that is encoded at a time: more shares more words
