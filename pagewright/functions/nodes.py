@@ -113,26 +113,35 @@ def single_string(elements: Sql, texts: Sql, element: Sql) -> Sql:
 
 # Noisy elements that a fold collects before it starts a new array.
 _RUN = 256
+_RANGE = "struct<pos:int,last:int,text_from:int,text_to:int,paragraphs:int,chars:int>"
+NO_RANGES = f"cast(array() as array<{_RANGE}>)"
+
+
+def _paragraphs_of(element: Sql) -> Sql:
+    """Paragraphs of an element, itself included."""
+    return f"({element}.paragraphs + if({element}.tag = 'p', 1, 0))"
 
 
 def noise_ranges(elements: Sql, tags: Iterable[str] = NOISE_TAGS,
                  indicators: Iterable[str] = NOISE_INDICATORS) -> Sql:
     """The outermost noisy elements, in order, without overlap.
 
+    ``paragraphs`` and ``chars`` are running totals of what all ranges up to this one hold.
     Found ranges are kept in runs, so that adding one copies a run and not all of them.
     """
     noisy = keep(elements, lambda e: f"{e}.tag in ({words(tags)}) or {marked_with(e, indicators)}")
-    empty = "cast(array() as array<struct<pos:int,last:int,text_from:int,text_to:int>>)"
-    no_runs = "cast(array() as array<array<struct<pos:int,last:int,text_from:int,text_to:int>>>)"
+    empty = NO_RANGES
+    no_runs = f"cast(array() as array<array<{_RANGE}>>)"
 
     def widen(done, e):
-        found = struct(pos=f"{e}.pos", last=f"{e}.last", text_from=f"{e}.text_from", text_to=f"{e}.text_to")
+        found = struct(pos=f"{e}.pos", last=f"{e}.last", text_from=f"{e}.text_from", text_to=f"{e}.text_to",
+                       paragraphs=f"{done}.paragraphs + {_paragraphs_of(e)}", chars=f"{done}.chars + {e}.chars")
         full = f"size({done}.run) >= {_RUN}"
-        wider = struct(last=f"{e}.last", runs=f"if({full}, concat({done}.runs, array({done}.run)), {done}.runs)",
+        wider = struct(last=f"{e}.last", paragraphs=f"{done}.paragraphs + {_paragraphs_of(e)}", chars=f"{done}.chars + {e}.chars", runs=f"if({full}, concat({done}.runs, array({done}.run)), {done}.runs)",
                        run=f"if({full}, array({found}), concat({done}.run, array({found})))")
         return f"if({e}.pos > {done}.last, {wider}, {done})"
 
-    return fold(noisy, struct(last="0", runs=no_runs, run=empty), widen,
+    return fold(noisy, struct(last="0", paragraphs="0", chars="0", runs=no_runs, run=empty), widen,
                 lambda done: f"concat(flatten({done}.runs), {done}.run)")
 
 
@@ -149,6 +158,27 @@ def _blank_out(array: Sql, ranges: Sql, start: str, stop: str, filler: Sql) -> S
     return f"concat(flatten({transform(ranges, piece, 2)}), {rest})"
 
 
+def noise_totals(elements: Sql, ranges: Sql) -> Sql:
+    """For every place, what the noise up to there (a range counts from its start) holds.
+
+    The clean part of an element is then its own total less the difference of two places.
+    """
+    def total(r):
+        return struct(paragraphs=f"{r}.paragraphs", chars=f"{r}.chars")
+
+    none = struct(paragraphs="0", chars="0")
+
+    def piece(r, i):
+        before = f"if({i} = 0, 0, get({ranges}, {i} - 1).last)"
+        earlier = f"if({i} = 0, {none}, {total(f'get({ranges}, {i} - 1)')})"
+        return f"concat(array_repeat({earlier}, {r}.pos - 1 - {before}), array_repeat({total(r)}, {r}.last - {r}.pos + 1))"
+
+    last = f"get({ranges}, size({ranges}) - 1)"
+    rest = (f"if(size({ranges}) = 0, array_repeat({none}, size({elements})), "
+            f"array_repeat({total(last)}, greatest(size({elements}) - {last}.last, 0)))")
+    return f"concat(flatten({transform(ranges, piece, 2)}), {rest})"
+
+
 def without_noise(elements: Sql, ranges: Sql) -> Sql:
     """Elements with noise replaced by NULL."""
     return _blank_out(elements, ranges, "{}.pos", "({}.last + 1)",

@@ -2,24 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-from html import unescape
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from pagewright.functions.core import Sql, keep, let, regex, transform, truncate
-
-# Tasks carry this module with them, so executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@F.pandas_udf(T.StringType())
-def unescape_html(texts: pd.Series) -> pd.Series:
-    """decode html entities; the table of names lives in the standard library."""
-    return texts.map(unescape, na_action="ignore")
+from pagewright.functions.entities import unescape_html  # noqa: F401  F14
 
 
 def for_model(text: Sql, max_length: int | None = None) -> Sql:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import nodes as N
 from pagewright.functions.core import (
-    SPACE_CLASS, SPACES, Sql, collapse_spaces, count_contained, either, exists, fold, keep, let, non_empty, strip, struct,
+    Sql, collapse_spaces, count_contained, either, exists, fold, keep, let, non_empty, strip, struct,
     transform, truncate, words,
 )
 from pagewright.functions.text import unescape_html
@@ -119,30 +119,38 @@ def head_elements(elements: Sql) -> Sql:
 
 # --- content: read from the tree after noise removal -----------------------------------
 
-def content_score(elements: Sql, texts: Sql, element: Sql) -> Sql:
-    """How likely an element is to be the main content."""
-    paragraphs_inside = f"size({N.with_tag(N.descendants(elements, element), 'p')})"
-    length = fold(N.inner(texts, element), "0",
-                  lambda n, t: f"{n} + if({t}.box = '', length({t}.raw), 0)")
+def content_score(element: Sql, gone: Sql | None = None) -> Sql:
+    """How likely an element is to be the main content.
+
+    The parse job knows what is inside every element; of a tree without noise, `gone`
+    (`nodes.noise_totals`) says what to take off.  So the cost does not depend on the element's size.
+    """
+    def inside(what):
+        if gone is None:
+            return f"{element}.{what}"
+        return f"({element}.{what} - (get({gone}, {element}.last - 1).{what} - get({gone}, {element}.pos - 1).{what}))"
+
     named = let(N.class_and_id(element), lambda c: (
         f"{count_contained(c, CONTENT_INDICATORS)} * 10 - {count_contained(c, N.NOISE_INDICATORS)} * 20"))
-    return f"(cast({named} + {paragraphs_inside} * 2 as double) + least({length} / 100D, 50D))"
+    return f"(cast({named} + {inside('paragraphs')} * 2 as double) + least({inside('chars')} / 100D, 50D))"
 
 
-def best_candidate(elements: Sql, texts: Sql) -> Sql:
+def best_candidate(elements: Sql, noise: Sql = N.NO_RANGES) -> Sql:
     """The best-scored content element; the first wins a tie, a score must be positive."""
-    scored = transform(N.with_tag(elements, *CONTENT_TAGS), lambda e: struct(
-        score=content_score(elements, texts, e),
-        tag_rank=f"-array_position(array({words(CONTENT_TAGS)}), {e}.tag)",
-        rank=f"-{e}.pos"))
-    best = f"array_max({keep(scored, lambda s: s + '.score > 0')})"
+    def scored(gone):
+        return transform(N.with_tag(elements, *CONTENT_TAGS), lambda e: struct(
+            score=content_score(e, gone),
+            tag_rank=f"-array_position(array({words(CONTENT_TAGS)}), {e}.tag)",
+            rank=f"-{e}.pos"))
+
+    best = f"array_max({keep(let(N.noise_totals(elements, noise), scored), lambda s: s + '.score > 0')})"
     return let(best, lambda b: f"if({b} is not null, get({elements}, -{b}.rank - 1), null)")
 
 
-def main_content(elements: Sql, texts: Sql, strings: Sql, max_length: int | None = None) -> Sql:
+def main_content(elements: Sql, strings: Sql, max_length: int | None = None, noise: Sql = "_noise") -> Sql:
     """Article, else main, else the best-scored element, else body, else ''."""
     chosen = either(N.first_tag(elements, "article"), N.first_tag(elements, "main"),
-                    best_candidate(elements, texts), N.first_tag(elements, "body"))
+                    best_candidate(elements, noise), N.first_tag(elements, "body"))
     return let(chosen, lambda e: (
         f"if({e} is not null, {truncate(N.element_text(strings, e, ' '), max_length)}, '')"))
 
@@ -207,16 +215,15 @@ def _passed_through(parsed: DataFrame) -> list[str]:
 
 
 def with_clean_tree(parsed: DataFrame, remove_noise: bool = True) -> DataFrame:
-    """Add the working columns ``_elements``, ``_texts`` and ``_strings``."""
+    """Add the working columns ``_elements``, ``_texts``, ``_strings`` and ``_noise``."""
     if not remove_noise:
         return parsed.selectExpr("*", "elements AS _elements", "texts AS _texts",
-                                 f"{N.page_strings('texts')} AS _strings")
+                                 f"{N.page_strings('texts')} AS _strings", f"{N.NO_RANGES} AS _noise")
     return (
         parsed.selectExpr("*", f"{N.noise_ranges('elements')} AS _noise")
         .selectExpr("*", f"{N.without_noise('elements', '_noise')} AS _elements",
                     f"{N.texts_without_noise('texts', '_noise')} AS _texts")
         .selectExpr("*", f"{N.page_strings('_texts')} AS _strings")
-        .drop("_noise")
     )
 
 
@@ -245,7 +252,7 @@ def extract_pages(parsed: DataFrame, remove_noise: bool = True, extract_images:
     }
     no_images = "cast(array() as array<struct<src:string,alt:string,title:string>>)"
     body = {
-        "main_content": main_content("_elements", "_texts", "_strings", max_content_length),
+        "main_content": main_content("_elements", "_strings", max_content_length),
         "text": page_text("_strings", max_content_length),
         "headings": headings("_elements", "_strings"),
         "paragraphs": paragraphs("_elements", "_strings"),
@@ -314,12 +321,10 @@ def basic_record(parsed: DataFrame, max_chars: int | None = None) -> DataFrame:
     )
 
 
-def strip_tags(html: str, max_length: int | None = None) -> Column:
+def strip_tags(html: Sql, max_length: int | None = None) -> Column:
     """Text of broken html: cut tags, decode entities, single blanks."""
-    plain = unescape_html(F.regexp_replace(F.col(html), "<[^>]+>", " "))
-    collapsed = F.regexp_replace(plain, rf"(?U){SPACE_CLASS}+", " ")
-    trimmed = F.btrim(collapsed, F.lit(SPACES))
-    return trimmed if max_length is None else F.left(trimmed, F.lit(max_length))
+    cut = f"regexp_replace({html}, '<[^>]+>', ' ')"
+    return F.expr(truncate(strip(collapse_spaces(let(cut, unescape_html))), max_length))
 
 
 def text_only(parsed: DataFrame, remove_noise: bool = True,
@@ -334,7 +339,6 @@ def text_only(parsed: DataFrame, remove_noise: bool = True,
         *kept, f"if(parse_error is null, {page_text('_strings', max_length)}, null) AS text", *broken)
     if not broken:
         return found
-    # Sound pages pass NULL to the entity decoder.
     return found.select(*kept, F.coalesce("text", strip_tags("_broken", max_length), F.lit("")).alias("text"))
 
 

@@ -1,25 +1,31 @@
 """Breadth-first crawls over a table of stored pages, for many start URLs at once.
 
-The link graph is built once (one parse of the pages, no html is shuffled) and written.
-A level joins its frontier with the graph, takes outcome and targets along, and is written
-to the shared scratch folder, which cuts lineage and survives the loss of executors; the
-next frontier comes from those rows.  Joins are left to the optimiser: it broadcasts a
-small frontier, and splits the rows of an address that very many crawls reach at once.
-The driver only sees row counts.
+The link graph is built once (one parse of the pages, no html is shuffled).  Its addresses become
+numbers, and every link carries whether its target is a page that counts, so a level is made of
+longs: the frontier meets the links of its pages, new pairs of start and address are what the
+visited ones don't hold, and they are appended.
+
+Visited pairs are a table in buckets by start and address.  A level is hashed the same way, so it
+finds the pairs that it has to be compared with where they are: only the frontier is shuffled,
+however many levels came before, and a start URL over a large site is many buckets.  Joins with
+the links are left to the optimiser: it broadcasts a small frontier, and splits the rows of a
+page that very many crawls reach at once.  Every level is written to the shared scratch
+folder, which cuts lineage and survives the loss of executors.  The driver only sees row counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pagewright.functions.core import keep, transform
+from pagewright.functions.core import Sql, keep, let
 from pagewright.functions.urls import netloc, normalize_url
+from pagewright.operators.addresses import Addresses
 from pagewright.operators.annotate import merge_annotations, merge_scores
 from pagewright.operators.content import extract_pages, main_content, with_clean_tree
-from pagewright.operators.links import with_link_array, with_same_domain_targets
+from pagewright.operators.links import with_same_domain_targets, with_targets
 from pagewright.operators.ordering import number_within
-from pagewright.session import scratch_folder
+from pagewright.session import scratch_folder, written
 from pagewright.sources.parse import parse_pages
 
 MIN_CONTENT_LENGTH = 100
@@ -61,15 +67,14 @@ def ranked_link_graph(pages: DataFrame, same_domain: bool = True, scores: DataFr
     the version with the lowest id.  C3: with scores (page_url, url, relevance_score, link_type, should_follow) links are
     queued by relevance, highest first, 0.5 where there is no score.
     """
-    found = with_link_array(with_clean_tree(_parsed(pages), remove_noise))
-    content = main_content("_elements", "_texts", "_strings")
-    near = f" and {netloc('{0}.url')} = {netloc('url')}" if same_domain else ""
-    targets = keep("_links", lambda x: f"{x}.url is not null" + near.replace("{0}", x))
+    found = with_targets(with_clean_tree(_parsed(pages), remove_noise))
+    content = main_content("_elements", "_strings")
+    targets = let(netloc("url"), lambda host: keep("_targets", lambda x: f"{netloc(x)} = {host}")) if same_domain else "_targets"
     ids = [c for c in ("page_id",) if c in found.columns]
     graph = _first_version(found.selectExpr(
         *ids, f"{canonical('url')} AS url", "url AS stored",
         f"(parse_error is null and length({content}) >= {min_content_length}) AS ok",
-        f"{transform(targets, lambda x: x + '.url')} AS targets"))
+        f"{targets} AS targets"))
     if scores is None:
         return graph
     queued = graph.selectExpr("stored AS page_url", "posexplode(targets) AS (pos, url)", "'content' AS link_type",
@@ -81,42 +86,77 @@ def ranked_link_graph(pages: DataFrame, same_domain: bool = True, scores: DataFr
         "url", "stored", "ok", "coalesce(_links.url, cast(array() as array<string>)) AS targets")
 
 
-class _Levels:
-    """The rows of each level, below one scratch folder."""
+class _Visited:
+    """Pairs of start and address with their levels, in buckets by both.
 
-    def __init__(self, spark, schema: str):
-        self.spark, self.schema = spark, schema
-        self.folder = scratch_folder(spark, "crawl")
-        self.paths = []
+    A level's files lie in a folder of their own below one table; the table is taken off the catalog at the end,
+    its files stay.
+    """
+
+    def __init__(self, spark, columns: str):
+        self.spark, self.schema = spark, f"seed long, url long, {columns}, depth int"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = scratch_folder(spark, "visited")
+        self.name = "visited_" + self.folder.rpartition("-")[2]
 
-    def add(self, rows: DataFrame) -> int:
-        """Write one level and return its size (read from file footers)."""
-        self.paths.append(f"{self.folder}/level-{len(self.paths)}")
-        rows.write.parquet(self.paths[-1])
-        return self.last().count()
+    def add(self, rows: DataFrame, depth: int) -> int:
+        """Append a level and return its size, as the write counted it."""
+        seen = Observation()
+        rows.withColumn("depth", F.lit(depth)).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("depth").bucketBy(
+            self.buckets, "seed", "url").option("path", self.folder).mode("append").saveAsTable(self.name)
+        return seen.get["n"]
 
-    def replace_last(self, rows: DataFrame) -> None:
-        """Write the last level anew."""
-        path = f"{self.paths[-1]}-cut"
-        rows.write.parquet(path)
-        self.paths[-1] = path
+    def new(self, found: DataFrame) -> DataFrame:
+        """The rows of `found`, one per pair, that are not in the table."""
+        return found.join(self.spark.table(self.name).select("seed", "url"), ["seed", "url"], "left_anti")
 
-    def last(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+    def level(self, depth: int) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("depth") == depth)
 
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+    def close(self) -> DataFrame:
+        """All levels, as files."""
+        self.drop()
+        return self.spark.read.schema(self.schema).parquet(self.folder)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the scratch folder: read more than once, computed once."""
-    folder = scratch_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
+class _Network:
+    """A link graph in numbers.
+
+    `pages` has page and ok; `links` has page, n (place in its page's queue), url and ok of every link of
+    a page that counts; `names` has number, address and, where it is a page, stored.
+    """
 
-def _seeds(seeds: DataFrame) -> DataFrame:
-    return seeds.select(F.col("seed"), F.col("seed").alias("url")).distinct()
+    def __init__(self, graph: DataFrame, seeds: DataFrame, keys: Sql = "seed"):
+        spark = graph.sparkSession
+        stored = "stored" if "stored" in graph.columns else "url"
+        graph = written(graph, "graph")
+        # Canonical addresses cost time, so few small files of seeds must not mean few tasks.
+        spread_out = seeds.select("seed").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seed").distinct()
+        seeds = written(spread_out.selectExpr("seed", f"{keys} AS key"), "seeds")
+        nothing = "cast(null as string)"
+        addresses = Addresses(
+            graph.selectExpr("url AS address", f"{stored} AS stored")
+            .unionAll(graph.selectExpr("explode(targets) AS address", f"{nothing} AS stored"))
+            .unionAll(seeds.selectExpr("explode(array(seed, key)) AS address", f"{nothing} AS stored")))
+        number = addresses.number
+        self.pages = graph.selectExpr(f"{number('url')} AS page", "ok")
+        links = graph.where("ok").selectExpr(f"{number('url')} AS page", "posexplode(targets) AS (n, target)").selectExpr(
+            "page", "n", f"{number('target')} AS url")
+        known = self.pages.withColumnRenamed("page", "url")
+        self.links = written(links.join(known, "url", "left").select("page", "n", "url", F.coalesce("ok", F.lit(False)).alias("ok")), "links")
+        self.names = addresses.table
+        self.starts = seeds.selectExpr(f"{number('seed')} AS seed", f"{number('key')} AS page").join(self.pages, "page", "left").selectExpr(
+            "seed", "seed AS url", "page", "coalesce(ok, false) AS ok")
+
+    def named(self, visited: DataFrame, *columns: str) -> DataFrame:
+        """Rows of seed, page and depth with names for numbers: seed, url, the columns, and the stored address."""
+        by_seed = self.names.selectExpr("number AS seed", "address AS seed_name")
+        by_page = self.names.selectExpr("number AS page", "address AS page_name", "stored")
+        return visited.join(by_seed, "seed", "left").join(by_page, "page", "left").selectExpr(
+            "seed_name AS seed", "if(depth = 0, seed_name, page_name) AS url", *columns, "stored")
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -125,19 +165,18 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     `seeds` has a column ``seed``.  Result: (seed, url, depth, ok); ``ok`` is false where
     the URL is not among the stored pages.  Addresses are compared as they are.
     """
-    graph = _written(link_graph(pages), "graph")
-    levels = _Levels(graph.sparkSession, "seed string, url string, depth int, ok boolean, targets array<string>")
-
-    def visit(frontier, depth):
-        return levels.add(frontier.join(graph, "url", "left").select(
-            "seed", "url", F.lit(depth).alias("depth"), F.coalesce("ok", F.lit(False)).alias("ok"), "targets"))
-
-    depth, size = 0, visit(_seeds(seeds), 0)
-    while size and (max_depth is None or depth < max_depth):
-        depth += 1
-        found = levels.last().select("seed", F.explode("targets").alias("url")).distinct()
-        size = visit(found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti"), depth)
-    return levels.all().drop("targets")
+    network = _Network(link_graph(pages), seeds)
+    visited = _Visited(pages.sparkSession, "page long, ok boolean")
+    try:
+        depth, size = 0, visited.add(network.starts, 0)
+        while size and (max_depth is None or depth < max_depth):
+            found = visited.level(depth).where("ok").select("seed", "page").join(network.links, "page").groupBy("seed", "url").agg(
+                F.bool_or("ok").alias("ok"))
+            depth += 1
+            size = visited.add(visited.new(found).selectExpr("seed", "url", "url AS page", "ok"), depth)
+        return network.named(visited.close(), "depth", "ok").drop("stored")
+    finally:
+        visited.drop()
 
 
 def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_depth: int = 5,
@@ -152,51 +191,68 @@ def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_
     the page's own address.  A URL that is missing or too short is tried once and counts as
     failed.
     """
-    graph = _written(ranked_link_graph(pages, same_domain, scores, min_content_length), "graph")
-    levels = _Levels(graph.sparkSession, "seed string, url string, depth int, place array<int>, ok boolean, "
-                                         "stored string, targets array<string>")
-    frontier = _seeds(seeds).selectExpr("seed", "url", f"{canonical('url')} AS _key", "cast(array() as array<int>) AS place")
-    pages_of = graph.withColumnRenamed("url", "_key")
-    used = None
-    for depth in range(max_depth + 1):
-        tried = frontier.join(pages_of, "_key", "left").selectExpr(
-            "seed", "url", f"{depth} AS depth", "place", "coalesce(ok, false) AS ok", "stored", "if(ok, targets, null) AS targets")
-        if not levels.add(tried):
-            break
-        used = _spent(levels, used, max_pages)
-        if depth == max_depth:
-            break
-        full = used.filter(F.col("used") >= max_pages).select("seed")
-        # Seeds with a full budget leave before their pages are expanded.
-        taken = levels.last().filter("ok").join(full, "seed", "left_anti")
-        found = taken.selectExpr("seed", "place", "posexplode(targets) AS (_n, url)").groupBy("seed", "url").agg(
-            F.min(F.expr("concat(place, array(_n))")).alias("place"))
-        frontier = found.join(levels.all().select("seed", "url"), ["seed", "url"], "left_anti").withColumn(
-            "_key", F.col("url"))
-    return levels.all().drop("targets")
-
-
-def _spent(levels: _Levels, used: DataFrame | None, max_pages: int) -> DataFrame:
-    """Successes per seed after this level, which is cut where a budget is filled within it.
-
-    Only seeds that this level takes beyond their budget are looked at row by row: their
+    network = _Network(ranked_link_graph(pages, same_domain, scores, min_content_length), seeds, canonical("seed"))
+    visited = _Visited(pages.sparkSession, "page long, place array<int>, ok boolean")
+    budget = _Budget(max_pages)
+    try:
+        frontier = network.starts.selectExpr("seed", "url", "page", "cast(array() as array<int>) AS place", "ok")
+        for depth in range(max_depth + 1):
+            if not visited.add(frontier, depth):
+                break
+            level = visited.level(depth)
+            budget.spend(level, depth)
+            # Seeds with a full budget leave before their pages are expanded.
+            taken = budget.unfinished(level.where("ok")).select("seed", "page", "place")
+            found = taken.join(network.links, "page").groupBy("seed", "url").agg(
+                F.min(F.expr("concat(place, array(n))")).alias("place"), F.bool_or("ok").alias("ok"))
+            frontier = visited.new(found).selectExpr("seed", "url", "url AS page", "place", "ok")
+        return network.named(budget.cut(visited.close()), "depth", "place", "ok")
+    finally:
+        visited.drop()
+
+
+class _Budget:
+    """Successes per seed, level by level, and where a seed's last level is cut.
+
+    Only seeds that a level takes beyond their budget are looked at row by row: their
     successes are numbered by a range sort, so one start URL over a large site is many tasks.
     """
-    hits = levels.last().groupBy("seed").agg(F.count_if("ok").alias("hits"), F.count_if(~F.col("ok")).alias("misses"))
-    if used is None:
-        now = hits.selectExpr("seed", "0L AS before", "hits AS used", "misses")
-    else:
-        now = used.select("seed", F.col("used").alias("before")).join(hits, "seed", "full").selectExpr(
-            "seed", "coalesce(before, 0L) AS before", "coalesce(before, 0L) + coalesce(hits, 0L) AS used",
-            "coalesce(misses, 0L) AS misses")
-    now = _written(now, "used")
-    over = now.filter(f"before < {max_pages} and (used > {max_pages} or used = {max_pages} and misses > 0)").select("seed", "before")
-    if not over.isEmpty():
-        rows = levels.last()
-        numbered = number_within(rows.filter("ok").join(over, "seed").select("seed", "place", "before"), "seed", ["place"], "_n")
-        last = numbered.filter(F.col("_n") + F.col("before") + 1 == max_pages).select("seed", F.col("place").alias("_last"))
-        levels.replace_last(rows.join(last, "seed", "left").filter("_last is null or place <= _last").drop("_last"))
-    return now.select("seed", F.least("used", F.lit(max_pages)).alias("used"))
+
+    def __init__(self, most: int):
+        self.most, self.used, self.full, self.cuts = most, None, 0, []
+
+    def spend(self, level: DataFrame, depth: int) -> None:
+        """Count a level; the counts and whether any seed is beyond its budget come out of one job."""
+        hits = level.groupBy("seed").agg(F.count_if("ok").alias("hits"), F.count_if(~F.col("ok")).alias("misses"))
+        if self.used is None:
+            now = hits.selectExpr("seed", "0L AS before", "hits AS used", "misses")
+        else:
+            now = self.used.selectExpr("seed", f"least(used, {self.most}L) AS before").join(hits, "seed", "full").selectExpr(
+                "seed", "coalesce(before, 0L) AS before", "coalesce(before, 0L) + coalesce(hits, 0L) AS used",
+                "coalesce(misses, 0L) AS misses")
+        over = f"before < {self.most} and (used > {self.most} or used = {self.most} and misses > 0)"
+        seen = Observation()
+        counted = now.observe(seen, F.count_if(F.expr(over)).alias("over"), F.count_if(F.expr(f"used >= {self.most}")).alias("full"))
+        self.used = written(counted, "used")
+        self.full = seen.get["full"]
+        if seen.get["over"]:
+            beyond = self.used.where(over).select("seed", "before")
+            numbered = number_within(level.where("ok").join(beyond, "seed").select("seed", "place", "before"), "seed", ["place"], "_n")
+            self.cuts.append(numbered.where(F.col("_n") + F.col("before") + 1 == self.most).select(
+                "seed", F.lit(depth).alias("depth"), F.col("place").alias("_last")))
+
+    def unfinished(self, rows: DataFrame) -> DataFrame:
+        """Rows of seeds that have budget left."""
+        return rows if not self.full else rows.join(self.used.where(F.col("used") >= self.most).select("seed"), "seed", "left_anti")
+
+    def cut(self, visited: DataFrame) -> DataFrame:
+        """Without what lies behind the place at which a seed's budget was full."""
+        if not self.cuts:
+            return visited
+        cuts = self.cuts[0]
+        for more in self.cuts[1:]:
+            cuts = cuts.unionAll(more)
+        return visited.join(written(cuts, "cuts"), ["seed", "depth"], "left").where("_last is null or place <= _last").drop("_last")
 
 
 def outcomes(frontier: DataFrame, pages: DataFrame) -> DataFrame:
@@ -219,7 +275,7 @@ def crawl_records(visited: DataFrame, pages: DataFrame, annotations: DataFrame |
     records = extract_pages(parse_pages(_first_page(near)))
     if annotations is not None:
         records = merge_annotations(records, annotations)
-    records = _written(records, "records").filter(F.length("main_content") >= min_content_length)
+    records = written(records, "records").filter(F.length("main_content") >= min_content_length)
     return reached.join(records, "url").select("seed", "visited_url", "depth", "place", *records.columns)
 
 

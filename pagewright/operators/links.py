@@ -16,6 +16,7 @@ from pagewright.functions import nodes as N
 from pagewright.functions.core import (
     SPACE_CLASS, Sql, collapse_spaces, either, exists, keep, let, regex, strip, struct, transform, truncate,
 )
+from pagewright.operators.content import page_hrefs
 from pagewright.functions.urls import (
     browser_url, hostname, is_internal, is_page_href, is_resource, is_unreadable, link_type, netloc,
     normalize_url, resolve_parts, resolve_url, split_url, url_path,
@@ -83,6 +84,22 @@ def with_link_array(parsed: DataFrame, url_col: str = "url", strip_tracking: boo
     )
 
 
+def with_targets(parsed: DataFrame, url_col: str = "url", strip_tracking: bool = True, include_fragments: bool = False) -> DataFrame:
+    """L1-L6 for those who only follow links: adds ``_targets``, the distinct normalised addresses in document order.
+
+    The same addresses as those of `with_link_array`, without texts and attributes.
+    """
+    def absolute(base):
+        return transform("_hrefs", lambda h: f"if({url_col} = '', {h}, {resolve_parts(base, h)})")
+
+    resolved = parsed.selectExpr("*", f"{page_hrefs('elements')} AS _hrefs").selectExpr(
+        "*", f"{let(split_url(url_col), absolute)} AS _absolute")
+    bad = exists("_absolute", is_unreadable)
+    normal = keep(transform(f"if({bad}, array(), _absolute)", lambda x: normalize_url(x, strip_tracking, include_fragments)),
+                  lambda x: f"{x} is not null")
+    return resolved.selectExpr("*", f"array_distinct({normal}) AS _targets").drop("_hrefs", "_absolute")
+
+
 def extract_links(parsed: DataFrame, base_url_col: str | None = None, url_col: str = "url",
                   strip_tracking: bool = True, include_fragments: bool = False, max_text: int | None = None,
                   top: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ after it is a Spark expression:
 
 * ``elements`` in document order.  An element covers the elements
   ``pos .. last`` and the texts ``text_from .. text_to - 1`` (both 1-based), so
-  "inside X" is a slice, never a search.
+  "inside X" is a slice, never a search.  ``paragraphs`` and ``chars`` are totals of what is
+  inside: elements named p, and characters of ordinary text.
 * ``texts``: the strings between tags.  ``box`` names the kind of string
   ('' for ordinary text, else script/style/template/rt/rp/comment/cdata).
 """
@@ -35,6 +36,8 @@ ELEMENT = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("text_from", T.IntegerType()),
     T.StructField("text_to", T.IntegerType()),
+    T.StructField("paragraphs", T.IntegerType()),
+    T.StructField("chars", T.IntegerType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
 ])
 TEXT = T.StructType([
@@ -79,6 +82,7 @@ class _Columns:
     def __init__(self):
         self.pos, self.last, self.parent, self.kids, self.tag = [], [], [], [], []
         self.text_from, self.text_to = [], []
+        self.paragraphs, self.inside = [], []
         self.attr_from, self.attr_key, self.attr_value = [0], [], []
         self.box, self.raw = [], []
         self.element_from, self.text_offsets, self.error = [0], [0], []
@@ -92,7 +96,7 @@ class _Columns:
     def drop_open_page(self):
         e, t = self.element_from[-1], self.text_offsets[-1]
         for column in (self.pos, self.last, self.parent, self.kids, self.tag,
-                       self.text_from, self.text_to):
+                       self.text_from, self.text_to, self.paragraphs, self.inside):
             del column[e:]
         del self.attr_from[e + 1:]
         del self.attr_key[self.attr_from[-1]:]
@@ -110,7 +114,8 @@ class _Columns:
         elements = pa.StructArray.from_arrays(
             [pa.array(self.pos, i32), pa.array(self.last, i32), pa.array(self.parent, i32),
              pa.array(self.kids, i32), pa.array(self.tag, pa.string()),
-             pa.array(self.text_from, i32), pa.array(self.text_to, i32), attrs],
+             pa.array(self.text_from, i32), pa.array(self.text_to, i32),
+             pa.array(self.paragraphs, i32), pa.array(self.inside, i32), attrs],
             names=[f.name for f in ELEMENT.fields],
         )
         texts = pa.StructArray.from_arrays(
@@ -142,6 +147,7 @@ class _PageReader(HTMLParser):
         self.open, self.open_names = [], {}
         self.boxes, self.keep_space = [], 0
         self.pending, self.ignored_ends = [], {}
+        self.paragraphs = self.inside = 0  # so far, in the page
         self.feed(html)
         self.close()
         self._flush()
@@ -164,6 +170,8 @@ class _PageReader(HTMLParser):
         out.box.append(box)
         out.raw.append(raw)
         out.chars += len(raw)
+        if not box:
+            self.inside += len(raw)
 
     def _pop(self):
         out = self.out
@@ -175,6 +183,8 @@ class _PageReader(HTMLParser):
             else:
                 self.boxes.pop()
         out.last[index] = len(out.pos) - self.first
+        out.paragraphs[index] = self.paragraphs - out.paragraphs[index]
+        out.inside[index] = self.inside - out.inside[index]
         out.text_to[index] = len(out.raw) - self.first_text + 1
 
     def _push(self, tag, attrs):
@@ -201,7 +211,14 @@ class _PageReader(HTMLParser):
             out.attr_value.extend(named.values())
         out.attr_from.append(len(out.attr_key))
         if tag in VOID_TAGS:
+            out.paragraphs.append(0)
+            out.inside.append(0)
             return False
+        if tag == "p":
+            self.paragraphs += 1
+        # Totals at the start; the end takes the difference.
+        out.paragraphs.append(self.paragraphs)
+        out.inside.append(self.inside)
         self.open.append((index, tag))
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
         if tag in _MARKED_TAGS:

@@ -2,7 +2,9 @@
 
 import pytest
 
+from pagewright.functions import nodes as N
 from pagewright.operators import content as C
+from pagewright.sources.parse import ELEMENT
 
 FULL = """<!DOCTYPE html><html lang="de"><head><title> Main  Title </title>
 <meta name="description" content=" About it "><meta name="keywords" content="a, b,, c ">
@@ -158,8 +160,7 @@ def test_basic_record(page):
 def test_text_only_falls_back_to_tag_stripping(spark):
     parsed = spark.createDataFrame(
         [(1, "<p>a</p>", [], [], "broken"), (2, "x", [], [], None)],
-        "page_id long, html string, elements array<struct<pos:int,last:int,parent:int,kids:int,tag:string,"
-        "text_from:int,text_to:int,attrs:map<string,string>>>, texts array<struct<box:string,raw:string>>, "
+        f"page_id long, html string, elements array<{ELEMENT.simpleString()}>, texts array<struct<box:string,raw:string>>, "
         "parse_error string")
     rows = C.text_only(parsed.replace("<p>a</p>", "<p>a &amp;\t b</p><i>&eacute;</i>")).orderBy("page_id").collect()
     assert [r.text for r in rows] == ["a & b é", ""]
@@ -176,3 +177,44 @@ def test_min_content_and_results(page):
     rows = C.to_results(records).orderBy("page_id").collect()
     assert [r.content[:5] for r in rows] == ["wwwww", "short", "text"]
     assert rows[0].content_type == "unknown" and rows[0].headings == {} and rows[0].status_code == 200
+
+
+def test_scores_of_clean_parts_against_counting_by_hand(page):
+    """Totals less those of noise: what is left inside each candidate, element by element."""
+    import random
+
+    draw = random.Random(3)
+    for _ in range(6):
+        html, open_tags = [], []
+        for _ in range(120):
+            if open_tags and draw.random() < 0.4:
+                html.append(f"</{open_tags.pop()}>")
+            else:
+                tag = draw.choice(["div", "div", "p", "section", "nav", "span", "aside", "script"])
+                html.append(f"<{tag}{draw.choice(['', '', ' class=menu'])}>{'t' * draw.randint(0, 30) if draw.random() < 0.6 else ''}")
+                if tag == "script":
+                    html.append("</script>")
+                else:
+                    open_tags.append(tag)
+        clean = C.with_clean_tree(page("".join(html)))
+        row = clean.selectExpr(
+            "elements", "_elements", "_texts", f"{N.noise_totals('_elements', '_noise')} AS gone").first()
+        assert len(row.gone) == len(row.elements)
+        for e in row._elements:
+            if e is None:
+                continue
+            inside = [x for x in row._elements[e.pos: e.last] if x is not None and x.tag == "p"]
+            chars = sum(len(t.raw) for t in row._texts[e.text_from - 1: e.text_to - 1] if t.box == "")
+            start, end = row.gone[e.pos - 1], row.gone[e.last - 1]
+            assert e.paragraphs - (end.paragraphs - start.paragraphs) == len(inside)
+            assert e.chars - (end.chars - start.chars) == chars
+
+
+def test_deep_nesting_is_scored_in_seconds(page):
+    import time
+
+    deep = "<div>" * 100_000 + "<p>some words</p>" + "</div>" * 100_000
+    start = time.perf_counter()
+    row = C.extract_pages(page(deep)).select("main_content").first()
+    assert row.main_content == "some words"
+    assert time.perf_counter() - start < 60
