@@ -197,6 +197,16 @@ def smallest_hashes(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(limit)
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """Of the rows of every doc_id the one whose text has the smallest hash: so a sample of ids is one of rows.
+
+    Tasks keep one row per id before anything moves; other columns must be those of the id.
+    """
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id", *rest).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select(
+        "doc_id", F.col("least.text").alias("text"), *rest)
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = (keys & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

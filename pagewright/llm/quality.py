@@ -6,7 +6,7 @@ needed.  The prior is estimated from the same two samples: a first scorer tells
 unlabelled texts, and the smallest ratio of the two tail shares bounds the prior from above.
 
 Fitting uses at most `SAMPLE` positives and `SAMPLE` unlabelled texts, those with the smallest
-hashes of their ids.  Scoring is a map over all texts without a shuffle.
+hashes of their ids; of several rows of an id one counts.  Scoring is a map over all texts without a shuffle.
 
 Null and empty texts have all features zero and get the score of such a text.  Without any
 positive there is no evidence: every score is 0.5 and the filter keeps all rows.  Repeated rows
@@ -168,7 +168,8 @@ def _feature_rows(texts: DataFrame) -> np.ndarray:
     rows = texts.select("text").mapInArrow(run, "x array<float>").toArrow().column("x")
     width = 3 * 14
     flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-    return np.asarray(flat.flatten(), dtype=float).reshape(-1, width)
+    x = np.asarray(flat.flatten(), dtype=float).reshape(-1, width)
+    return x[np.lexsort(x.T)]  # what is learned must not depend on the order of files and tasks
 
 
 def _sampled(rows: DataFrame, limit: int) -> DataFrame:
@@ -184,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     for ids in (known, pool):
         # At most `sample` ids: the bound that makes the broadcast safe.
         chosen = F.broadcast(_sampled(ids, sample))
-        sets.append(_feature_rows(docs.select("doc_id", "text").join(chosen, "doc_id")))
+        sets.append(_feature_rows(hashing.one_text_each(docs.select("doc_id", "text").join(chosen, "doc_id"))))
     return fit(*sets) if len(sets[0]) and len(sets[1]) else None
 
 

@@ -7,7 +7,7 @@ features they have that occur in toxic texts alone, cut at the quantiles of that
 
 Features of a text are its distinct words and their beginnings of four and five letters, so that
 inflected forms share evidence.  The dictionary and the weights come from at most `SAMPLE`
-labelled texts (of either label, up to half of it: those with the smallest hashes of their ids,
+labelled texts (of either label, up to half of it: those with the smallest hashes of their ids, of several rows of an id one,
 weighted by how many such labels there are) and hold at most `FEATURES` entries, so what tasks
 and driver receive is bounded.  Scoring is a map over all texts without a shuffle.
 
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
         return None
     half = [hashing.smallest_hashes(known.where(F.col("toxic") == value), "doc_id", sample // 2) for value in (0, 1)]
     # At most `sample` rows: the bound that makes the broadcast safe.
-    rows = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id")
+    rows = hashing.one_text_each(docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id"))
 
     def find(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

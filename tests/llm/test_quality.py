@@ -73,3 +73,25 @@ def test_features_do_not_depend_on_the_batch():
     together = quality.features(pa.array(texts))
     alone = np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(together, alone)
+
+
+def test_the_layout_of_files_and_repeated_ids_do_not_matter(spark, documents):
+    texts = [prose() if i % 5 else junk() for i in range(300)]
+    docs, known = documents(texts), labels(spark, [i for i in range(0, 300) if i % 5 and i % 2])
+
+    def scores(frame):
+        return sorted((r.doc_id, r.score) for r in quality.score(docs, quality.learn(frame, known)).collect())
+
+    once = scores(docs)
+    assert once == scores(docs.repartition(7, "text")) == scores(docs.orderBy("text").coalesce(1))
+    # An id that half of all rows share counts once.
+    many = docs.unionByName(documents([texts[1]] * 300, [1] * 300))
+    assert scores(many) == once
+
+
+def test_a_sample_has_one_row_for_each_id(spark, documents):
+    from pagewright.llm import hashing
+
+    docs = documents(["a", "b", None, "a", "c"], [1, 1, 1, 2, None])
+    rows = hashing.one_text_each(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2]

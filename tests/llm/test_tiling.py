@@ -38,7 +38,7 @@ def test_tiles_equal_brute_force():
         for _ in range(4):
             a = random.randint(0, len(item))
             text += item[a: a + random.randint(0, 12)] + random.choices("abcxyz", k=random.randint(0, 4))
-        assert tiling.tile(pairs(text, item)) == slow_tiles(text, item)
+        assert tiling.tile(pairs(text, item))[0] == slow_tiles(text, item)
 
 
 def contaminated(frame):
@@ -78,3 +78,41 @@ def test_ties_go_to_the_smallest_item_and_empty_tables(spark, documents):
     assert [(r.item_id, r.coverage) for r in tiling.contamination(docs, benchmark).collect()] == [(4, 1.0)] * 2
     assert contaminated(tiling.contamination(docs, benchmark.limit(0))) == {1: (False, None)}
     assert tiling.contamination(documents([]), benchmark).collect() == []
+
+
+def test_items_without_id_take_part(spark, documents):
+    one, two = words(40), words(40)
+    benchmark = spark.createDataFrame([(None, " ".join(one)), (None, " ".join(two)), (8, " ".join(two)), (None, None)], "item_id long, text string")
+    docs = documents([" ".join(words(20) + one), " ".join(two + words(20)), " ".join(words(80)), None])
+    for chunk in (tiling.CHUNK, 40):
+        assert contaminated(tiling.contamination(docs, benchmark, chunk=chunk)) == {0: (True, None), 1: (True, 8), 2: (False, None), 3: (False, None)}
+        assert sorted(r.doc_id for r in tiling.decontaminate(docs, benchmark, chunk=chunk).collect()) == [2, 3]
+
+
+def test_a_long_tile_counts_however_long_the_item(spark, documents):
+    item = words(400)
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = documents([" ".join(words(30) + item[200:310] + words(30)), " ".join(words(30) + item[200:249]), " ".join(item[200:250])])
+    rows = {r.doc_id: r for r in tiling.contamination(docs, benchmark).collect()}
+    assert [rows[i].contaminated for i in range(3)] == [True, False, True]
+    assert rows[0].coverage == 110 / 400
+
+
+def test_a_passage_that_many_texts_and_items_share(spark, documents, monkeypatch):
+    passage = words(30)
+    items = [words(20) + passage + words(15) for _ in range(60)]
+    texts = [words(40) + passage + words(25) for _ in range(60)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = documents([" ".join(w) for w in texts])
+    calls = []
+    real = tiling.tile
+    table = next(tiling.tables(benchmark))
+    monkeypatch.setattr(tiling, "tile", lambda pairs: calls.append(1) or real(pairs))
+    column = docs.select("text").toArrow().column("text").combine_chunks()
+    found = tiling.matches(column, table)
+    assert len(calls) < 60 and len(found) == 60
+    # Few matches at a time give the same.
+    monkeypatch.setattr(tiling, "HITS", 50)
+    assert tiling.matches(column, table) == found
+    # A neighbour may be the same word by chance.
+    assert all(30 / 65 <= share <= 32 / 65 for share, _ in found.values())
