@@ -2,8 +2,8 @@
 
 An export is a folder.  Rows are written by all tasks; what belongs to the document as
 a whole (metadata, statistics, titles) is a file of its own next to them.  Nothing is
-collected.  The folders of a Markdown report are numbered: their files, read in the
-order of their names, are the report.
+collected.  The folders of a Markdown report and of a JSON document are numbered: their files, read in the
+order of their names, are the report or document.  An export becomes visible as a whole, by one rename.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewright.session import scratch_folder
 from pagewright.sinks import rows as R
+from pagewright.sinks.commit import Folders, one_commit
 
 # Format names and the file extensions that stand for them.
 FORMATS = {
@@ -35,6 +36,8 @@ class ExportOptions:
     by default, so that every line is a record and tasks can split the files."""
 
     pretty_print: bool = False
+    #: JSON as one document {metadata, stats, data} instead of a folder for each
+    document: bool = False
     include_metadata: bool = True
     include_stats: bool = True
     include_raw_html: bool = False
@@ -77,7 +80,8 @@ def save(results: DataFrame, path: str, format: str | None = None, stats: DataFr
     }[chosen]
     if chosen == "tsv":
         options = replace(options, delimiter="\t")
-    writer(results, target, shown, options)
+    with one_commit(results.sparkSession, target) as staging:
+        writer(results, staging, shown, options)
     return target
 
 
@@ -103,6 +107,9 @@ def _metadata(total: int, results: DataFrame, format_name: str, **extra) -> Data
 
 
 def _save_json(results, path, stats, options):
+    if options.document:
+        _save_document(results, path, stats, options)
+        return
     total = _write_lines(R.json_line(_filtered(results, options), pretty=options.pretty_print), f"{path}/data")
     if options.include_metadata:
         _metadata(total, results, "json", version="1.0").write.mode("overwrite").json(f"{path}/metadata")
@@ -110,6 +117,37 @@ def _save_json(results, path, stats, options):
         stats.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/stats")
 
 
+def _save_document(results, path, stats, options):
+    """K2, K3: files whose contents, in the order of their names, are one JSON document.
+
+    Every record is written by the task that has it, after a line with a comma; only the first record of all has none
+    before it, and its file is written again without.  So `spark.read.json` in mode
+    DROPMALFORMED finds the records of the same files in parallel.
+    """
+    spark = results.sparkSession
+    if stats is not None and stats.limit(2).count() > 1:
+        raise ValueError("a JSON document has the statistics of one crawl; save several as folders")
+    lines = R.json_line(_filtered(results, options), pretty=options.pretty_print)
+    total = _write_lines(lines.select(F.concat(F.lit(",\n"), F.col("value"))), f"{path}/3-data")
+    folders = Folders(spark, path)
+    first = next((name for name, size in folders.files(f"{path}/3-data") if size), None)
+    if first is not None:
+        # A file of one task: its first line is the comma.
+        rows = spark.read.text(first).withColumn("_id", F.monotonically_increasing_id())
+        rows.where("_id <> 0").select("value").write.text(f"{path}/2-first")
+        folders.delete(first)
+    kept = {"ignoreNullFields": "false"}
+    head = spark.range(1).select(F.lit("{").alias("head"))
+    if options.include_metadata:
+        described = _metadata(total, results, "json", version="1.0").select(F.to_json(F.struct("*"), kept).alias("metadata"))
+        head = head.crossJoin(described).select(F.concat("head", F.lit('"metadata":'), "metadata", F.lit(",\n")).alias("head"))
+    if stats is not None:
+        stated = stats.select(F.to_json(F.struct("*"), kept).alias("stats")).agg(F.max("stats").alias("stats"))
+        head = head.crossJoin(stated).select(F.concat("head", F.lit('"stats":'), F.coalesce("stats", F.lit("{}")), F.lit(",\n")).alias("head"))
+    head.select(F.concat("head", F.lit('"data":['))).write.text(f"{path}/1-head")
+    spark.range(1).select(F.lit("]}")).write.text(f"{path}/4-tail")
+
+
 def _save_jsonl(results, path, stats, options):
     keep_nulls = {"ignoreNullFields": "false"}
     total = _write_lines(R.json_line(_filtered(results, options), "result"), path)

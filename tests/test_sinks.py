@@ -89,6 +89,40 @@ def test_json_document(results, stats, tmp_path):
     assert json.loads(read_text(f"{path}/stats"))["success_rate"] == "66.7%"
 
 
+def read_document(path):
+    return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{path}/*/part-*")))
+
+
+def test_json_is_one_document(results, stats, spark, tmp_path):
+    many = results.unionByName(results.limit(0)).repartition(7)  # some tasks have no rows
+    path = S.save(many, str(tmp_path / "one"), "json", stats=stats, options=S.ExportOptions(document=True))
+    found = json.loads(read_document(path))
+    assert list(found) == ["metadata", "stats", "data"]
+    assert (found["metadata"]["total_results"], found["stats"]["success_rate"]) == (2, "66.7%")
+    assert sorted(r["url"] for r in found["data"]) == ["http://u/1", "http://u/2"]
+    by_lines = spark.read.schema("url string, title string").option("mode", "DROPMALFORMED").json([f"{path}/2-first", f"{path}/3-data"])
+    assert sorted(r.url for r in by_lines.collect()) == ["http://u/1", "http://u/2"]
+    plain = S.ExportOptions(document=True, include_metadata=False, pretty_print=True)
+    path = S.save(results, str(tmp_path / "plain"), "json", options=plain)
+    assert list(json.loads(read_document(path))) == ["data"] and len(json.loads(read_document(path))["data"]) == 2
+    path = S.save(results.filter("false"), str(tmp_path / "none"), "json", options=plain)
+    assert json.loads(read_document(path)) == {"data": []}
+    with pytest.raises(ValueError):
+        S.save(results, str(tmp_path / "two"), "json", stats=stats.unionByName(stats), options=S.ExportOptions(document=True))
+
+
+def test_an_export_that_fails_leaves_the_last_one(results, spark, tmp_path):
+    target = str(tmp_path / "kept.jsonl")
+    S.save(results, target)
+    before = read_text(target)
+    broken = results.withColumn("title", F.expr("if(url like '%1', raise_error('no'), title)"))
+    with pytest.raises(Exception, match="no"):
+        S.save(broken, target)
+    assert read_text(target) == before and [p.name for p in tmp_path.iterdir()] == ["kept.jsonl"]
+    S.save(results.limit(1), target)
+    assert len(read_text(target).splitlines()) == 2
+
+
 def test_json_lines(results, stats, tmp_path):
     options = S.ExportOptions(include_raw_html=True, include_links=False, include_images=True, max_content_length=4)
     path = S.save(results, str(tmp_path / "out.ndjson"), stats=stats, options=options)
