@@ -8,11 +8,13 @@ from pagewright.functions import core as K
 from pagewright.functions import nodes as N
 from pagewright.functions import text as X
 from pagewright.operators import annotate as M
+from pagewright.operators import answers as A
 from pagewright.operators import content as C
 from pagewright.operators import links as L
 from pagewright.plans import oracle as O
 from pagewright.plans.link_queries import links
 from pagewright.plans.page_queries import parsed, records, table
+from pagewright.session import scratch_folder
 
 
 def collapsed_text(spark, sf_dir):
@@ -146,6 +148,14 @@ def annotated_pages(spark, sf_dir):
     return M.annotate(rows, last_word, "doc_id long, n long, word string")
 
 
+def stored_answers(spark, sf_dir):
+    """Answers about the documents' kinds: asked once per kind, and from the store when the model is gone."""
+    prompts = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('Rate ', lang, ' from ', source) AS prompt")
+    store = scratch_folder(spark, "answers")
+    A.ask(prompts, lambda asked: [p.upper() for p in asked], store).select("doc_id").write.format("noop").mode("overwrite").save()
+    return A.ask(prompts, lambda asked: [None for _ in asked], store).select("doc_id", "answer")
+
+
 def plain_text(spark, sf_dir):
     """Entity decoding and tag removal over whole documents wrapped in markup."""
     rows = table(spark, sf_dir, "documents").selectExpr(
@@ -156,7 +166,7 @@ def plain_text(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     collapsed_text, truncated_text, page_anchors, durations, indicator_hits, joined_cells, content_prompts,
     link_prompts, summary_prompts, summaries, content_responses, strict_content_responses, link_scores,
-    strict_link_scores, fallback_scores, merged_annotations, annotated_pages, plain_text,
+    strict_link_scores, fallback_scores, merged_annotations, annotated_pages, stored_answers, plain_text,
 )}
 
 
@@ -238,6 +248,7 @@ ORACLE = {
         FROM p LEFT JOIN d ON page_id = doc_id""",
     "annotated_pages": f"""SELECT doc_id, length(text) AS n,
         regexp_extract({O.stripped('text')}, '([^\\s]*)$', 1) AS word FROM documents""",
+    "stored_answers": "SELECT doc_id, upper('Rate ' || lang || ' from ' || source) AS answer FROM documents",
     "plain_text": f"""SELECT doc_id, {O.stripped(O.collapsed(O.decoded(
         "regexp_replace('<p class=.x.>' || replace(text, ' ', '&amp; ') || '</p>&copy;', '<[^>]+>', ' ', 'g')")))} AS text
         FROM documents""",
