@@ -4,6 +4,7 @@ from pagewright.operators.annotate import (
     annotate, content_prompts, fallback_scores, link_prompts, merge_annotations, merge_scores,
     parse_content_responses, parse_link_scores, summary_prompts, with_summaries,
 )
+from pagewright.operators.answers import ask
 from pagewright.operators.content import (
     basic_record, extract_pages, min_content, page_record, strip_tags, text_only, to_results,
 )
@@ -20,15 +21,16 @@ from pagewright.sources.pages import (
 )
 from pagewright.sources.parse import parse_pages
 from pagewright.streaming.pages import dedup_stream, running_counters, stream_pages, stream_save
+from pagewright.streaming.state import dedup_arrivals, read_upserted, rocksdb_state, stream_outcomes, upsert
 
 __all__ = [
-    "ExportOptions", "absolute_links", "annotate", "basic_record", "bounded_crawl", "bounded_stats",
-    "content_links", "content_prompts", "crawl", "crawl_stats", "dedup_stream", "document_kind",
+    "ExportOptions", "absolute_links", "annotate", "ask", "basic_record", "bounded_crawl", "bounded_stats",
+    "content_links", "content_prompts", "crawl", "crawl_stats", "dedup_arrivals", "dedup_stream", "document_kind",
     "drop_challenge_pages", "export_stats", "external", "extract_links", "extract_pages", "fallback_scores",
     "fetch_outcomes", "followable", "hostname_links", "internal", "link_counts", "link_prompts",
     "merge_annotations", "merge_scores", "min_content", "number_rows", "ok_status", "page_record", "parse_content_responses",
-    "parse_link_scores", "parse_pages", "public_columns", "read_pages", "running_counters", "same_domain_links",
-    "save", "save_with_stats", "schedule", "spread", "stream_pages", "stream_save", "strip_tags",
-    "summary_prompts", "text_only", "to_export_stats", "to_results", "top_per_page", "unique_urls", "waves",
+    "parse_link_scores", "parse_pages", "public_columns", "read_pages", "read_upserted", "rocksdb_state", "running_counters", "same_domain_links",
+    "save", "save_with_stats", "schedule", "spread", "stream_outcomes", "stream_pages", "stream_save", "strip_tags",
+    "summary_prompts", "text_only", "to_export_stats", "to_results", "top_per_page", "unique_urls", "upsert", "waves",
     "with_summaries",
 ]

@@ -50,8 +50,11 @@ def number_within(rows: DataFrame, group: str, order: list[str], name: str = "nu
         name, F.col("_whole") - F.col("_first")).drop("_whole", "_group", "_first")
 
 
-def number_rows(rows: DataFrame, order: list, name: str = "number", costly: bool = False) -> DataFrame:
-    """1-based numbers over the whole table in the given order."""
+def number_rows(rows: DataFrame, order: list, name: str = "number", costly: bool = False, keep_block: bool = False) -> DataFrame:
+    """1-based numbers over the whole table in the given order.
+
+    With `keep_block` the rows tell in which sorted block they are (`_block`, from 0), see `in_order`.
+    """
     blocks = ordered_blocks(rows, order, costly)
     sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
     # One row per block: the window below sees as many rows as the sort had tasks.
@@ -59,7 +62,15 @@ def number_rows(rows: DataFrame, order: list, name: str = "number", costly: bool
         "_block", "coalesce(sum(_size) OVER (ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING "
         "AND 1 PRECEDING), 0) AS _start")
     return blocks.join(starts, "_block").withColumn(
-        name, F.col("_start") + F.col("_row") + 1).drop("_block", "_row", "_start")
+        name, F.col("_start") + F.col("_row") + 1).drop("_row", "_start", *([] if keep_block else ["_block"]))
+
+
+def in_order(numbered: DataFrame, name: str = "number") -> DataFrame:
+    """Numbered rows with their blocks (`keep_block`) as partitions in order, without another sort of the whole."""
+    last = numbered.agg(F.max("_block")).first()[0]
+    if last is None:
+        return numbered.drop("_block")
+    return numbered.repartitionById(last + 1, F.col("_block").cast("int")).sortWithinPartitions(name).drop("_block")
 
 
 def running_offsets(rows: DataFrame, group: list[str], order: list, value: Column, name: str) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
@@ -24,7 +27,21 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pagewright-")
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/pagewright/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/pagewright/{purpose}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process has named so far; returns how many there were.
+
+    Results are lazy and read them, so this is for the caller who is done with them.
+    """
+    jvm, found = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        found += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return found
 
 
 def written(rows: DataFrame, purpose: str) -> DataFrame:

@@ -164,10 +164,10 @@ def flatten(results: DataFrame, found: dict[str, list[str]] | None = None) -> Da
     return results.selectExpr(*[f"{cells[name]} AS `{name}`" for name in sorted(cells)])
 
 
-def numbered(results: DataFrame, order: list | None = None) -> DataFrame:
+def numbered(results: DataFrame, order: list | None = None, keep_block: bool = False) -> DataFrame:
     """Results with their 1-based ``number`` in the report."""
     keys = order or [c for c in ("page_id", "url") if c in results.columns]
-    return number_rows(results, keys, "number", costly=True)
+    return number_rows(results, keys, "number", costly=True, keep_block=keep_block)
 
 
 def page_title(title: str = "title", number: str = "number") -> str:
@@ -190,6 +190,7 @@ def markdown_page(numbered_results: DataFrame, heading_level: int = 2, include_l
         f"concat('- [', coalesce({non_empty(truncate(f'coalesce({x}[{chr(39)}text{chr(39)}], {chr(39)}{chr(39)})', max_link_text))}, "
         f"'No text'), '](', coalesce({x}['url'], ''), ')')"))
     no_lines = "cast(array() as array<string>)"
+    # The titles of the sections.
     sections = [
         f"concat('<a id=\"', {page_anchor('_title', 'number')}, '\"></a>')",
         f"concat('{'#' * heading_level} ', number, '. ', _title, '\\n')",
@@ -232,6 +233,7 @@ def single_page_markdown(results: DataFrame) -> DataFrame:
 
 def stats_table(stats: DataFrame) -> DataFrame:
     """K9: the statistics section of a report, one text per row of `stats`."""
+    # The labels of the section.
     rows = [("Total Pages", "total_pages"), ("Successful", "successful_pages"), ("Failed", "failed_pages"),
             ("Success Rate", percent_text("successful_pages", "total_pages")),
             ("Duration", "duration_formatted"), ("Start URL", "start_url"), ("Domain", "domain")]

@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pagewright.operators.ordering import in_order
 from pagewright.session import scratch_folder
 from pagewright.sinks import rows as R
 from pagewright.sinks.commit import Folders, one_commit
@@ -189,7 +190,8 @@ def _save_flat(results, path, stats, options):
 
 
 def _save_markdown(results, path, stats, options):
-    pages = R.numbered(results)
+    # One range sort numbers the pages; contents and pages are written block by block in that order.
+    pages = R.numbered(results, keep_block=True)
     head = "# Web Scraping Results\n"
     if options.include_metadata:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
@@ -198,7 +200,7 @@ def _save_markdown(results, path, stats, options):
     one_row.select(F.lit(head)).write.mode("overwrite").text(f"{path}/0-head")
     if stats is not None:
         R.stats_table(stats).write.mode("overwrite").text(f"{path}/1-stats")
-    ordered = pages.orderBy("number")
+    ordered = in_order(pages)
     # A table of contents is only written for more than one page.
     has_contents = options.include_toc and pages.limit(2).count() > 1
     if has_contents:

@@ -38,3 +38,17 @@ def test_visited_pairs_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         visited.drop()
     assert visited.close().where("depth = 1").count() == 100
+
+
+def test_scratch_folders_can_be_cleared(spark, monkeypatch):
+    import os
+
+    from pagewright import session
+
+    monkeypatch.setattr(session, "_made", [])
+    rows = session.written(spark.range(3), "cleared")
+    folder = session._made[0]
+    session.scratch_folder(spark, "never-written")
+    assert rows.count() == 3 and os.path.isdir(folder)
+    assert session.clear_scratch(spark) == 1
+    assert not os.path.exists(folder) and session.clear_scratch(spark) == 0

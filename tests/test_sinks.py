@@ -246,3 +246,18 @@ def test_flat_columns_have_a_limit(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_FLAT_COLUMNS", 5)
     with pytest.raises(ValueError):
         R.discover_columns(rows)
+
+
+def test_a_report_is_in_order_after_one_sort(spark, tmp_path):
+    import random
+
+    from pagewright.operators import content as C
+
+    ids = list(range(500))
+    random.Random(1).shuffle(ids)
+    pages = spark.createDataFrame([(i, f"http://u/{i}", f"Page {i}", "text") for i in ids], "page_id long, url string, title string, main_content string")
+    rows = C.to_results(pages.selectExpr("*", "'' AS text", "'' AS meta_description")).repartition(6)
+    path = S.save(rows, str(tmp_path / "long"), "markdown")
+    contents, written = (read_text(f"{path}/{name}") for name in ("2-contents", "4-pages"))
+    assert [int(x.split(".")[0]) for x in contents.splitlines() if x[:1].isdigit()] == list(range(1, 501))
+    assert [int(x.split("/")[-1].rstrip(")")) for x in written.splitlines() if x.startswith("**URL:**")] == sorted(ids)
