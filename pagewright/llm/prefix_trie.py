@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.parentheses import Parentheses, RangeMin
-from pagewright.operators.ordering import number_rows, number_within, ordered_blocks
+from pagewright.operators.ordering import number_rows, ordered_blocks
 from pagewright.session import scratch_folder
 
 #: Nodes of a shard, turns that are compared at a time, ids in a piece of a list of members
