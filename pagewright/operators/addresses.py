@@ -16,7 +16,7 @@ from pagewright.operators.ordering import number_rows
 from pagewright.session import written
 
 #: Bound of the addresses that share a hash; beyond it the hash is at fault
-MOST_CLASHES = 100_000
+MOST_CLASHES = 2_000
 
 
 class Addresses:
@@ -31,10 +31,11 @@ class Addresses:
         rest = [c for c in known.columns if c != "address"]
         known = known.groupBy("address").agg(*[F.max(c).alias(c) for c in rest]) if rest else known.distinct()
         hashes = written(known.selectExpr("*", f"{self._hash('address')} AS number"), "addresses")
-        shared = hashes.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.collect_set("address").alias("all")).where("n > 1")
-        clashes = shared.select(F.explode("all").alias("address")).limit(MOST_CLASHES + 1)
-        self.clashes = {} if shared.isEmpty() else {
-            r["address"]: 2 * r["number"] + 1 for r in number_rows(clashes, ["address"], costly=True).collect()}
+        shared = hashes.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("number")
+        self.clashes = {}
+        if not shared.isEmpty():
+            clashes = hashes.join(shared, "number", "left_semi").select("address").limit(MOST_CLASHES + 1)
+            self.clashes = {r["address"]: 2 * r["number"] + 1 for r in number_rows(clashes, ["address"], costly=True).collect()}
         if len(self.clashes) > MOST_CLASHES:
             raise ValueError("too many addresses share a hash")
         #: number, address and the other columns

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import nodes as N
 from pagewright.functions.core import (
-    Sql, collapse_spaces, count_contained, either, exists, fold, keep, let, non_empty, strip, struct,
+    Sql, collapse_spaces, count_contained, either, exists, keep, let, non_empty, strip, struct,
     transform, truncate, words,
 )
 from pagewright.functions.text import unescape_html
