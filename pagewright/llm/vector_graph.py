@@ -10,14 +10,17 @@ Building and searching work on many vectors at a time, so numpy does the arithme
 is a table in the shared scratch folder: a lost executor repeats one shard.  Scores are cosines of
 the original vectors in double precision.
 
-Equal vectors, also up to a positive factor, are one node of the graph, so a group of copies costs no
-edges, whatever its size.  A table of members holds the smallest ids of each node, which are joined
-to the nodes that a search found; a query's own node is not searched for.
+Vectors that are equal up to a power of two are one node of the graph, so a group of copies costs no
+edges, whatever its size.  Scaling by a power of two is exact, so rows of a node have the same cosine with any
+vector to the last bit, and exactly 1 with each other.  A table of members holds the smallest ids of
+each node, which are joined to the nodes that a search found; a query's own node is not searched for.
+A node is named by 128 bits of hashes of its vector.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part, neither as
-queries nor as candidates.  Rows that repeat a vec_id count once (with the smallest vector).
-Vectors of another length are no candidates of each other.  Equal scores go to the smaller vec_id.
-An empty table gives no rows.  Other columns take no part.
+queries nor as candidates.  All other rows are candidates of all others: those that repeat a vec_id,
+with the same or another vector, count each, as queries too, and a row without a vec_id is a candidate.
+Vectors of another length are no candidates of each other.  Scores lie from -1 to 1; equal ones go
+to the smaller vec_id, a null one last.  An empty table gives no rows.  Other columns take no part.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import scratch_folder
+from pagewright.session import scratch_folder, written
 
 #: Vectors of a shard, at most about
 SHARD = 6_000
@@ -159,9 +162,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and vector of the rows that take part, one per vec_id."""
+    """vec_id and vector of the rows that take part."""
     fine = f"{vector} IS NOT NULL AND NOT exists({vector}, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists({vector}, x -> x <> 0)"
-    return embeddings.where(fine).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(vector).cast("array<double>").alias("vector"))
+    return embeddings.where(fine).select("vec_id", F.col(vector).cast("array<double>").alias("vector"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -189,16 +192,21 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str):
 
 
 def build_index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """shard, node, vec_id, vector, edges (nodes of the shard) and entry of every vector."""
+    """shard, node, key, vec_id, vector, edges (nodes of the shard) and entry of every vector.
+
+    A row's key is its name, by default its vec_id; the vec_id decides ties.
+    """
     spark = vectors.sparkSession
+    schema = "shard string, node int, key string, vec_id long, vector array<double>, edges array<int>, entry int"
+    vectors = _named(vectors)
     sizes = vectors.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
     # One row per vector length; the number of shards follows the number of vectors.
     counts = {r["width"]: -(-r["n"] // shard_size) for r in sizes.collect()}
     if not counts:
-        return spark.createDataFrame([], "shard string, node int, vec_id long, vector array<double>, edges array<int>, entry int")
+        return spark.createDataFrame([], schema)
     many = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
     dealt = vectors.withColumn("shard", F.concat_ws(
-        "-", F.size("vector"), F.pmod(F.xxhash64("vec_id"), F.element_at(many, F.size("vector")).cast("long"))))
+        "-", F.size("vector"), F.pmod(F.xxhash64("key"), F.element_at(many, F.size("vector")).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for shard, rows in _groups(batches, "shard"):
@@ -208,26 +216,35 @@ def build_index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(present.sum(1))]).astype(np.int32)
             n = rows.num_rows
             for table in pa.table({
-                "shard": rows.column("shard"), "node": pa.array(np.arange(n, dtype=np.int32)), "vec_id": rows.column("vec_id"),
+                "shard": rows.column("shard"), "node": pa.array(np.arange(n, dtype=np.int32)), "key": rows.column("key"), "vec_id": rows.column("vec_id"),
                 "vector": rows.column("vector"), "edges": pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges[present].astype(np.int32))),
                 "entry": pa.array(np.full(n, entry, np.int32)),
             }).to_batches(max_chunksize=2_000):
                 yield table
 
     folder = scratch_folder(spark, "vector-index")
-    schema = "shard string, node int, vec_id long, vector array<double>, edges array<int>, entry int"
-    dealt.repartition(max(1, sum(counts.values())), "shard").sortWithinPartitions("shard", "vec_id").mapInArrow(run, schema).write.parquet(folder)
+    dealt.select("shard", "key", "vec_id", "vector").repartition(max(1, sum(counts.values())), "shard").sortWithinPartitions(
+        "shard", "vec_id", "key").mapInArrow(run, schema).write.parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
+def _named(vectors: DataFrame) -> DataFrame:
+    return vectors if "key" in vectors.columns else vectors.withColumn("key", F.col("vec_id").cast("string"))
+
+
 def neighbours(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of each query; queries have vec_id and vector."""
-    shards = index.select("shard", F.size("vector").alias("width")).distinct()
+    """query_id, rank, vec_id, score and key of the k nearest of each query, but for its own key.
+
+    Queries have vector, and vec_id or key, which is their query_id.
+    """
+    named = "key" in queries.columns
     # Every query visits every shard of its length; the rows of a shard come before its queries.
-    visits = queries.join(F.broadcast(shards), F.size("vector") == F.col("width")).select(
-        "shard", F.lit(1).alias("kind"), F.lit(0).alias("node"), "vec_id", "vector",
+    last = F.max(F.substring_index("shard", "-", -1).cast("int"))
+    shards = index.groupBy(F.size("vector").alias("width")).agg(last.alias("last"))  # one row per vector length
+    visits = _named(queries).join(shards, F.size("vector") == F.col("width")).select(
+        F.explode(F.expr("transform(sequence(0, last), s -> concat_ws('-', width, s))")).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("node"), "key", F.lit(0).cast("long").alias("vec_id"), "vector",
         F.expr("CAST(array() AS array<int>)").alias("edges"), F.lit(0).alias("entry"))
-    rows = index.select("shard", F.lit(0).alias("kind"), "node", "vec_id", "vector", "edges", "entry").unionByName(visits)
+    rows = index.select("shard", F.lit(0).alias("kind"), "node", "key", "vec_id", "vector", "edges", "entry").unionByName(visits)
 
     def run(batches: Iterator[pa.RecordBatch]):
         shard, held, graph = None, [], None
@@ -239,8 +256,8 @@ def neighbours(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEA
             sizes = np.diff(np.asarray(lists.offsets))
             edges = np.full((len(exact), DEGREE), -1, np.int64)
             edges[np.arange(DEGREE) < sizes[:, None]] = np.asarray(lists.flatten())
-            units = _unit(exact)
-            return units.astype(np.float32), edges, table.column("entry")[0].as_py(), units, table.column("vec_id").to_numpy()
+            ids, keys = table.column("vec_id").to_numpy(), np.array(table.column("key").to_pylist())
+            return _unit(exact).astype(np.float32), edges, table.column("entry")[0].as_py(), _scaled(exact), ids, keys
 
         for batch in batches:
             names, kinds = batch.column("shard").to_pylist(), batch.column("kind").to_pylist()
@@ -253,78 +270,93 @@ def neighbours(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEA
                     shard, held, graph = names[begin], [], None
                 if kinds[begin] == 0:
                     held.append(part)
-                else:
+                elif held:  # no vector may have been dealt to this shard
                     graph = graph or ready()
                     yield _answer(graph, part, k, beam)
                 begin = end
 
     answers = rows.repartition("shard").sortWithinPartitions("shard", "kind", "node").mapInArrow(
-        run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        run, "query string, key string, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
+    query = F.col("query") if named else F.col("query").cast("long")
+    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        query.alias("query_id"), "rank", "vec_id", "score", "key")
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its squares stay finite: exact, and without effect on cosines."""
+    _, exponent = np.frexp(np.abs(rows).max(1, keepdims=True))
+    return np.ldexp(rows, -exponent)
 
 
 def _answer(graph, queries: pa.RecordBatch, k: int, beam: int) -> pa.RecordBatch:
-    short, edges, entry, exact, names = graph
-    own = queries.column("vec_id").to_numpy()
-    wide = _unit(_matrix(queries.column("vector")))
-    found, _ = search(short, edges, entry, wide.astype(np.float32), min(beam, max(k + 1, len(short))))
-    # Short numbers find, long ones decide; equal scores go to the smaller id.
-    scores = np.einsum("bmd,bd->bm", exact[found], wide)
-    ids = names[found]
-    scores[(found < 0) | (ids == own[:, None])] = -np.inf
+    short, edges, entry, exact, ids, keys = graph
+    own = np.array(queries.column("key").to_pylist())
+    asked = _scaled(_matrix(queries.column("vector")))
+    found, _ = search(short, edges, entry, _unit(asked).astype(np.float32), min(beam, max(k + 1, len(short))))
+    # Short numbers find, the original ones decide; equal scores go to the smaller id.
+    near = exact[found]
+    squares = np.einsum("bmd,bmd->bm", near, near) * np.einsum("bd,bd->b", asked, asked)[:, None]
+    scores = np.clip(np.einsum("bmd,bd->bm", near, asked) / np.sqrt(squares), -1, 1)
+    ids, keys = ids[found], keys[found]
+    scores[(found < 0) | (keys == own[:, None])] = -np.inf
     order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    scores, ids, keys = (np.take_along_axis(x, order, 1) for x in (scores, ids, keys))
     there = scores > -np.inf
     return pa.record_batch(
-        [pa.array(np.repeat(own, there.sum(1))), pa.array(ids[there]), pa.array(scores[there])], ["query_id", "vec_id", "score"])
+        [pa.array(np.repeat(own, there.sum(1)).astype(object), pa.string()), pa.array(keys[there].astype(object), pa.string()), pa.array(ids[there]),
+         pa.array(scores[there])], ["query", "key", "vec_id", "score"])
+
+
+#: Stands for no vec_id where ties are decided
+LAST = 2 ** 63 - 1
 
 
 def members(vectors: DataFrame, k: int) -> DataFrame:
-    """node, vec_id, n and vector of the k smallest ids of every group of equal directions.
+    """key, vec_id, n and vector of the k smallest ids of every node, given vectors with their keys.
 
-    A node is named by its smallest id, whose row (n = 1) alone has the vector.  Tasks drop what
-    is beyond the k smallest before the shuffle.
+    Only the first row of a node (n = 1) has the vector.  Tasks drop what is beyond the k smallest
+    before the shuffle.
     """
-    spark = vectors.sparkSession
-    same = ["key", "direction"]
-    first = Window.partitionBy(*same).orderBy("vec_id")
-    few = _directions(vectors).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
-    rows = few.select(
-        F.min("vec_id").over(Window.partitionBy(*same)).alias("node"), "vec_id", "n", F.when(F.col("n") == 1, F.col("vector")).alias("vector"))
-    folder = scratch_folder(spark, "vector-members")
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    first = Window.partitionBy("key").orderBy(F.col("vec_id").asc_nulls_last())
+    few = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    return written(few.select("key", "vec_id", "n", F.when(F.col("n") == 1, F.col("vector")).alias("vector")), "vector-members")
+
 
+def with_keys(vectors: DataFrame) -> DataFrame:
+    """vec_id, vector scaled by a power of two so that its largest component is from 1 to 2, and key.
 
-def _directions(vectors: DataFrame) -> DataFrame:
-    """Adds what equal vectors share: the vector scaled as in `_unit`, and its hash."""
-    scaled = "transform(vector, x -> x / array_max(transform(vector, y -> abs(y))))"
-    return vectors.withColumn("direction", F.expr(scaled)).withColumn("key", F.xxhash64("direction"))
+    The logarithm may be off by one next to a power of two, which is mended, so that vectors that
+    differ by a power of two get the same row.
+    """
+    largest = vectors.select("vec_id", "vector", F.expr("array_max(transform(vector, x -> abs(x)))").alias("m"))
+    about = largest.withColumn("p", F.expr("pow(2D, floor(log2(m)))"))
+    power = about.withColumn("p", F.expr("CASE WHEN p > m THEN p / 2 WHEN 2 * p <= m THEN 2 * p ELSE p END"))
+    # Adding zero turns a negative zero into zero.
+    scaled = power.select("vec_id", F.expr("transform(vector, x -> x / p + 0D)").alias("vector"))
+    return scaled.withColumn("key", F.concat_ws("-", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")))
 
 
 def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, beam: int = BEAM, shard_size: int = SHARD) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by `every`, among all other rows."""
-    spark = embeddings.sparkSession
-    vectors = valid_vectors(embeddings)
-    # A query may be among the ids of its node: one more than k.
+    vectors = with_keys(valid_vectors(embeddings))
+    # A query may be among the rows of its node: one more than k.
     known = members(vectors, k + 1)
-    nodes = known.where("n = 1").select("vec_id", "vector")
-    index = build_index(nodes, shard_size)
-    asked = _directions(vectors.where(F.col("vec_id") % every == 0)).select(F.col("vec_id").alias("query_id"), "key", "direction")
-    folder = scratch_folder(spark, "vector-queries")
-    asked.join(_directions(nodes).select(F.col("vec_id").alias("node"), "key", "direction"), ["key", "direction"]).select(
-        "query_id", "node").write.parquet(folder)
-    asked = spark.read.schema("query_id long, node long").parquet(folder)
+    index = build_index(known.where("n = 1").select("key", F.coalesce("vec_id", F.lit(LAST)).alias("vec_id"), "vector"), shard_size)
+    asked = written(vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("key").alias("asked")), "vector-queries")
     # Each node is searched for once, however many queries it holds.  Of the k best rows none
     # lies outside the k best other nodes: each of those has a row, its smallest id, that comes first.
-    own = asked.select("node").distinct()
-    found = neighbours(index, index.join(own.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select("vec_id", "vector"), k, beam).select(
-        F.col("query_id").alias("asked"), F.col("vec_id").alias("node"), "score")
-    hits = found.unionByName(own.select(F.col("node").alias("asked"), "node", F.lit(1.0).alias("score")))
-    ids = known.groupBy("node").agg(F.collect_list("vec_id").alias("ids"))
-    best = hits.join(ids, "node").select("asked", F.explode("ids").alias("vec_id"), "score").groupBy("asked").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
-    return asked.join(best.withColumnRenamed("asked", "node"), "node").select(
-        "query_id", F.expr(f"posexplode(slice(filter(best, b -> b.vec_id <> query_id), 1, {k})) AS (place, b)")).select(
+    own = asked.select(F.col("asked").alias("key")).distinct()
+    found = neighbours(index, index.join(own, "key", "left_semi").select("key", "vector"), k, beam).select(
+        F.col("query_id").alias("asked"), "key", "score")
+    # A vector's cosine with itself, and with itself times a power of two, is exactly 1.
+    hits = found.unionByName(own.select(F.col("key").alias("asked"), "key", F.lit(1.0).alias("score")))
+    rows = known.groupBy("key").agg(F.collect_list(F.struct("vec_id")).alias("rows"))
+    entry = F.struct((-F.col("score")).alias("far"), F.coalesce("r.vec_id", F.lit(LAST)).alias("tie"), "r.vec_id", (F.col("asked") == F.col("key")).alias("own"))
+    best = hits.join(rows, "key").select("asked", "key", F.explode("rows").alias("r"), "score").groupBy("asked").agg(
+        F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("best"))
+    # One row of the query's own node that has its id is the query.
+    itself = "array_position(transform(best, b -> coalesce(b.own AND b.vec_id = query_id, false)), true)"
+    return asked.join(best, "asked").withColumn("itself", F.expr(itself)).select(
+        "query_id", F.expr(f"posexplode(slice(filter(best, (b, i) -> i + 1 <> itself), 1, {k})) AS (place, b)")).select(
             "query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))

@@ -46,11 +46,11 @@ def test_ties_invalid_vectors_and_repeats(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0]), (3, [2, 0]), (2, [5, 0]), (7, [0, 1]), (9, [1, 1]), (1, [1, 0, 0]), (50, [0, 0]), (100, None), (150, []), (200, [1, None]),
             (250, [nan, 1]), (300, [inf, 1]), (None, [1, 0]), (3, [2, 0]), (350, [1, 0]), (400, [1, 0, 1])]
-    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in V.nearest(table(spark, rows)).collect())
+    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in V.nearest(table(spark, rows), k=7).collect())
     half = round(0.5 ** 0.5, 6)
     assert found == [
-        (0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 350, 1.0), (0, 4, 9, half), (0, 5, 7, 0.0),
-        (350, 1, 0, 1.0), (350, 2, 2, 1.0), (350, 3, 3, 1.0), (350, 4, 9, half), (350, 5, 7, 0.0),
+        (0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 3, 1.0), (0, 4, 350, 1.0), (0, 5, None, 1.0), (0, 6, 9, half), (0, 7, 7, 0.0),
+        (350, 1, 0, 1.0), (350, 2, 2, 1.0), (350, 3, 3, 1.0), (350, 4, 3, 1.0), (350, 5, None, 1.0), (350, 6, 9, half), (350, 7, 7, 0.0),
         (400, 1, 1, half)]
     assert V.nearest(table(spark, [])).collect() == []
     assert V.nearest(table(spark, [(0, [1, 2])])).collect() == []
@@ -96,3 +96,42 @@ def test_a_third_of_the_rows_are_copies(spark):
             assert [i for i, _, _ in best] == expected
         hits.append(len({i for i, _, _ in best} & set(expected)) / 5)
     assert np.mean(hits) >= 0.95
+
+
+def test_every_row_is_a_candidate_by_its_own_vector(spark):
+    rng = np.random.default_rng(8)
+    ids = [int(i) for i in rng.integers(0, 200, 600)]  # each id about three times
+    vectors = rng.normal(size=(600, 8)).astype(np.float32)
+    vectors[::4] = vectors[0]
+    vectors[1::40] = vectors[0] * np.float32(3)
+    vectors[2::40] = vectors[0] * np.float32(2 ** -40)
+    vectors[3::40] = -vectors[0]
+    ids[4] = ids[5] = ids[6] = 50
+    vectors[5] = vectors[6] = vectors[9]
+    found = {}
+    for r in V.nearest(table(spark, list(zip(ids, vectors.tolist()))), shard_size=100).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    wide = vectors.astype(float)
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    expected, names = {}, np.array(ids)
+    for q in np.flatnonzero(names % 50 == 0):
+        scores = np.round(unit @ unit[q], 12)
+        scores[q] = -2
+        expected.setdefault(ids[q], []).extend((rank + 1, ids[i], scores[i]) for rank, i in enumerate(np.lexsort((names, -scores))[:5]))
+    assert found.keys() == expected.keys() and len(expected[50]) >= 15
+    for q, rows in expected.items():
+        ours, theirs = sorted((rank, round(score, 9)) for rank, _, score in found[q]), sorted((rank, round(score, 9)) for rank, _, score in rows)
+        assert [rank for rank, _ in ours] == [rank for rank, _ in theirs]
+        assert [score for _, score in ours] == pytest.approx([score for _, score in theirs], abs=1e-8)
+        # Scores of vectors that are equal but for rounding tie here and differ there: compare the ids of clear places.
+        clear = [r for r in rows if r[2] < 1 - 1e-9]
+        assert sorted((rank, i) for rank, i, _ in clear) == sorted((rank, i) for rank, i, s in found[q] if s < 1 - 1e-9)
+        assert all(-1 <= s <= 1 for _, _, s in found[q])
+
+
+def test_scores_of_copies_are_exactly_one(spark):
+    v = np.array([0.1, 0.7, 0.3, -0.9], np.float32)
+    rows = [(0, v.tolist()), (9, v.tolist()), (4, (v * np.float32(8)).tolist()), (5, (v * np.float32(3)).tolist()), (7, (-v).tolist())]
+    found = [(r.vec_id, r.score) for r in sorted(V.nearest(table(spark, rows)).collect(), key=lambda r: r.rank)]
+    assert {i: s for i, s in found if i in (4, 9)} == {4: 1.0, 9: 1.0}
+    assert all(s <= 1 for _, s in found) and found[-1] == (7, -1.0) and dict(found)[5] == pytest.approx(1, abs=1e-7)
