@@ -4,7 +4,8 @@ Calls and results are joined by identifier.  The order within a conversation is
 call comes after the results it depends on, a result after its call, and otherwise the given turns
 count.  Each event has a place (the latest turn of anything it depends on, and how many steps
 within that turn); turns that are in order already are places, and only events that something
-out of order leads to are moved, in as many rounds as the longest such chain has steps.
+out of order leads to are moved, in as many rounds as the longest such chain has steps.  Cycles are
+found among the causes of these moves by doubling pointers, after about as many rounds as they are long.
 Arguments are parsed and checked against a table of parameters.  Canonical JSON has sorted keys,
 no white space and no repeated keys.
 
@@ -19,8 +20,8 @@ are made up (plain conversations), rows that share one are events of their own;
 every column that takes part count once, unless `copies` keeps those, too.  Arguments
 that are null, no JSON, no object, or name a key twice are invalid as a whole.  Names without
 parameters in the table are unknown, which is an error; parameters that the table doesn't list
-are errors, too.  Events on a cycle of dependencies are marked and ordered by turn.  A null
-conversation, turn or text stays null.  Other columns take no part.
+are errors, too.  Events on a cycle of dependencies are marked and ordered by turn; events that depend
+on them, without being on a cycle, come after the latest of them.  A null conversation, turn or text stays null.  Other columns take no part.
 """
 
 from __future__ import annotations
@@ -71,29 +72,85 @@ def validate(calls: DataFrame, tools: DataFrame) -> DataFrame:
         "arguments_json", F.expr("CASE WHEN found IS NOT NULL THEN to_json(parsed) END")).drop("known", "found")
 
 
-def topological_places(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, anchor, depth and cyclic of every event, ordered along the edges by (anchor, depth).
+def _loops(causes: DataFrame) -> DataFrame | None:
+    """node and head (smallest name of the loop) of the nodes on loops of `causes` (node, to), or None.
 
-    `events` has node and turn, `edges` has before and after.
+    Every node points to one other.  Pointers are doubled: those that lead out of the table go, and after as
+    many steps as there are nodes those that are left have arrived on a loop.
+    """
+    walk, steps, nodes = _written(causes.withColumn("head", F.col("node")), "walk"), 1, None
+    while not walk.isEmpty():
+        nodes = nodes or walk.count()
+        if steps >= nodes:
+            return walk.select(F.col("to").alias("node")).distinct().join(walk.select("node", "head"), "node")
+        further = walk.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("head").alias("other"))
+        walk = _written(walk.join(further, "to").select("node", F.col("next").alias("to"), F.least("head", "other").alias("head")), "walk")
+        steps *= 2
+    return None
+
+
+def _raised(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """node, anchor and depth after all edges point forward; or the loops that prevent it.
+
+    In each round the events behind an event that moved go after it and remember it as the cause.
+    Causes are edges, so a loop of causes is a cycle of edges; and as long as there is none, no depth
+    exceeds the number of events, so a cycle shows up.  Loops are looked for after 3, 6, 12, ... rounds.
     """
-    placed = events.select("node", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
-    edges = edges.where("before IS NOT NULL AND after IS NOT NULL")
-    limit = None
+    placed = start.select("node", "anchor", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("cause"))
+    moved, rounds, check = placed, 0, 3
     while True:
-        at = F.struct(F.col("anchor"), F.col("depth"))
-        early = placed.where("NOT cyclic").select(F.col("node").alias("before"), at.alias("early"))
-        late = placed.where("NOT cyclic").select(F.col("node").alias("after"), at.alias("late"))
+        early = moved.select(F.col("node").alias("before"), F.struct("anchor", "depth").alias("early"))
+        late = placed.select(F.col("node").alias("after"), F.struct("anchor", "depth").alias("late"))
         wrong = edges.join(early, "before").join(late, "after").where("early >= late")
-        moved = _written(wrong.groupBy("after").agg(F.max(F.struct("early.anchor", (F.col("early.depth") + 1).alias("depth"))).alias("to")), "moved")
+        moved = _written(
+            wrong.groupBy(F.col("after").alias("node")).agg(
+                F.max(F.struct("early.anchor", (F.col("early.depth") + 1).alias("depth"), F.col("before").alias("cause"))).alias("to")).select(
+                    "node", "to.*"), "moved")
         if moved.isEmpty():
-            return placed
-        if limit is None:
-            # A chain has at most as many steps as there are events; longer ones run in circles.
-            limit = events.count()
+            return placed, None
         placed = _written(
-            placed.join(moved.withColumnRenamed("after", "node"), "node", "left").select(
-                "node", F.coalesce("to.anchor", "anchor").alias("anchor"), F.coalesce("to.depth", "depth").alias("depth"),
-                (F.col("cyclic") | (F.coalesce("to.depth", F.lit(0)) > limit)).alias("cyclic")), "places")
+            placed.alias("p").join(moved.alias("m"), "node", "left").select("node", *[
+                F.when(F.col("m.depth").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in ("anchor", "depth", "cause")]), "places")
+        rounds += 1
+        if rounds == check:
+            check *= 2
+            if (loops := _loops(placed.where("cause IS NOT NULL").select("node", F.col("cause").alias("to")))) is not None:
+                return placed, loops
+
+
+def topological_places(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, anchor, depth and cyclic of every event, ordered along the edges by (anchor, depth).
+
+    `events` has node and turn, `edges` has before and after.  Nodes on a cycle are marked and stay
+    at their own turn; what depends on them comes after the latest of them.  Cycles are
+    contracted to one node as they are found, so those that share a node become one in the end.
+    """
+    start = events.select("node", F.col("turn").alias("anchor"))
+    edges = edges.where("before IS NOT NULL AND after IS NOT NULL").select("before", "after")
+    groups = None
+    while True:
+        placed, loops = _raised(start, edges)
+        if loops is None:
+            break
+        loops = _written(loops, "loops")
+        head = {end: loops.select(F.col("node").alias(end), F.col("head").alias(f"{end}_head")) for end in ("node", "before", "after", "head")}
+        if groups is None:
+            groups = loops
+        else:
+            grown = groups.join(head["head"], "head", "left").select("node", F.coalesce("head_head", "head").alias("head"))
+            groups = _written(grown.unionByName(loops.join(groups, "node", "left_anti")), "groups")
+        start = _written(start.join(head["node"], "node", "left").groupBy(F.coalesce("node_head", "node").alias("node")).agg(
+            F.max("anchor").alias("anchor")), "contracted")
+        edges = _written(
+            edges.join(head["before"], "before", "left").join(head["after"], "after", "left").select(
+                F.coalesce("before_head", "before").alias("before"), F.coalesce("after_head", "after").alias("after")).where(
+                    "before <> after").distinct(), "edges")
+    placed = placed.select("node", "anchor", "depth")
+    if groups is None:
+        return placed.withColumn("cyclic", F.lit(False))
+    return events.select("node", "turn").join(groups, "node", "left").join(placed, "node", "left").select(
+        "node", F.when(F.col("head").isNull(), F.col("anchor")).otherwise(F.col("turn")).alias("anchor"),
+        F.when(F.col("head").isNull(), F.col("depth")).otherwise(0).alias("depth"), F.col("head").isNotNull().alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, messages: DataFrame, tools: DataFrame, every: bool = False) -> DataFrame:
@@ -143,9 +200,8 @@ def link(calls: DataFrame, results: DataFrame, messages: DataFrame, tools: DataF
                 messages.select("conv_id", F.lit("message").alias("kind"), "call_id", "turn", *fine, F.expr(message_json).alias("json"),
                                 message_node.alias("node"), value["message"].alias("value")))
     linked = F.coalesce(F.col("linked") & (F.col("kind") != "message"), F.lit(False))
-    joined = rows.join(pairs, "call_id", "left").withColumn("linked", linked).join(places, "node").withColumn("sort_anchor", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("anchor")))
-    ordered = number_within(
-        joined.drop("node", "anchor"), "conv_id", ["sort_anchor", "depth", "kind", "call_id", "turn", "value"], "place")
+    joined = rows.join(pairs, "call_id", "left").withColumn("linked", linked).join(places, "node")
+    ordered = number_within(joined.drop("node"), "conv_id", ["anchor", "depth", "kind", "call_id", "turn", "value"], "place")
     return ordered.select("conv_id", "place", "kind", "call_id", "turn", "linked", "valid", "errors", "cyclic", "json")
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 
@@ -107,3 +108,63 @@ def test_every_row_of_a_repeated_turn_is_an_event(spark, tmp_path):
     for columns in (["conv_id", "place", "kind", "call_id", "turn", "linked"], [c for c in names if c != "place"]):
         assert plain(ours, columns) == plain(theirs, columns)
     assert chat.linked_conversations(frame).count() == len(set(turns))
+
+
+def by_hand(turns, edges):
+    """Places by the definition: cycles by reachability, then raising until nothing changes."""
+    after = {n: {b for a, b in edges if a == n} for n in turns}
+    reach = {}
+    for n in turns:
+        seen, todo = set(), [n]
+        while todo:
+            for m in after[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        reach[n] = seen
+    cyclic = {n for n in turns if n in reach[n]}
+    head = {n: min({n} | {m for m in reach[n] if n in reach[m]}) for n in turns}
+    places = {}
+    for n in turns:
+        places[head[n]] = max(places.get(head[n], (-1, 0)), (turns[n], 0))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if head[a] != head[b] and places[head[a]] >= places[head[b]]:
+                places[head[b]], changed = (places[head[a]][0], places[head[a]][1] + 1), True
+    return {n: (turns[n], 0, True) if n in cyclic else (*places[n], False) for n in turns}
+
+
+def test_places_against_the_definition(spark):
+    # Several graphs in one table: nodes of different graphs have no edges between them.
+    draw = random.Random(3)
+    turns, edges = {}, []
+    for graph in range(40):
+        nodes = [f"{graph}-{i:02}" for i in range(draw.randint(1, 14))]
+        turns.update({n: draw.randint(0, 8) for n in nodes})
+        edges += [(draw.choice(nodes), draw.choice(nodes)) for _ in range(draw.randint(0, len(nodes) + 4))]
+    # A ring, a ring with an ear and what hangs on them.
+    turns |= {f"ring{i:02}": i for i in range(30)}
+    edges += [(f"ring{i:02}", f"ring{(i + 1) % 30:02}") for i in range(30)] + [("ring20", "ear"), ("ear", "ring03"), ("ear", "tail"), ("0-00", "ear")]
+    turns |= {"ear": 1, "tail": 2}
+    found = chat.topological_places(
+        spark.createDataFrame(list(turns.items()), "node string, turn long"),
+        spark.createDataFrame([*edges, (None, "tail"), ("tail", None)], "before string, after string")).collect()
+    want = by_hand(turns, set(edges))
+    assert {r.node: (r.anchor, r.depth, r.cyclic) for r in found} == want
+    assert len(found) == len(want) and sum(c for _, _, c in want.values()) > 40 and want["tail"] == (29, 1, False)
+
+
+def test_a_cycle_among_many_events_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    write = chat._written
+    monkeypatch.setattr(chat, "_written", lambda frame, name: tables.append(name) or write(frame, name))
+    # One long chain of calls and results in order; two calls in its middle need each other.
+    events = spark.range(100_000).selectExpr("concat(IF(id % 2 = 0, 'c', 'r'), id DIV 2) AS node", "id AS turn")
+    edges = spark.range(99_999).selectExpr(
+        "concat(IF(id % 2 = 0, 'c', 'r'), id DIV 2) AS before", "concat(IF(id % 2 = 1, 'c', 'r'), (id + 1) DIV 2) AS after")
+    both = edges.unionAll(spark.createDataFrame([("r25001", "c25000")], "before string, after string"))
+    found = chat.topological_places(events, both)
+    assert sorted(r.node for r in found.where("cyclic").collect()) == ["c25000", "c25001", "r25000", "r25001"]
+    assert found.where("NOT cyclic AND (depth > 0 OR anchor <> int(substr(node, 2)) * 2 + int(substr(node, 1, 1) = 'r'))").count() == 0
+    assert found.count() == 100_000 and tables.count("moved") + tables.count("walk") < 20
