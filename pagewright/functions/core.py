@@ -69,7 +69,11 @@ def fold(array: Sql, start: Sql, body: Callable, finish: Body | None = None) ->
 
 
 def let(value: Sql, body: Body) -> Sql:
-    """Evaluate `value` once and use it several times."""
+    """Evaluate `value` once and use it several times.
+
+    Also for a column that a lambda reads: of a column that is named once Spark puts the expression in place of
+    the name, and inside a lambda that would run over the whole page for every item.
+    """
     return f"transform(array({value}), {_lambda(body, 1)})[0]"
 
 

@@ -163,25 +163,27 @@ def page_text(strings: Sql, max_length: int | None = None) -> Sql:
 def headings(elements: Sql, strings: Sql) -> Sql:
     """h1 to h6, by level, then in document order."""
     levels = [f"h{n}" for n in range(1, 7)]
-    found = transform(N.with_tag(elements, *levels), lambda e: struct(
-        level=f"{e}.tag", text=N.element_text(strings, e)))
+    found = let(strings, lambda own: transform(N.with_tag(elements, *levels), lambda e: struct(
+        level=f"{e}.tag", text=N.element_text(own, e))))
     return let(keep(found, lambda h: f"{h}.text <> ''"), lambda all_levels: "concat(" + ", ".join(
         keep(all_levels, lambda h: f"{h}.level = '{level}'") for level in levels) + ")")
 
 
 def paragraphs(elements: Sql, strings: Sql) -> Sql:
     """Paragraph texts longer than 20 characters."""
-    found = transform(N.with_tag(elements, "p"), lambda e: N.element_text(strings, e))
+    found = let(strings, lambda own: transform(N.with_tag(elements, "p"), lambda e: N.element_text(own, e)))
     return keep(found, lambda t: f"length({t}) > 20")
 
 
 def lists(elements: Sql, strings: Sql) -> Sql:
     """The items directly below each list; lists without text are skipped."""
-    def items(e):
-        children = keep(N.descendants(elements, e), lambda c: f"{c}.tag = 'li' and {c}.parent = {e}.pos")
-        return keep(transform(children, lambda c: N.element_text(strings, c)), lambda t: f"{t} <> ''")
+    def items(whole, own, e):
+        children = keep(N.descendants(whole, e), lambda c: f"{c}.tag = 'li' and {c}.parent = {e}.pos")
+        return keep(transform(children, lambda c: N.element_text(own, c)), lambda t: f"{t} <> ''")
 
-    return keep(transform(N.with_tag(elements, "ul", "ol"), items), lambda found: f"size({found}) > 0")
+    found = let(elements, lambda whole: let(strings, lambda own: transform(
+        N.with_tag(whole, "ul", "ol"), lambda e: items(whole, own, e))))
+    return keep(found, lambda items_of: f"size({items_of}) > 0")
 
 
 def images(elements: Sql) -> Sql:
