@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -72,20 +74,21 @@ _PLAIN_ATTRS = re.compile(r'([a-zA-Z][a-zA-Z0-9:_-]*)="([^"]*)"').findall
 _RAW_END = {tag: re.compile(rf"</{tag}(>)?", re.I).search for tag in ("script", "style")}
 #: Interpreters whose standard parser reads plain markup as the shortcut does (see the fuzz test)
 CHECKED_VERSIONS = {(3, 13, 0)}
-_FLUSH_ELEMENTS = 100_000
-_FLUSH_CHARS = 16 << 20
+#: An output batch ends with the page that reaches one of these
+_FLUSH_ELEMENTS = 16_000
+_FLUSH_CHARS = 2 << 20
 
 
 class _Columns:
-    """Flat column buffers of one output batch."""
+    """Flat column buffers of one output batch; numbers are kept as numbers, not as objects."""
 
     def __init__(self):
-        self.pos, self.last, self.parent, self.kids, self.tag = [], [], [], [], []
-        self.text_from, self.text_to = [], []
-        self.paragraphs, self.inside = [], []
-        self.attr_from, self.attr_key, self.attr_value = [0], [], []
+        self.pos, self.last, self.parent, self.kids = (array("i") for _ in range(4))
+        self.text_from, self.text_to, self.paragraphs, self.inside = (array("i") for _ in range(4))
+        self.tag = []
+        self.attr_from, self.attr_key, self.attr_value = array("i", [0]), [], []
         self.box, self.raw = [], []
-        self.element_from, self.text_offsets, self.error = [0], [0], []
+        self.element_from, self.text_offsets, self.error = array("i", [0]), array("i", [0]), []
         self.chars = 0
 
     def close_page(self, error):
@@ -105,17 +108,19 @@ class _Columns:
         del self.raw[t:]
 
     def arrays(self):
-        i32 = pa.int32()
+        def numbers(column):
+            return pa.array(np.frombuffer(column, np.int32) if column else np.empty(0, np.int32))
+
         attrs = pa.MapArray.from_arrays(
-            pa.array(self.attr_from, i32),
+            numbers(self.attr_from),
             pa.array(self.attr_key, pa.string()),
             pa.array(self.attr_value, pa.string()),
         )
         elements = pa.StructArray.from_arrays(
-            [pa.array(self.pos, i32), pa.array(self.last, i32), pa.array(self.parent, i32),
-             pa.array(self.kids, i32), pa.array(self.tag, pa.string()),
-             pa.array(self.text_from, i32), pa.array(self.text_to, i32),
-             pa.array(self.paragraphs, i32), pa.array(self.inside, i32), attrs],
+            [numbers(self.pos), numbers(self.last), numbers(self.parent),
+             numbers(self.kids), pa.array(self.tag, pa.string()),
+             numbers(self.text_from), numbers(self.text_to),
+             numbers(self.paragraphs), numbers(self.inside), attrs],
             names=[f.name for f in ELEMENT.fields],
         )
         texts = pa.StructArray.from_arrays(
@@ -123,8 +128,8 @@ class _Columns:
             names=[f.name for f in TEXT.fields],
         )
         return [
-            pa.ListArray.from_arrays(pa.array(self.element_from, i32), elements),
-            pa.ListArray.from_arrays(pa.array(self.text_offsets, i32), texts),
+            pa.ListArray.from_arrays(numbers(self.element_from), elements),
+            pa.ListArray.from_arrays(numbers(self.text_offsets), texts),
             pa.array(self.error, pa.string()),
         ]
 
@@ -148,8 +153,10 @@ class _PageReader(HTMLParser):
         self.boxes, self.keep_space = [], 0
         self.pending, self.ignored_ends = [], {}
         self.paragraphs = self.inside = 0  # so far, in the page
-        self.feed(html)
-        self.close()
+        self.rawdata = html
+        self.goahead(False)
+        if self.rawdata:
+            self.close()
         self._flush()
         while self.open:
             self._pop()
@@ -256,12 +263,11 @@ class _PageReader(HTMLParser):
                     break
                 i = after
                 continue
-            text, start, attrs, ended, entity = token.groups()
-            i = token.end()
-            if text:
-                self.pending.append(text)
-            elif start:
-                tag = start.lower()
+            i, kind = token.end(), token.lastindex
+            if kind == 1:
+                self.pending.append(token[1])
+            elif kind == 3:
+                tag, attrs = token[2].lower(), token[3]
                 self.handle_starttag(tag, [(k.lower(), v) for k, v in _PLAIN_ATTRS(attrs)] if attrs else None)
                 if tag in self.CDATA_CONTENT_ELEMENTS:
                     closed = _RAW_END[tag](data, i)
@@ -272,12 +278,13 @@ class _PageReader(HTMLParser):
                         self.pending.append(data[i:closed.start()])
                     self.handle_endtag(tag)
                     i = closed.end()
-            elif ended:
-                self.handle_endtag(ended.lower())
+            elif kind == 4:
+                self.handle_endtag(token[4].lower())
             else:
-                self.handle_entityref(entity)
+                self.handle_entityref(token[5])
         self.rawdata = data[i:]
-        super().goahead(end)
+        if self.rawdata:
+            super().goahead(end)
 
     # parser events
     def handle_starttag(self, tag, attrs):
@@ -332,34 +339,38 @@ class _PageReader(HTMLParser):
 def _parse_batches(html_col: str, kept: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column(html_col)
-            start, out = 0, _Columns()
-            reader = _PageReader(out)
-            for row in range(batch.num_rows):
-                text = html[row].as_py()
-                error = None
-                try:
-                    if text is None:
-                        error = "page has no html"
-                    else:
-                        reader.read(text)
-                except Exception as exc:  # whatever it is, it is this page's failure
-                    error = str(exc) or type(exc).__name__
-                    out.drop_open_page()
-                out.close_page(error)
-                if len(out.pos) >= _FLUSH_ELEMENTS or out.chars >= _FLUSH_CHARS:
-                    yield _emit(batch, start, row + 1, out, kept, names)
-                    start, out = row + 1, _Columns()
-                    reader = _PageReader(out)
-            if start < batch.num_rows:
-                yield _emit(batch, start, batch.num_rows, out, kept, names)
+            yield from parse(batch)
+            del batch  # before the next one is read
+
+    def parse(batch):
+        html = batch.column(html_col)
+        rest = batch.select(kept)
+        start, out = 0, _Columns()
+        reader = _PageReader(out)
+        for row in range(batch.num_rows):
+            text = html[row].as_py()
+            error = None
+            try:
+                if text is None:
+                    error = "page has no html"
+                else:
+                    reader.read(text)
+            except Exception as exc:  # whatever it is, it is this page's failure
+                error = str(exc) or type(exc).__name__
+                out.drop_open_page()
+            out.close_page(error)
+            if len(out.pos) >= _FLUSH_ELEMENTS or out.chars >= _FLUSH_CHARS or row + 1 == batch.num_rows:
+                ready = _emit(rest, start, row + 1, out, names)
+                start, out = row + 1, _Columns()
+                reader = _PageReader(out)
+                yield ready
 
     return run
 
 
-def _emit(batch, start, stop, out, kept, names):
-    part = batch.slice(start, stop - start)
-    return pa.RecordBatch.from_arrays([part.column(c) for c in kept] + out.arrays(), names=names)
+def _emit(rest, start, stop, out, names):
+    part = rest.slice(start, stop - start)
+    return pa.RecordBatch.from_arrays(part.columns + out.arrays(), names=names)
 
 
 def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:

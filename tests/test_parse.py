@@ -3,6 +3,8 @@
 import random
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 from pagewright.sources import parse as P
 
 
@@ -121,3 +123,13 @@ def test_broken_page_between_sound_ones(page):
     assert "foo" in rows[1].error or rows[1].error
     assert rows[1].html.startswith("<title>b")
     assert [r.text for r in text_only(parsed).orderBy("page_id").collect()] == ["a", "b x & y", "c"]
+
+
+def test_output_batches_stay_small():
+    html = "<p>some words</p>" * 1000
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(60)) + [60], "html": [html] * 60 + [None]})
+    found = list(P._parse_batches("html", ["page_id"], ["page_id", "elements", "texts", "parse_error"])(iter([batch])))
+    assert [i for b in found for i in b.column("page_id").to_pylist()] == list(range(61))
+    assert max(sum(map(len, b.column("elements").to_pylist())) for b in found) <= 20_000
+    assert all(len(e) == 1000 for b in found for e in b.column("elements").to_pylist()[:-1])
+    assert found[-1].column("parse_error").to_pylist()[-1] == "page has no html"
