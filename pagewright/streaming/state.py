@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -49,28 +49,28 @@ class _FirstArrival(StatefulProcessor):
     """Remembers a key from its first row until `keep` milliseconds of event time later."""
 
     def __init__(self, keep: int, names: list[str]):
-        self.keep, self.names = keep, names
+        self.keep, self.names, self.at = keep, names, names.index("_at")
 
     def init(self, handle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            if self.seen.exists():
-                continue
-            part.columns = self.names  # Spark hands over names that begin with _ as others
-            part = part if first is None else pd.concat([first, part])
-            # Of several rows in a batch the earliest counts; ties by the other columns.
-            first = part.sort_values(["_at", *[c for c in part.columns if c != "_at"]], kind="stable").iloc[:1]
-        if first is not None:
-            until = int(first["_at"].iloc[0]) + self.keep
-            self.seen.update((until,))
-            self.handle.registerTimer(until)
-            yield first.drop(columns="_at")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        # Of several rows in a batch the earliest counts; ties by the other columns.
+        first = min((tuple(row) for row in rows), key=self._order)
+        until = first[self.at] + self.keep
+        self.seen.update((until,))
+        self.handle.registerTimer(until)
+        yield Row(**{name: value for name, value in zip(self.names, first) if name != "_at"})
+
+    def _order(self, row: tuple) -> list:
+        """Missing values come last."""
+        rest = [v for i, v in enumerate(row) if i != self.at]
+        return [(False, v) if v is not None and v == v else (True, None) for v in [row[self.at], *rest]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.seen.clear()
         return iter([])
 
@@ -89,7 +89,8 @@ def dedup_arrivals(pages: DataFrame, keep_for: str, watermark: str = "0 seconds"
     keyed = pages.withColumn("url_norm", F.expr(f"coalesce({normalize_url('url')}, url)")).withColumn(
         event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, watermark)
     timed = keyed.withColumn("_at", F.unix_millis(event_time))
-    return timed.groupBy("url_norm").transformWithStateInPandas(
+    # Rows, not frames: a frame per address costs more than the work on it.
+    return timed.groupBy("url_norm").transformWithState(
         _FirstArrival(_milliseconds(spark, keep_for), timed.columns), keyed.schema, "Append", "EventTime")
 
 

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from pagewright.plans import export_queries as E
 from pagewright.sources.pages import fetch_outcomes
 from pagewright.streaming import state as D
 
@@ -101,3 +103,42 @@ def test_a_stream_upserts_and_goes_on_after_a_restart(spark, tmp_path):
     files(spark, folder, [[("b", 5, "2024-01-03 00:00:00")]], "k string, n int, fetched_at string")
     assert go() == [("a", 3), ("b", 6)]
     assert go() == [("a", 3), ("b", 6)]
+
+
+def test_a_large_batch_is_many_files_and_small_ones_stay_batches(spark, monkeypatch):
+    monkeypatch.setattr(E, "_ROWS_A_FILE", 20)
+    rows = spark.range(0, 200).selectExpr("id", "if(id < 5, id, 7) AS part").unionAll(spark.sql("SELECT 1000L AS id, 9L AS part"))
+    stream, seen = E._in_batches(spark, rows, "test-batches"), {}
+
+    def look(batch, number):
+        found = batch.collect()
+        seen[number] = (sorted(r.id for r in found), len({r.file for r in found}))
+
+    folder = E.scratch_folder(spark, "test-batches")
+    stream.withColumn("file", F.input_file_name()).writeStream.foreachBatch(look).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    assert [seen[n][0] for n in sorted(seen)] == [[0], [1], [2], [3], [4], list(range(5, 200)), [1000]]
+    files = min(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert files > 1 and [f for _, f in seen.values()] == [1, 1, 1, 1, 1, files, 1]
+
+
+def test_the_earliest_arrival_of_a_batch_counts_and_no_frame_is_built_for_it():
+    class Handle:
+        kept, timers = [], []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self.kept.append(value)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    first = D._FirstArrival(10, ["url", "note", "_at"])
+    first.init(Handle())
+    rows = [Row("b", None, 5), Row("b", "x", 5), Row("a", None, 7), Row("c", "x", 5)]
+    assert [tuple(r) for r in first.handleInputRows(("k",), iter(rows), None)] == [("b", "x")]
+    assert Handle.kept == [(15,)] and Handle.timers == [15]
