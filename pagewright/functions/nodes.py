@@ -155,7 +155,8 @@ def _blank_out(array: Sql, ranges: Sql, start: str, stop: str, filler: Sql) -> S
     last = stop.format(f"get({ranges}, size({ranges}) - 1)")
     rest = let(f"if(size({ranges}) = 0, 1, {last})",
                lambda n: f"slice({array}, {n}, greatest(size({array}) - {n} + 1, 0))")
-    return f"concat(flatten({transform(ranges, piece, 2)}), {rest})"
+    # Most pages have nothing to blank out.
+    return f"if(size({ranges}) = 0, {array}, concat(flatten({transform(ranges, piece, 2)}), {rest}))"
 
 
 def noise_totals(elements: Sql, ranges: Sql) -> Sql:

@@ -52,6 +52,13 @@ _URL = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
     r"((?:[^?#]*/)?[^?#;/]*)(?:;([^?#/]*))?(?:\?([^#]*))?(?:#(.*))?$"
 )
+# What most links and addresses look like: nothing in them has to be decoded, sorted or rewritten.
+# No repeated groups: the matcher would need a stack as deep as the path is long.
+_PLAIN_PATH = r"[0-9A-Za-z_~/-]*[0-9A-Za-z_~-]"
+_PLAIN_HREF = rf"^(?:\.\./)?{_PLAIN_PATH}(?:\?[0-9A-Za-z_=&~.-]+)?\z"
+_PLAIN_BASE = r"^/[0-9A-Za-z_~/-]*\z"
+_PLAIN_URL = rf"^https?://[0-9a-z.:-]+/{_PLAIN_PATH}\z"
+_PLAIN_PAIR = rf"^https?://[0-9a-z.:-]+/{_PLAIN_PATH}\?[0-9A-Za-z_~-]+=[0-9A-Za-z_~.-]*\z"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
@@ -109,15 +116,20 @@ def build_url(scheme: Sql, authority: Sql, path: Sql, params: Sql, query: Sql, f
     return let(f"case when {params} <> '' then concat({path}, ';', {params}) else {path} end", assemble)
 
 
+def _directory(path: Sql) -> Sql:
+    """The path up to its last slash."""
+    return f"left({path}, length({path}) - length(substring_index({path}, '/', -1)))"
+
+
 def _merge_path(base_path: Sql, path: Sql) -> Sql:
     """Resolve a relative path against the base path and remove dot segments."""
     repeated = regex(r"^/+|(?<=/)/+")
-    directory = f"regexp_replace({base_path}, {regex('(?s)[^/]*$')}, '')"
+    directory = _directory(base_path)
 
     def merge(d):
         # Empty segments collapse only when the two paths are merged.
         return let(f"concat(if({d} = '', '/', {d}), {path})",
-                   lambda m: f"concat(left({m}, 1), regexp_replace(substr({m}, 2), {repeated}, ''))")
+                   lambda m: f"if(contains({m}, '//'), concat(left({m}, 1), regexp_replace(substr({m}, 2), {repeated}, '')), {m})")
 
     def drop_dots(segments):
         done = fold(
@@ -151,7 +163,14 @@ def resolve_parts(base: Sql, href: Sql) -> Sql:
             when {h}.path = '' and {h}.params = '' then {same_document}
             else {relative} end"""
 
-    return let(split_url(href), resolve)
+    # The same for plain links, which need no parts.
+    plain = (f"{base}.netloc <> '' and {base}.scheme in ('http', 'https') and {href} rlike {regex(_PLAIN_HREF)} and not contains({href}, '//') "
+             f"and (startswith({href}, '/') or {base}.path rlike {regex(_PLAIN_BASE)} and not contains({base}.path, '//'))")
+    folder = _directory(f"{base}.path")
+    above = f"regexp_replace({folder}, {regex(r'[^/]+/$')}, '')"
+    below = (f"case when startswith({href}, '/') then {href} when startswith({href}, '../') then concat({above}, substr({href}, 4)) "
+             f"else concat({folder}, {href}) end")
+    return f"if({plain}, concat({base}.scheme, '://', {base}.netloc, {below}), {let(split_url(href), resolve)})"
 
 
 def resolve_url(base: Sql, href: Sql) -> Sql:
@@ -197,7 +216,11 @@ def normalize_url(url: Sql, strip_tracking: bool = True, include_fragments: bool
         return (f"case when {p}.scheme in ('http', 'https') and not {has_bad_brackets(p + '.netloc')} "
                 f"then {rebuilt} end")
 
-    return let(split_url(url), canonical)
+    # The same for plain addresses, which need no parts.
+    key = f"substring_index(substring_index({url}, '?', -1), '=', 1)"
+    bare = f"if(lower({key}) in ({words(TRACKING_PARAMS)}), substring_index({url}, '?', 1), {url})" if strip_tracking else url
+    return (f"case when {url} rlike {regex(_PLAIN_URL)} then {url} when {url} rlike {regex(_PLAIN_PAIR)} then {bare} "
+            f"else {let(split_url(url), canonical)} end")
 
 
 def browser_url(url: Sql) -> Sql:

@@ -46,6 +46,26 @@ def test_random_urls_agree_with_the_standard_library(spark):
     assert found.filter("not (joined <=> joined_2 and norm <=> norm_2 and host <=> host_2)").collect() == []
 
 
+
+def test_plain_addresses_take_a_short_way_to_the_same_results(spark):
+    """Plain links are resolved and normalised without being split; near misses and very long paths too."""
+    rnd = random.Random(11)
+    paths = ["", "/", "/a", "/a/b", "/a/b/", "/a//b", "/A-b_~/c", "/a.b/c", "/a/.", "/..", "/a/b;p", "//x/y"]
+    queries = ["", "?", "?ref=o", "?REF=1", "?a=1", "?a=", "?=a", "?a", "?b=1&a=2", "?a=1=2", "?a=b.c~", "?utm_source=x&ref=y", "?a=%41", "?a=1#f", "#f"]
+    hosts = ["http://h.com", "https://h.com:80", "http://H.com", "HTTP://h.com", "ftp://h.com", "http://u@h.com", "http://", "http://h.com\n"]
+    leads = ["", "../", "../../", "./", "/", "//", "a", "../a", "a/", "?", "a:b/", "\u00e9"]
+    rows = [(b + p, lead + t.lstrip("/") + q, b + p + q) for b in hosts for p in paths for lead in leads
+            for t, q in [(rnd.choice(paths), rnd.choice(queries)) for _ in range(6)]]
+    rows += [("http://h.com/x", "a/" * 20_000 + "z?ref=o", "http://h.com" + "/a" * 20_000 + "?ref=o")]
+    found = spark.createDataFrame(
+        [(b, h, u, urljoin(b, h), canonical(u)) for b, h, u in rows if "\n" not in b], "base string, href string, url string, joined string, norm string").selectExpr(
+        "*", f"{U.resolve_url('base', 'href')} AS joined_2", f"{U.normalize_url('url')} AS norm_2")
+    assert found.filter("not (joined <=> joined_2 and norm <=> norm_2)").limit(5).collect() == []
+    assert "RLIKE(url#" in (plan := found.select("norm_2")._jdf.queryExecution().optimizedPlan().toString()) and "^https?://" in plan
+    line = spark.createDataFrame([("http://h.com/a\n",)], "u string").selectExpr(f"{U.normalize_url('u')} AS n").first().n
+    assert line == "http://h.com/a"
+
+
 HTML = """<body><div class="topnav"><span><i><a href="/a?utm_source=1&b=2">x</a></i></span></div>
 <a href="../q/./r#f" rel="nofollow me" title="T" target="_new"></a><a href="mailto:x">m</a>
 <a href="HTTPS://Sub.Example.com/a.pdf">dl</a><a href="http://netflix.com/">n</a><a href="/a?b=2">dup</a>
