@@ -100,9 +100,13 @@ class _Visited:
         self.name = "visited_" + self.folder.rpartition("-")[2]
 
     def add(self, rows: DataFrame, depth: int) -> int:
-        """Append a level and return its size, as the write counted it."""
+        """Append a level and return its size, as the write counted it.
+
+        The first is dealt like the buckets, as later ones already are; else every task would write a file for each bucket.
+        """
         seen = Observation()
-        rows.withColumn("depth", F.lit(depth)).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("depth").bucketBy(
+        dealt = rows if depth else rows.repartition(self.buckets, "seed", "url")
+        dealt.withColumn("depth", F.lit(depth)).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("depth").bucketBy(
             self.buckets, "seed", "url").option("path", self.folder).mode("append").saveAsTable(self.name)
         return seen.get["n"]
 
@@ -151,19 +155,25 @@ class _Network:
         self.starts = seeds.selectExpr(f"{number('seed')} AS seed", f"{number('key')} AS page").join(self.pages, "page", "left").selectExpr(
             "seed", "seed AS url", "page", "coalesce(ok, false) AS ok")
 
-    def named(self, visited: DataFrame, *columns: str) -> DataFrame:
-        """Rows of seed, page and depth with names for numbers: seed, url, the columns, and the stored address."""
+    def named(self, visited: DataFrame, *columns: str, urls: bool = True) -> DataFrame:
+        """Rows of seed, page and depth with names for numbers: seed, url, the columns, and the stored address.
+
+        Without `urls` only starts are looked up.
+        """
         by_seed = self.names.selectExpr("number AS seed", "address AS seed_name")
+        if not urls:
+            return visited.join(by_seed, "seed", "left").selectExpr("seed_name AS seed", *columns)
         by_page = self.names.selectExpr("number AS page", "address AS page_name", "stored")
         return visited.join(by_seed, "seed", "left").join(by_page, "page", "left").selectExpr(
             "seed_name AS seed", "if(depth = 0, seed_name, page_name) AS url", *columns, "stored")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None, urls: bool = True) -> DataFrame:
     """Every URL reachable on the domain of its start URL.
 
     `seeds` has a column ``seed``.  Result: (seed, url, depth, ok); ``ok`` is false where
-    the URL is not among the stored pages.  Addresses are compared as they are.
+    the URL is not among the stored pages.  Addresses are compared as they are.  Without `urls`
+    the rows are the same but have no ``url``, for those who only count them.
     """
     network = _Network(link_graph(pages), seeds)
     visited = _Visited(pages.sparkSession, "page long, ok boolean")
@@ -174,14 +184,14 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
                 F.bool_or("ok").alias("ok"))
             depth += 1
             size = visited.add(visited.new(found).selectExpr("seed", "url", "url AS page", "ok"), depth)
-        return network.named(visited.close(), "depth", "ok").drop("stored")
+        return network.named(visited.close(), "depth", "ok", urls=urls).drop("stored")
     finally:
         visited.drop()
 
 
 def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_depth: int = 5,
                   same_domain: bool = True, scores: DataFrame | None = None,
-                  min_content_length: int = MIN_CONTENT_LENGTH) -> DataFrame:
+                  min_content_length: int = MIN_CONTENT_LENGTH, urls: bool = True) -> DataFrame:
     """Breadth-first crawl that stops after `max_pages` successes per seed.
 
     URLs are taken in queue order: by depth, then by the place of the page they were found
@@ -189,7 +199,7 @@ def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_
     `max_pages` is the same however the work is spread.  Links lead to the stored page with
     the same canonical address.  Result: (seed, url, depth, place, ok, stored); ``stored`` is
     the page's own address.  A URL that is missing or too short is tried once and counts as
-    failed.
+    failed.  Without `urls` the rows are the same but have neither ``url`` nor ``stored``, for those who only count them.
     """
     network = _Network(ranked_link_graph(pages, same_domain, scores, min_content_length), seeds, canonical("seed"))
     visited = _Visited(pages.sparkSession, "page long, place array<int>, ok boolean")
@@ -206,7 +216,7 @@ def bounded_crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 100, max_
             found = taken.join(network.links, "page").groupBy("seed", "url").agg(
                 F.min(F.expr("concat(place, array(n))")).alias("place"), F.bool_or("ok").alias("ok"))
             frontier = visited.new(found).selectExpr("seed", "url", "url AS page", "place", "ok")
-        return network.named(budget.cut(visited.close()), "depth", "place", "ok")
+        return network.named(budget.cut(visited.close()), "depth", "place", "ok", urls=urls)
     finally:
         visited.drop()
 

@@ -206,17 +206,17 @@ def merged_scores(spark, sf_dir):
 
 
 def crawl_stats(spark, sf_dir):
-    visited = G.crawl(pages(spark, sf_dir), pages(spark, sf_dir).selectExpr("url AS seed"))
+    visited = G.crawl(pages(spark, sf_dir), pages(spark, sf_dir).selectExpr("url AS seed"), urls=False)
     return A.crawl_stats(visited)
 
 
 def total_crawl_stats(spark, sf_dir):
-    visited = G.crawl(pages(spark, sf_dir), pages(spark, sf_dir).selectExpr("url AS seed"))
+    visited = G.crawl(pages(spark, sf_dir), pages(spark, sf_dir).selectExpr("url AS seed"), urls=False)
     return A.crawl_stats(visited, by=[])
 
 
 def bounded_stats(spark, sf_dir):
-    visited = G.bounded_crawl(order_pages(spark, sf_dir), _order_seeds(spark, sf_dir), max_pages=4, max_depth=3)
+    visited = G.bounded_crawl(order_pages(spark, sf_dir), _order_seeds(spark, sf_dir), max_pages=4, max_depth=3, urls=False)
     return A.bounded_stats(visited, duration="75.5D")
 
 

@@ -52,3 +52,12 @@ def test_scratch_folders_can_be_cleared(spark, monkeypatch):
     assert rows.count() == 3 and os.path.isdir(folder)
     assert session.clear_scratch(spark) == 1
     assert not os.path.exists(folder) and session.clear_scratch(spark) == 0
+
+
+def test_the_first_level_is_one_file_a_bucket(spark):
+    visited = _Visited(spark, "ok boolean")
+    try:
+        assert visited.add(spark.range(0, 3000, 1, 7).selectExpr("id AS seed", "id * 7 AS url", "true AS ok"), 0) == 3000
+        assert 1 < len(visited.level(0).inputFiles()) <= visited.buckets
+    finally:
+        visited.drop()

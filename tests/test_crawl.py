@@ -210,3 +210,17 @@ def test_a_budget_that_ends_with_a_success_drops_later_failures(spark):
     rows = G.bounded_crawl(pages, seeds(spark, f"{HOST}/a"), max_pages=2).collect()
     assert sorted(r.url for r in rows) == [f"{HOST}/a", f"{HOST}/b"]
     assert G.bounded_crawl(pages, seeds(spark, f"{HOST}/a").limit(0)).count() == 0
+
+
+def test_crawls_that_are_only_counted_look_up_no_urls(spark):
+    text = "Some words of text. " * 6
+    site = spark.createDataFrame(
+        [("http://h/a", f'<p>{text}</p><a href="b">b</a><a href="/gone?utm_source=x">g</a>'), ("http://h/b", f'<p>{text}</p><a href="a">a</a>'),
+         ("http://h/b", f"<p>{text}</p>"), (None, "<p>x</p>")], "url string, html string")
+    seeds = spark.createDataFrame([("http://h/a",), ("http://h/b",), ("http://h/none",)], "seed string")
+    for crawl, columns in ((G.crawl, ["seed", "depth", "ok"]), (G.bounded_crawl, ["seed", "depth", "place", "ok"])):
+        whole, counted = crawl(site, seeds), crawl(site, seeds, urls=False)
+        assert counted.columns == columns
+        assert sorted(map(str, counted.collect())) == sorted(map(str, whole.select(*columns).collect()))
+        joins = [d._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for d in (whole, counted)]
+        assert joins == [2, 1]
