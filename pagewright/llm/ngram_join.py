@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
 from pagewright.llm.graphs import connected_components
-from pagewright.session import scratch_folder
+from pagewright.session import map_batches, scratch_folder
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Most hash functions that a choice of bands may need
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [part.column("doc_id"), _binary_keys(set_keys(grams, starts)), pa.array(np.diff(starts).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "key", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, size int, bands array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, key binary, size int, bands array<long>")
 
 
 def _written(frame: DataFrame, name: str) -> DataFrame:
@@ -133,7 +133,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [part.column("doc_id"), _binary_keys(set_keys(grams, starts)), sets.cast(pa.binary())],
                     ["doc_id", "key", "grams"])
 
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "doc_id long, key binary, grams binary")
+    sets = map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), run, "doc_id long, key binary, grams binary")
     same = (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
     return sets.alias("s").join(wanted.alias("w"), same).select("w.*", "s.grams")
 
@@ -271,8 +271,8 @@ def similar_documents(
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "key", "copies", "grams", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     found = _written(
-        dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(
-            _compare_families(threshold), "a binary, b binary, classes long, docs long"), "links")
+        map_batches(
+            dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high"), _compare_families(threshold), "a binary, b binary, classes long, docs long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(
         F.sum("classes").alias("linked_sets"), F.sum("docs").alias("linked_docs"))
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"))
@@ -327,7 +327,7 @@ def _keep(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     from pyspark.sql.types import BinaryType, StructType
 
     schema = StructType(list(plain.schema.fields)).add("key", BinaryType())
-    keyed = plain.mapInArrow(run, schema)
+    keyed = map_batches(plain, run, schema)
     leaders = classes.where("leader").select(F.col("key").alias("leader_key"), "copy_id")
     kept = keyed.where("key IS NOT NULL").join(
         leaders, (F.col("key") == F.col("leader_key")) & F.col(doc_id).eqNullSafe(F.col("copy_id")))

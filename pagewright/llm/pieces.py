@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from pagewright.llm import hashing
+from pagewright.session import map_batches
 
 MARK = "▁"
 #: Bound of what a worker keeps of words and their ids, in bytes
@@ -424,8 +425,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text") -> Dat
             batch = part = text = back = wanted = lists = None
             pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", docs[column].alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
+    return map_batches(
+        docs.select("doc_id", docs[column].alias("text")), run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -443,4 +444,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [None if gone else b.decode("utf-8", "replace") for b, gone in zip(back.to_pylist(), absent.to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
+from pagewright.session import map_batches
 
 #: Bound of each of the two samples that the classifier is fitted on
 SAMPLE = 20_000
@@ -165,7 +166,7 @@ def _feature_rows(texts: DataFrame) -> np.ndarray:
                 rows = features(part.column(0)).astype(np.float32)
                 yield pa.record_batch([pa.array(list(rows), pa.list_(pa.float32()))], ["x"])
 
-    rows = texts.select("text").mapInArrow(run, "x array<float>").toArrow().column("x")
+    rows = map_batches(texts.select("text"), run, "x array<float>").toArrow().column("x")
     width = 3 * 14
     flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
     x = np.asarray(flat.flatten(), dtype=float).reshape(-1, width)
@@ -204,8 +205,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                      pa.array((value >= threshold).astype(np.int32))],
                     ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(
+        docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,4 +221,4 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
             for part in hashing.slices(batch, str(place)):
                 yield part.filter(pa.array(_scores(model, part.column(place)) >= threshold)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
-from pagewright.session import scratch_folder
+from pagewright.session import map_batches, scratch_folder
 
 SEED, COVERAGE = 5, 0.3
 #: Words that must be covered at least, or the whole item if it is shorter
@@ -67,7 +67,7 @@ def _seed_rows(items: DataFrame) -> DataFrame:
 
     # One row per text, under a key of its own: ids may be null or name several texts.
     texts = items.groupBy("text").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("text").alias("item"), "item_id", "text")
-    return texts.mapInArrow(run, "item long, item_id long, seed long, place int, words int")
+    return map_batches(texts, run, "item long, item_id long, seed long, place int, words int")
 
 
 @dataclass
@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
         if number:
             frame = _between(frame, "contamination")
-        frame = frame.mapInArrow(run, schema)
+        frame = map_batches(frame, run, schema)
     # A coverage is only kept for items that count.
     return frame.select("doc_id", (F.col("coverage") > 0).alias("contaminated"), "item_id", "coverage")
 
@@ -239,5 +239,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
         if number:
             docs = _between(docs, "decontaminated")
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import hashing
-from pagewright.session import scratch_folder
+from pagewright.session import map_batches, scratch_folder
 
 #: Bound of the labelled sample, of the dictionary and of the words that a feature must occur in
 SAMPLE, FEATURES, LEAST_TEXTS = 10_000, 4_096, 3
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
                     [part.column("toxic").cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
 
     folder = scratch_folder(spark, "toxic-sample")
-    rows.mapInArrow(find, "toxic int, found array<string>").write.parquet(folder)
+    map_batches(rows, find, "toxic int, found array<string>").write.parquet(folder)
     texts = spark.read.parquet(folder)
     have = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not have.get(1):
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int
                  pa.array([sum(f in only for f in t) for t in found], pa.int32())],
                 ["toxic", "cells", "strong"])
 
-    got = texts.mapInArrow(look, "toxic int, cells array<int>, strong int").collect()
+    got = map_batches(texts, look, "toxic int, cells array<int>, strong int").collect()
     got.sort(key=lambda r: (r["toxic"], r["strong"], r["cells"]))
     toxic = np.array([r["toxic"] == 1 for r in got])
     y = grades_of(toxic, np.array([r["strong"] for r in got]), grades)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float | None = None)
                     [part.column("doc_id"), pa.array(value[:, 0]), pa.array(value[:, 1]), pa.array(value[:, 0] >= threshold)],
                     ["doc_id", "chance", "severity", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chance double, severity double, toxic boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, chance double, severity double, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float | None = None) -> DataFrame:
@@ -229,4 +229,4 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float | None = N
                 keep = _severities(model, part.column(place))[:, 0] < threshold
                 yield part.filter(pa.array(keep)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

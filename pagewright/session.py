@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
+#: Most bytes of rows that a Python worker gets at a time; a larger row is a batch of its own
+BATCH_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: list[str] = []
 
 
@@ -49,3 +55,16 @@ def written(rows: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_folder(rows.sparkSession, purpose)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def map_batches(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """`rows.mapInArrow` with batches of about `BATCH_BYTES` at most.
+
+    A batch lies outside the heap of an executor, there several times over while it is built, and once more
+    in its Python worker; 10 000 texts, Spark's bound, are tens of megabytes of which neither gives all back.
+    Spark reads the setting when the rows are computed, so it stays in the session; one that the session
+    already has is kept.
+    """
+    if rows.sparkSession.conf.get(_BATCH, None) is None:
+        rows.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)

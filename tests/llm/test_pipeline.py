@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from pagewright.llm import quality, tiling, toxicity
+from pagewright.session import BATCH_BYTES
 from tests.llm.test_ngram_join import brute
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -44,3 +45,34 @@ def test_stages_take_odd_tables(spark, documents, name):
     assert out.columns == (docs.columns if name != "pieces" else ["doc_id", "ids", "n_tokens", "round_trip"])
     assert 1 <= out.count() <= 5
     assert stage(spark, documents([]), SF_DIR).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_workers_get_small_batches(spark, monkeypatch, name):
+    """Whatever the rows of a partition: 12 MB of texts in one task reach its worker about a megabyte at a time."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "concat(id % 7, repeat(' lorem ipsum dolor', 110)) AS text")
+    plain, most, mapped = type(docs).mapInArrow, 2 * BATCH_BYTES, []
+
+    def watched(frame, run, schema):
+        def small(batches):
+            for batch in batches:
+                assert batch.num_rows == 1 or batch.nbytes <= most, f"{batch.nbytes} bytes in a batch"
+                yield batch
+
+        mapped.append(schema)
+        return plain(frame, lambda batches: run(small(batches)), schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF_DIR).count() <= 6000
+    assert mapped
+
+
+def test_batch_size_of_the_session_is_kept(spark, documents):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "3m")
+    try:
+        assert quality.score(documents(["a b"]), None).count() == 1
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key)
